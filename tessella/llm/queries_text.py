@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import langid, quality
+from tessella.llm import decontam, langid, quality
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,4 +25,9 @@ def op2_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {"op1_language_id": op1_language_id, "op2_importance_resampling": op2_importance_resampling}
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every (document, benchmark item) pair within an error budget of a tenth of the item's length."""
+    return decontam.find_matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {"op1_language_id": op1_language_id, "op2_importance_resampling": op2_importance_resampling, "op9_decontamination": op9_decontamination}
