@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import decontam, langid, quality, secrets
+from tessella.llm import decontam, langid, pii, quality, secrets
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,9 +30,14 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find_secrets(table(spark, sf_dir, "documents"))
 
 
+def op7_pii_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every personal datum in every document."""
+    return pii.find_pii(table(spark, sf_dir, "documents"))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every (document, benchmark item) pair within an error budget of a tenth of the item's length."""
     return decontam.find_matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {"op1_language_id": op1_language_id, "op2_importance_resampling": op2_importance_resampling, "op4_secret_scan": op4_secret_scan, "op9_decontamination": op9_decontamination}
+QUERIES = {"op1_language_id": op1_language_id, "op2_importance_resampling": op2_importance_resampling, "op4_secret_scan": op4_secret_scan, "op7_pii_crf": op7_pii_crf, "op9_decontamination": op9_decontamination}
