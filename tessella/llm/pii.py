@@ -45,7 +45,7 @@ PLAIN, EMPTY, EDGE = (np.uint64(x) for x in (1, 2, 3))
 # --- the labelled table ---------------------------------------------------
 
 
-def labelled_table(n: int = 800, seed: int = 5) -> list[tuple[str, list[tuple[int, int, str]]]]:
+def labelled_table(n: int = 1500, seed: int = 5) -> list[tuple[str, list[tuple[int, int, str]]]]:
     """(text, [(start, end, kind)]): short texts with personal data and look-alikes that are none."""
     rng = random.Random(seed)
     digits = lambda k: "".join(rng.choice("0123456789") for _ in range(k))
@@ -206,7 +206,7 @@ def _gold(text: str, spans: list[tuple[int, int, str]], t: Tokens) -> np.ndarray
     return gold
 
 
-def train(table: list[tuple[str, list[tuple[int, int, str]]]] | None = None, rounds: int = 50, rate: float = 0.1, decay: float = 1e-4, seed: int = 0) -> Model:
+def train(table: list[tuple[str, list[tuple[int, int, str]]]] | None = None, rounds: int = 60, rate: float = 0.1, decay: float = 1e-4, seed: int = 0) -> Model:
     """Maximum likelihood by Adam over the whole table: forward-backward in numpy, all texts at once."""
     table = table or labelled_table()
     texts = tv.as_array(pa.array([x for x, _ in table]))
