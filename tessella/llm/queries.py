@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessella.llm import queries_sql, queries_text
+from tessella.llm import queries_graph, queries_sql, queries_text
 
-QUERIES = {**queries_sql.QUERIES, **queries_text.QUERIES}
+QUERIES = {**queries_graph.QUERIES, **queries_sql.QUERIES, **queries_text.QUERIES}
 ORACLES = {**queries_sql.ORACLES}
