@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.llm import neardup
+from tessella.llm import ann, neardup
 
 
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -12,4 +12,9 @@ def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicate_groups(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("text_hash")
 
 
-QUERIES = {"op3_simhash_near_dedup": op3_simhash_near_dedup}
+def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest neighbours of every vector."""
+    return ann.nearest_neighbors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+QUERIES = {"op10_nearest_neighbours": op10_nearest_neighbours, "op3_simhash_near_dedup": op3_simhash_near_dedup}
