@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: What the reference runtime takes for white space: Unicode spaces, vertical tab and the byte-order mark.
-WIDE_SPACE = r"[\t\n\x0B\f\r    -     　﻿]"
+WIDE_SPACE = r"[\t\n\x0B\f\r \x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]"
 PLAIN_SPACE = r"[\t\n\f\r ]"
 
 
