@@ -258,8 +258,10 @@ class Facts:
             elif words[0] == "if" and self.is_(a + 1, "("):
                 c = self.match.get(a + 1, a + 1)
                 test = [x.text for x in self.t[a + 2 : c]]
-                body = [x.text for x in self.t[c + 1 : b]]
-                if test in ([name, "===", "undefined"], [name, "==", "null"], [name, "==", "undefined"], ["!", name], ["undefined", "===", name], ["null", "==", name]) and "throw" in body[:2] and "else" not in body:
+                end = self.statement_end(c + 1, b)
+                inner = self.statements_of(c + 1) if self.is_(c + 1, "{") else [(c + 1, end)]
+                empty = len(test) == 3 and test[1] in ("===", "==") and any({test[0], test[2]} == {name, x} for x in ("undefined", "null"))
+                if (empty or test == ["!", name]) and len(inner) == 1 and self.is_(inner[0][0], "throw"):
                     use = "guard-throw"
             self.expr("ParamUse", a, a + 1, attrs={"function": fn, "name": name, "pos": str(pos), "use": use})
             return
@@ -393,6 +395,8 @@ class Facts:
     def ident(self, i: int, t: Token, classes: list, named: set[str]) -> None:
         word, top = t.text, self.parent[i] == -1
         if self.is_(i - 1, ".", "?."):
+            if word == "catch":
+                self.promise_catch(i)
             return
         if word == "import" and top and not self.is_(i + 1, "(", "."):
             self.import_(i)
@@ -652,12 +656,26 @@ class Facts:
             words = [x.text for x in self.t[a:b]]
             if words[:1] == ["if"] and self.is_(a + 1, "("):
                 test = [x.text for x in self.t[a + 2 : self.match.get(a + 1, a + 1)]]
-                hits = {"null": (["!", name], [name, "===", "null"], [name, "==", "null"], [name, "==", "undefined"]), "undefined": (["!", name], [name, "===", "undefined"], [name, "==", "null"], [name, "==", "undefined"]), "[]": ([name, ".", "length", "===", "0"], ["!", name, ".", "length"], [name, ".", "length", "==", "0"], [name, ".", "length", "<", "1"])}
-                if test in hits[empty]:
+                while test[:1] == ["("] and test[-1:] == [")"]:
+                    test = test[1:-1]
+                if self.same_partition(test, name, empty):
                     self.expr("GuardIf", a, a + 1, attrs={"name": name, "block": block, "pos": str(pos), "guard": empty})
             if any(self.t[k].text == name and self.is_(k + 1, "=", "??=", "||=", "&&=", "+=", "-=", "++", "--") and not self.is_(k - 1, ".") for k in range(a, b)):
                 self.expr("Reassign", a, a + 1, attrs={"name": name, "block": block, "pos": str(pos)})
 
+    @staticmethod
+    def same_partition(test: list[str], name: str, empty: str) -> bool:
+        """Whether a test splits the values of name as a test for the fallback `empty` would."""
+        if empty == "[]":
+            length = [name, ".", "length"]
+            if test == ["!", *length]:
+                return False
+            flip = {"<": ">", ">": "<", "<=": ">=", ">=": "<="}
+            if len(test) == 5 and test[2:] == length:
+                test = [*length, flip.get(test[1], test[1]), test[0]]
+            return len(test) == 5 and test[:3] == length and (test[3], test[4]) in {("===", "0"), ("==", "0"), ("!==", "0"), ("!=", "0"), (">", "0"), (">=", "1"), ("<", "1")}
+        return test == ["!", name] or (len(test) == 3 and test[1] in ("===", "==", "!==", "!=") and {test[0], test[2]} == {name, empty})
+
     def top_statements(self) -> list[tuple[int, int]]:
         out, i = [], 0
         while i < len(self.t):
@@ -717,35 +735,157 @@ class Facts:
         if self.is_(j, "(") and j in self.match:
             name = self.t[j + 1].text if self.t[j + 1].kind == IDENT else None
             j = self.match[j] + 1
-        if not (self.is_(j, "{") and j in self.match) or self.is_(i - 1, "."):
+        if not (self.is_(j, "{") and j in self.match):
             return
         me = f"Catch:{self.t[i].start}"
         self.expr("Catch", i, self.match[j] + 1)
+        for k in self.handler_uses(j, name):
+            self.expr("HandlerUse", k, k + 1, parent=me)
         k = j + 1
         while k < self.match[j]:
-            if self.is_(k, "function") or (self.is_(k, "=>") and self.is_(k + 1, "{")):
-                o = k
-                while o < self.match[j] and not self.is_(o, "{"):
-                    o += 1
-                k = self.match.get(o, o) + 1
+            after = self.past_function(k)
+            if after > k:
+                k = after
                 continue
-            t = self.t[k]
-            if t.kind == IDENT and t.text == "throw":
-                self.expr("HandlerUse", k, k + 1, parent=me)
+            if self.t[k].kind == IDENT and self.t[k].text == "throw":
                 end = self.expression_end(k + 1, {";", "}"})
                 words = [x.text for x in self.t[k + 1 : end]]
-                has_call = "(" in words
-                inside = name and re.compile(r"\$\{[^}]*(?<![\w$.])" + re.escape(name) + r"(?![\w$])")
-                refs = name is not None and any(x.kind == IDENT and x.text == name and not self.is_(k + n, ".") or x.kind == TEMPLATE and inside.search(x.text) is not None for n, x in enumerate(self.t[k + 1 : end]))
                 is_new = words[:1] == ["new"]
                 by_part = name is not None and any(self.t[x].text == name and self.is_(x + 1, ".", "?.") for x in range(k + 1, end))
-                self.expr("ThrowNew", k, max(end, k + 1), parent=me, flags={"refs_error": has_call and refs and (is_new or by_part), "has_cause": "cause" in words})
-            elif name is not None and t.kind == IDENT and t.text == name and not self.is_(k - 1, "."):
-                p = self.parent[k]
-                if self.is_(k - 1, "return") or (p > j and self.is_(p, "(") and p and self.t[p - 1].kind == IDENT and self.t[p - 1].text not in _NO_CALL - {"super"}):
-                    self.expr("HandlerUse", k, k + 1, parent=me)
+                self.expr("ThrowNew", k, max(end, k + 1), parent=me, flags={"refs_error": "(" in words and self.refers(k + 1, end, name) and (is_new or by_part), "has_cause": "cause" in words})
             k += 1
 
+    def promise_catch(self, i: int) -> None:
+        """A .catch(handler) with one inline handler, reported where its receiver begins; the receiver is taken for a promise."""
+        o = i + 1
+        if not (self.is_(o, "(") and o in self.match):
+            return
+        parts = self.split(o)
+        if len(parts) != 1:
+            return
+        a, b = parts[0]
+        f = a + self.is_(a, "async")
+        name, body = None, None
+        if self.is_(f, "function"):
+            p = f + 1
+            while p < b and not self.is_(p, "("):
+                p += 1
+            name, body = (self.t[p + 1].text if self.t[p + 1].kind == IDENT else None), self.match.get(p, p) + 1
+        elif self.t[f].kind == IDENT and self.is_(f + 1, "=>"):
+            name, body = self.t[f].text, f + 2
+        elif self.is_(f, "(") and f in self.match:
+            k = self.match[f] + 1
+            while k < b and not self.is_(k, "=>"):
+                k += 1
+            if k < b:
+                name, body = (self.t[f + 1].text if self.t[f + 1].kind == IDENT else None), k + 1
+        if body is None or body >= b:
+            return
+        start = self.chain_start(i - 1)
+        me = f"Catch:{self.t[i].start}"
+        self.expr("Catch", start, self.match[o] + 1, attrs={"form": "promise"})
+        self.out["expr_facts"][-1]["node_id"] = me
+        block = self.is_(body, "{") and body in self.match
+        uses = self.handler_uses(body, name) if block else [body] if self.refers(body, b, name) else []
+        for k in uses:
+            self.expr("HandlerUse", k, k + 1, parent=me)
+
+    def chain_start(self, dot: int) -> int:
+        """The first token of the member and call chain that the dot continues."""
+        k = dot
+        while k > 0:
+            k -= 1
+            if k in self.match and self.match[k] < k:
+                k = self.match[k]
+                if k and (self.t[k - 1].kind == IDENT and self.t[k - 1].text not in _KEYWORDS or self.is_(k - 1, ")", "]")):
+                    continue
+                return k
+            if self.is_(k - 1, ".", "?."):
+                k -= 1
+                continue
+            return k
+        return k
+
+    def past_function(self, k: int) -> int:
+        """The token after the function that begins at k, or k if none does."""
+        body = None
+        if self.is_(k, "function"):
+            o = k
+            while o < len(self.t) and not self.is_(o, "("):
+                o += 1
+            o = self.match.get(o, o) + 1
+            while o < len(self.t) and not self.is_(o, "{"):
+                o += 1
+            return self.match.get(o, o) + 1
+        if self.is_(k, "(") and k in self.match and self.is_(self.match[k] + 1, "=>"):
+            body = self.match[k] + 2
+        elif k + 1 < len(self.t) and self.t[k].kind == IDENT and self.is_(k + 1, "=>"):
+            body = k + 2
+        if body is None or body >= len(self.t):
+            return k
+        return self.match[body] + 1 if self.is_(body, "{") and body in self.match else self.expression_end(body, {",", ")", ";", "]", "}"})
+
+    def refers(self, lo: int, hi: int, name: str | None) -> bool:
+        """Whether tokens lo .. hi - 1 use the name as a value, functions in between left out."""
+        if name is None:
+            return False
+        inside = re.compile(r"\$\{[^}]*(?<![\w$.])" + re.escape(name) + r"(?![\w$])")
+        k = lo
+        while k < hi:
+            after = self.past_function(k)
+            if after > k:
+                k = after
+                continue
+            t = self.t[k]
+            if t.kind == TEMPLATE and inside.search(t.text):
+                return True
+            is_key = self.is_(k + 1, ":") and self.is_(k - 1, "{", ",")
+            if t.kind == IDENT and t.text == name and not self.is_(k - 1, ".", "?.", "const", "let", "var") and not is_key:
+                return True
+            k += 1
+        return False
+
+    def ends(self, a: int, b: int) -> bool:
+        """Whether the statement in tokens a .. b - 1 never goes on to the next."""
+        if self.is_(a, "return", "throw"):
+            return True
+        if self.is_(a, "{") and a in self.match:
+            inner = self.statements_of(a)
+            return bool(inner) and self.ends(*inner[-1])
+        if self.is_(a, "if") and self.is_(a + 1, "(") and a + 1 in self.match:
+            first = self.match[a + 1] + 1
+            mid = self.statement_end(first, b)
+            return self.is_(mid, "else") and self.ends(first, mid) and self.ends(mid + 1, b)
+        return False
+
+    def handler_uses(self, open_: int, name: str | None) -> list[int]:
+        """Tokens in a handler's block that hand its error on: a throw, a return or a call that mentions it. Code after a return or throw doesn't count."""
+        out = []
+        for a, b in self.statements_of(open_):
+            k = a
+            while k < b:
+                after = self.past_function(k)
+                if after > k:
+                    k = after
+                    continue
+                if self.is_(k, "{") and k in self.match and (k == a or self.is_(k - 1, ")", "else", "try", "finally", "do")):
+                    out += self.handler_uses(k, name)
+                    k = self.match[k] + 1
+                    continue
+                t = self.t[k]
+                if t.kind == IDENT and t.text == "throw":
+                    out.append(k)
+                elif t.kind == IDENT and t.text == "return":
+                    if self.refers(k + 1, self.expression_end(k + 1, {";", "}"}), name):
+                        out.append(k)
+                elif self.is_(k, "(") and k in self.match and k and (self.t[k - 1].kind == IDENT and (self.t[k - 1].text not in _NO_CALL or self.t[k - 1].text == "super" or self.is_(k - 2, ".", "?.")) or self.is_(k - 1, ")", "]", "?.")) and not self.new_before(k - 1):
+                    if self.refers(k + 1, self.match[k], name):
+                        out.append(k)
+                k += 1
+            if self.ends(a, b):
+                break
+        return out
+
     def call(self, i: int) -> None:
         j = i - 1
         has_types = False

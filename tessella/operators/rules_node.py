@@ -279,8 +279,10 @@ def prefer_type_predicate(facts: Facts) -> DataFrame:
 @rule("optional-param-coerced-in-body", "warning", "interface-design", "api", needs=("expr_facts",))
 def optional_param_coerced(facts: Facts) -> DataFrame:
     """OptionalParam rows (attrs function, name) whose first ParamUse (function, name, pos, use) is a coercion: assign-default or guard-throw."""
-    first = _of(facts, "ParamUse").groupBy("group_id", "file", attr("function").alias("fn"), attr("name").alias("name")).agg(F.min_by(attr("use"), _POS()).alias("use")).where(F.col("use").isin("assign-default", "guard-throw"))
-    p = _of(facts, "OptionalParam").withColumn("fn", attr("function")).withColumn("name", attr("name")).join(first, ["group_id", "file", "fn", "name"])
+    at = F.struct(attr("use").alias("use"), F.col("line").alias("line"), F.col("col").alias("col"))
+    first = _of(facts, "ParamUse").groupBy("group_id", "file", attr("function").alias("fn"), attr("name").alias("name")).agg(F.min_by(at, _POS()).alias("first")).where(F.col("first.use").isin("assign-default", "guard-throw"))
+    p = _of(facts, "OptionalParam").select("group_id", "file", attr("function").alias("fn"), attr("name").alias("name")).distinct().join(first, ["group_id", "file", "fn", "name"])
+    p = p.select("group_id", "file", "name", "first.line", "first.col")
     return diagnostics(p, "optional-param-coerced-in-body", "warning", F.concat(F.lit("The body does not accept a missing "), F.col("name")), col=F.col("col"))
 
 
