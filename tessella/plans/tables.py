@@ -46,10 +46,11 @@ def first_reportable(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that begin alike (64 characters without case and digits) and differ."""
-    head = F.substring(F.regexp_replace(F.lower(T.collapse_spaces(F.col("text"), T.PLAIN_SPACE)), "[0-9]+", "#"), 1, 64)
-    g = table(spark, sf_dir, "documents").groupBy(T.hash_text(head).alias("head_hash")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("text").alias("n_texts"), F.min("doc_id").alias("first_doc"))
-    return g.where("n_texts > 1")
+    """Lines of all documents, 32 characters and more, that differ in case, digits or signs only."""
+    lines = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", "\n", -1)).alias("line"))
+    norm = F.regexp_replace(F.lower(F.btrim(F.regexp_replace("line", r"[^\p{L}0-9]+", " "))), "[0-9]+", "#")
+    g = lines.withColumn("norm", norm).where(F.length("norm") >= 32).groupBy(T.hash_text(F.col("norm")).alias("line_hash"))
+    return g.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("line").alias("n_texts"), F.min("doc_id").alias("first_doc")).where("n_texts > 1")
 
 
 def near_dup_url(spark: SparkSession, sf_dir: str) -> DataFrame:

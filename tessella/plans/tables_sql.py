@@ -20,7 +20,14 @@ ORACLES = {
     + """, t AS (SELECT hash, coalesce(min(CASE WHEN ok AND rn >= 2 THEN rn END), min(CASE WHEN ok THEN rn END)) AS pick FROM r WHERE n >= 2 GROUP BY hash)
 SELECT r.hash, max(CASE WHEN rn = pick THEN doc_id END) AS host, string_agg(f, ', ' ORDER BY f) FILTER (WHERE rn <> pick) AS others FROM r JOIN t ON r.hash = t.hash WHERE pick IS NOT NULL GROUP BY r.hash""",
     "first_reportable": _GROUPS + "SELECT hash, min(doc_id) AS host FROM r WHERE n >= 2 AND ok GROUP BY hash",
-    "near_dup": f"SELECT {_H.format('head')} AS head_hash, count(*) AS n, count(DISTINCT text) AS n_texts, min(doc_id) AS first_doc FROM (SELECT doc_id, text, substr(regexp_replace(lower({_FLAT.format('text')}), '[0-9]+', '#', 'g'), 1, 64) AS head FROM documents) GROUP BY head HAVING count(DISTINCT text) > 1",
+    "near_dup": r"""SELECT sha256(norm)[1:16] AS line_hash, count(*) AS n, count(DISTINCT line) AS n_texts, min(doc_id) AS first_doc FROM (
+SELECT *, regexp_replace(lower(trim(regexp_replace(line, '[^\p{L}0-9]+', ' ', 'g'))), '[0-9]+', '#', 'g') AS norm FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents))
+WHERE length(norm) >= 32 GROUP BY norm HAVING count(DISTINCT line) > 1""",
+    "normalized_body": r"""WITH a AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(text, '"(?:[^"\\]|\\.)*"', '"__STR__"', 'g'), '''(?:[^''\\]|\\.)*''', '"__STR__"', 'g'), '`(?:[^`\\]|\\.)*`', '"__STR__"', 'g') AS x FROM conversations),
+b AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(x, '\b\d+(?:\.\d+)?\b', '__NUM__', 'g'), '\bde\b', '$0', 'g'), '\bthe\b', '$1', 'g') AS y FROM a),
+c AS (SELECT *, regexp_replace(regexp_replace(y, '\bthis\s*\.\s*', '$_.', 'g'), '\$\d+\s*\.\s*', '$_.', 'g') AS z FROM b)
+SELECT conv_id, turn, sha256(trim(regexp_replace(z, '[\t\n\x0B\f\r \x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]+', ' ', 'g'), ' '))[1:16] AS normalized_hash,
+(length(text) + length(regexp_replace(text, '[^\x{10000}-\x{10FFFF}]', '', 'g')))::INT AS body_len FROM c""",
     "near_dup_url": "SELECT regexp_replace(url, '[0-9]+', 'N', 'g') AS shape, count(DISTINCT url) AS n_urls, min(page_id) AS first_page FROM pages GROUP BY 1 HAVING count(DISTINCT url) > 1",
     "name_collision": "SELECT p_name AS name, count(*) AS n_parts, count(DISTINCT p_brand) AS n_brands FROM part GROUP BY p_name HAVING count(DISTINCT p_brand) > 1",
     "name_segments": r"""WITH n AS (SELECT DISTINCT name FROM (SELECT event_type AS name FROM events UNION ALL SELECT replace(p_type, ' ', '_') FROM part)),
