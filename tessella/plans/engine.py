@@ -14,7 +14,7 @@ from tessella.extract.facts import fact_tables, raw_facts
 from tessella.functions.text import relative_path
 from tessella.operators import annotate, policy, rules_node
 from tessella.operators.catalogue import all_rules, rules_table
-from tessella.sources.files import files_table, read_sources
+from tessella.sources.files import files_table, merged_options, packages, place, project_configs, read_sources
 
 CONFIG_NAMES = ("tessella.config.json", ".tessellarc.json")
 
@@ -164,6 +164,12 @@ def settle(diagnostics: DataFrame, options: ScanOptions, root: str, file_count:
     return ScanResult(diagnostics, policy.visible(effective, options.show_severities), effective, file_count, int(top))
 
 
+def fresh(df: DataFrame) -> DataFrame:
+    """df cached anew: an equal plan that an earlier scan cached, of files that may have changed since, is dropped first."""
+    df.unpersist()
+    return df.cache()
+
+
 def scan_sources(spark: SparkSession, sources: DataFrame, options: ScanOptions, root: str = "/", scanned: DataFrame | None = None, extra: dict[str, DataFrame] | None = None) -> ScanResult:
     """Runs the active rules on a table of sources (file, source; optionally group_id and package_root).
 
@@ -171,8 +177,8 @@ def scan_sources(spark: SparkSession, sources: DataFrame, options: ScanOptions,
     to the extracted rows, or replace call_sites and overloads.
     """
     severities = active_rules(spark, options.check())
-    files = files_table(sources, scanned).cache()
-    raw = raw_facts(files, needed_tables(list(severities))).cache()
+    files = fresh(files_table(sources, scanned))
+    raw = fresh(raw_facts(files, needed_tables(list(severities))))
     facts = fact_tables(raw, files)
     for name, table in (extra or {}).items():
         facts[name] = facts[name].unionByName(table) if name == "expr_facts" and name in facts else table
@@ -181,13 +187,20 @@ def scan_sources(spark: SparkSession, sources: DataFrame, options: ScanOptions,
 
 
 def execute(spark: SparkSession, root: str, options: ScanOptions | None = None, config_path: str | None = None, extra: dict[str, DataFrame] | None = None) -> ScanResult:
-    """Scans the source files below root under its configuration file and the given options."""
+    """Scans the source files below root under its configuration file and the given options.
+
+    Files are grouped by the nearest compiler configuration above them, and its
+    null-check options apply to the group unless options.group_options is given.
+    """
     options = with_config(options or ScanOptions(), read_config(root, config_path)).check()
     lines: list[str] = []
     if options.use_gitignore and os.path.exists(os.path.join(root, ".gitignore")):
         with open(os.path.join(root, ".gitignore"), encoding="utf-8") as f:
             lines = f.read().splitlines()
-    sources = read_sources(spark, root, options.paths, options.ignore, lines)
+    configs = fresh(project_configs(spark, root))
+    sources = place(read_sources(spark, root, options.paths, options.ignore, lines), configs, packages(spark, root))
+    if options.group_options is None and not configs.isEmpty():
+        options = replace(options, group_options=merged_options(configs))
     return scan_sources(spark, sources, options, root, extra=extra)
 
 

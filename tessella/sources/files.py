@@ -75,3 +75,58 @@ def files_table(sources: DataFrame, scanned: DataFrame | None = None) -> DataFra
     else:
         out = out.join(scanned.select(F.col("file").alias("_s")).distinct(), F.col("file") == F.col("_s"), "left").withColumn("reportable", F.col("_s").isNotNull()).drop("_s")
     return out.where(analysable(F.col("file"))).select("group_id", "file", "source", "ws_hash", "reportable", "package_root")
+
+
+def _named(spark: SparkSession, root: str, name: str) -> DataFrame:
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", name).load(root)
+    file = F.regexp_replace("path", "^file:", "")
+    return raw.withColumn("folder", F.regexp_replace(file, "/[^/]*$", "")).where(~F.concat("folder", F.lit("/")).rlike(r"/(node_modules|dist|\.git)/"))
+
+
+_TARGETS = ("target", "module", "moduleResolution", "jsx", "strict", "paths", "baseUrl", "lib", "types", "esModuleInterop")
+CONFIGS = "folder string, options_key string, strict_null_checks boolean, no_unchecked_indexed_access boolean"
+
+
+def project_configs(spark: SparkSession, root: str, name: str = "tsconfig.json") -> DataFrame:
+    """CONFIGS of every compiler configuration below root; configurations with equal keys make one group.
+
+    Comments and trailing commas are allowed; one that can't be read counts as
+    empty. Options that another file is extended by are not followed.
+    """
+
+    def parse(batches):
+        import json
+        import re
+
+        import pandas as pd
+
+        for pdf in batches:
+            rows = []
+            for folder, content in zip(pdf["folder"], pdf["content"], strict=True):
+                text = re.sub(r'("(?:[^"\\]|\\.)*")|//[^\n]*|/\*.*?\*/', lambda m: m[1] or "", bytes(content).decode("utf-8-sig", "replace"), flags=re.S)
+                try:
+                    o = json.loads(re.sub(r",(\s*[}\]])", r"\1", text)).get("compilerOptions", {})
+                except (ValueError, AttributeError):
+                    o = {}
+                strict = bool(o.get("strict", False))
+                rows.append((folder, json.dumps({k: o.get(k) for k in _TARGETS}, sort_keys=True), bool(o.get("strictNullChecks", strict)), bool(o.get("noUncheckedIndexedAccess", False))))
+            yield pd.DataFrame(rows, columns=["folder", "options_key", "strict_null_checks", "no_unchecked_indexed_access"])
+
+    return _named(spark, root, name).select("folder", "content").mapInPandas(parse, CONFIGS)
+
+
+def place(sources: DataFrame, configs: DataFrame, packages: DataFrame) -> DataFrame:
+    """sources with group_id (the merged group of the nearest configuration above) and package_root (the nearest of packages (folder)); texts stay out of the ancestor joins."""
+    slim = group_by_project(sources.select("file").distinct(), configs.select("folder", "options_key"))
+    roots = nearest_ancestor(slim.select("file"), packages).withColumnRenamed("folder", "package_root")
+    both = slim.join(roots, "file").select(F.col("file").alias("_f"), "group_id", F.coalesce("package_root", F.lit("")).alias("package_root"))
+    return sources.join(both, F.col("file") == F.col("_f"), "left").drop("_f")
+
+
+def merged_options(configs: DataFrame) -> DataFrame:
+    """group_id with the options of the group; the first folder's count."""
+    return configs.groupBy("options_key").agg(F.min("folder").alias("group_id"), F.min_by("strict_null_checks", "folder").alias("strict_null_checks"), F.min_by("no_unchecked_indexed_access", "folder").alias("no_unchecked_indexed_access")).drop("options_key")
+
+
+def packages(spark: SparkSession, root: str) -> DataFrame:
+    return _named(spark, root, "package.json").select("folder").distinct()
