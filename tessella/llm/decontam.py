@@ -41,6 +41,9 @@ class Items:
     piece_at: np.ndarray
     pieces: tuple[bytes, ...]
     short: tuple[int, ...]
+    piece_size: np.ndarray
+    piece_table: np.ndarray
+    lengths: np.ndarray
 
 
 def normalise(text: str | None) -> bytes:
@@ -72,9 +75,13 @@ def cut_items(rows: list[tuple[int | None, str | None]], rate: float) -> Items:
         edges = np.linspace(0, len(norm), budget + 2).astype(int)
         pieces += [(norm[a:b], k, a) for a, b in zip(edges[:-1], edges[1:], strict=True)]
     pieces.sort(key=lambda p: int.from_bytes(p[0][:_PREFIX], "little"))
+    table = np.zeros((len(pieces), max((len(p[0]) for p in pieces), default=0)), np.uint8)
+    for i, p in enumerate(pieces):
+        table[i, : len(p[0])] = np.frombuffer(p[0], np.uint8)
     return Items(
         np.array([-1 if i is None else i for i in ids], np.int64), tuple(texts), np.array(budgets, np.int64),
         np.array([int.from_bytes(p[0][:_PREFIX], "little") for p in pieces], np.uint64), np.array([p[1] for p in pieces], np.int64), np.array([p[2] for p in pieces], np.int64), tuple(p[0] for p in pieces), tuple(short),
+        np.array([len(p[0]) for p in pieces], np.int64), table, np.array([len(t) for t in texts], np.int64),
     )
 
 
@@ -161,15 +168,12 @@ def candidates(items: Items, seen: np.ndarray, buf: np.ndarray, off: np.ndarray)
         n = hi - lo
         at = np.repeat(hit, n)
         piece = np.repeat(lo, n) + (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
-        size = np.array([len(p) for p in items.pieces], np.int64)[piece]
+        size = items.piece_size[piece]
         fits = at + size <= len(buf)
         at, piece, size = at[fits], piece[fits], size[fits]
         # The bytes after the prefix, compared piece position by piece position.
-        width = max(map(len, items.pieces))
-        table = np.zeros((len(items.pieces), width), np.uint8)
-        for i, p in enumerate(items.pieces):
-            table[i, : len(p)] = np.frombuffer(p, np.uint8)
-        for j in range(_PREFIX, width):
+        table = items.piece_table
+        for j in range(_PREFIX, table.shape[1]):
             if not len(at):
                 break
             keep = (j >= size) | (buf[np.minimum(at + j, len(buf) - 1)] == table[piece, j])
@@ -179,7 +183,7 @@ def candidates(items: Items, seen: np.ndarray, buf: np.ndarray, off: np.ndarray)
         at, piece, row = at[inside], piece[inside], row[inside]
         item = items.piece_item[piece]
         k = items.budgets[item]
-        length = np.array([len(t) for t in items.texts], np.int64)[item]
+        length = items.lengths[item]
         start = np.maximum(off[row], at - items.piece_at[piece] - k)
         stop = np.minimum(off[row + 1], at - items.piece_at[piece] + length + k)
         # Windows of one row and item that begin in one place or overlap by far become one window.
