@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessella.llm.storage import write_table
+
 #: The distribution function is tabulated until less than this remains.
 TAIL = 1e-12
 
@@ -56,7 +58,7 @@ def _cdf(rate: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), last), start, step, lambda s: s["c"])
 
 
-def replicate(df: DataFrame, source_rates: DataFrame, seed: str = "mix-1", partitions: int | None = None, carry: list[str] | None = None) -> DataFrame:
+def replicate(df: DataFrame, source_rates: DataFrame, seed: str = "mix-1", partitions: int | None = None, carry: list[str] | None = None, broadcast_bytes: int = 32 << 20) -> DataFrame:
     """df with every row repeated by its draw, shuffled globally; adds copy (1, 2, ...) and shuffle_key.
 
     The draw hangs on seed, doc_id and the MD5 of the text, so fully repeated
@@ -66,10 +68,18 @@ def replicate(df: DataFrame, source_rates: DataFrame, seed: str = "mix-1", parti
     within and across files the order is random, and the same on every run.
     carry names the columns to return (all of df by default); columns of df named
     copy or shuffle_key are replaced.
+
+    The rates (one row and some hundred bytes a source) are written and measured
+    first: up to broadcast_bytes they are broadcast, so documents are shuffled
+    once, for their order. Beyond it they are joined on the source, where adaptive
+    execution splits a hot one.
     """
     parts = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     cols = [c for c in (carry or df.columns) if c not in ("copy", "shuffle_key")]
-    tables = source_rates.select(F.col("source").alias("rate_source"), _cdf(F.col("rate")).alias("cdf"))
+    tables = write_table(source_rates.select(F.col("source").alias("rate_source"), _cdf(F.col("rate")).alias("cdf")), "mix-rates")
+    measured = tables.agg(F.sum(F.size("cdf") * 8 + F.coalesce(F.length("rate_source"), F.lit(0)) * 4 + 64)).first()[0] or 0
+    if measured <= broadcast_bytes:
+        tables = F.broadcast(tables)
     whole = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))
     digest = F.md5(F.coalesce(F.col("row.text"), F.lit("")))
     drawn = whole.join(tables, F.col("row.source").cast("string").eqNullSafe(F.col("rate_source")), "inner").select(
@@ -84,10 +94,5 @@ def replicate(df: DataFrame, source_rates: DataFrame, seed: str = "mix-1", parti
 
 
 def mix(df: DataFrame, weights: dict[str, float] | None = None, seed: str = "mix-1", **options) -> DataFrame:
-    """rates() of df, then replicate() with them.
-
-    The table of rates has one row a source. It is joined on the source without a
-    hint: Spark broadcasts it while it is under its threshold and otherwise
-    shuffles, where adaptive execution splits a hot source.
-    """
+    """rates() of df, then replicate() with them."""
     return replicate(df, rates(df, weights, **options), seed)

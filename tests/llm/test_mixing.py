@@ -55,3 +55,10 @@ def test_awkward_rows(spark):
     assert mixing.mix(docs.limit(0)).count() == 0
     blank = data.documents(spark, [(1, None, "en", None), (2, "", "en", "b")])
     assert mixing.mix(blank).where("doc_id > 2").count() == 0
+
+
+def test_the_join_beyond_the_broadcast_limit_gives_the_same(spark):
+    docs = data.documents(spark, [(i, f"text {i}", "en", None if i % 5 == 0 else f"s{i % 4}") for i in range(400)])
+    rates = mixing.rates(docs, epochs=2.0)
+    small, large = mixing.replicate(docs, rates), mixing.replicate(docs, rates, broadcast_bytes=0)
+    assert sorted(map(str, small.collect())) == sorted(map(str, large.collect()))
