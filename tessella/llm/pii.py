@@ -14,6 +14,7 @@ from __future__ import annotations
 import random
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -263,6 +264,12 @@ def train(table: list[tuple[str, list[tuple[int, int, str]]]] | None = None, rou
     return finish(weights, tr, st, en)
 
 
+@cache
+def default_model() -> Model:
+    """train() with its defaults, once a process; training is deterministic."""
+    return train()
+
+
 def viterbi(model: Model, emit: np.ndarray, starts: np.ndarray, ends: np.ndarray, opens: np.ndarray, closes: np.ndarray) -> np.ndarray:
     """Best labels of the segments [starts, ends) of emit, all segments together.
 
@@ -367,4 +374,4 @@ def find_pii(docs: DataFrame, model: Model | None = None) -> DataFrame:
     holds no personal data. Null and empty texts give no rows, null ids stay null,
     repeated rows report each, other columns are ignored.
     """
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(_finder(model or train()), RESULT)
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(_finder(model or default_model()), RESULT)
