@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm import textvec as tv
+from tessella.llm.storage import bound_batches
 
 ORDERS = (3, 5)
 BITS = 19
@@ -100,6 +101,7 @@ def train(docs: DataFrame, docs_per_language: int = 500, min_count: int = 3, max
     null label or text are not used. Without any labelled row the model has no
     language and rejects everything.
     """
+    bound_batches(docs.sparkSession)
     sizes = docs.where(F.col("lang").isNotNull()).groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()
     names = sorted(r["lang"] for r in sizes)
     if not names:
@@ -174,4 +176,5 @@ def identify(model: LanguageModel, text: Column | str) -> Column:
 
 def keep_identified(docs: DataFrame, model: LanguageModel) -> DataFrame:
     """docs without those whose language is undetermined; all columns stay."""
+    bound_batches(docs.sparkSession)
     return docs.where(identify(model, "text").getField("language") != UNDETERMINED)

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from tessella.llm import textvec as tv
 from tessella.llm.components import components, roots
 from tessella.llm.smallworld import BYTES, SmallWorld
-from tessella.llm.storage import write_table
+from tessella.llm.storage import bound_batches, write_table
 
 PLACES = 128
 #: Bits of 256 by which near-duplicates may differ; expected at word-pair Jaccard 0.55.
@@ -129,6 +129,7 @@ def _fingerprint(column: pa.Array) -> pa.Array:
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, text_hash, code, sketch and node (a hash of the code); code is null for texts without words."""
+    bound_batches(docs.sparkSession)
     both = F.arrow_udf(_fingerprint, FINGERPRINTS)(text_col)
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text_hash"), both.alias("f"))
     return rows.select("doc_id", "text_hash", F.col("f.code").alias("code"), F.col("f.sketch").alias("sketch"), F.when(F.col("f.code").isNotNull(), F.xxhash64("f.code")).alias("node"))

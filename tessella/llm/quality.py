@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm import textvec as tv
-from tessella.llm.storage import write_table
+from tessella.llm.storage import bound_batches, write_table
 
 BUCKETS = 10_000
 
@@ -55,6 +55,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_target: int = 20_000) -> np.ndar
     bounded by the parameter. Counts are smoothed by one half. Rows with a null
     doc_id are never target; without target rows all ratios are 0.
     """
+    bound_batches(docs.sparkSession)
     ids = labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").alias("target_id")).distinct().orderBy(F.xxhash64("target_id"), "target_id").limit(max_target)
     marked = docs.select(F.col("doc_id").alias("d"), F.col("text").alias("t")).join(F.broadcast(ids), F.col("d") == F.col("target_id"), "left").select("t", F.col("target_id").isNotNull().alias("is_target"))
     counts = marked.mapInArrow(count_features, "bucket int, raw bigint, target bigint").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).collect()

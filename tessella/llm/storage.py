@@ -23,6 +23,22 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return context._jsc.sc().getCheckpointDir().get()
 
 
+#: Rows of an Arrow batch of texts.
+BATCH_ROWS = 2000
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Lowers the session's rows in an Arrow batch to BATCH_ROWS, if there are more.
+
+    Texts take kilobytes each, and a batch is held by the JVM, twice while its
+    buffers grow, and by the Python worker: Spark's 10,000 rows are too many.
+    Results don't hang on it.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df with its lineage cut by a reliable checkpoint in the shared folder."""
     checkpoint_dir(df.sparkSession)
