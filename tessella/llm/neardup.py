@@ -5,8 +5,9 @@
 2. Distinct SimHashes are spread over shards; each shard builds a small-world
    graph over Hamming distance, and every SimHash is sent to every shard and
    searched there with expanding beams. Each shard first searches an audit sample
-   exactly; while the graph's recall on it is under the target, the search is
-   widened, and in the end made exact.
+   exactly; while the graph's mean recall a code is under the target, among codes
+   with few partners or among those with many, the search is widened, and in the
+   end made exact.
 3. The pairs found connect candidate clusters. Within each cluster the pairs are
    verified by the MinHash estimate of the Jaccard similarity, and only verified
    edges are unioned into groups.
@@ -23,13 +24,17 @@ from pyspark.sql import functions as F
 
 from tessella.llm import textvec as tv
 from tessella.llm.components import components, roots
-from tessella.llm.smallworld import BYTES, SmallWorld
+from tessella.llm.smallworld import BYTES, SmallWorld, hamming
 from tessella.llm.storage import bound_batches, write_table
 
 PLACES = 128
 #: Bits of 256 by which near-duplicates may differ; expected at word-pair Jaccard 0.55.
 RADIUS = 66
 HORIZON = 100
+#: (beam, width) of the searches tried in turn before the exact one.
+LADDER = ((16, 4), (32, 8), (64, 16), (128, 32), (256, 64), (512, 128))
+#: Codes with up to so many partners in a shard are audited apart from the others.
+FEW = 8
 FINGERPRINTS = "code binary, sketch binary"
 
 _LANES = np.zeros((256, 8), np.uint8)
@@ -135,6 +140,52 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return rows.select("doc_id", "text_hash", F.col("f.code").alias("code"), F.col("f.sketch").alias("sketch"), F.when(F.col("f.code").isNotNull(), F.xxhash64("f.code")).alias("node"))
 
 
+def _recall(graph: SmallWorld, codes: np.ndarray, own: np.ndarray, truth: np.ndarray, search: tuple) -> float:
+    """Mean share of its truth, the number of its partners, that a code's search finds; own is a code's place in the graph or -1."""
+    found = np.zeros(len(codes), np.int64)
+    for lo in range(0, len(codes), 256):
+        q, x, _ = graph.within(codes[lo : lo + 256], *search)
+        found[lo : lo + 256] = np.bincount(q[own[lo : lo + 256][q] != x], minlength=len(codes[lo : lo + 256]))
+    return float((found / truth).mean()) if len(codes) else 1.0
+
+
+def planted(graph: SmallWorld, n: int, radius: int, seed: int = 2) -> tuple[np.ndarray, np.ndarray]:
+    """Up to n codes with few partners, 1 to radius bits off a node that has few itself, and the numbers of their partners.
+
+    A node with at most FEW partners has an edge beyond the radius in place FEW:
+    no such node is left out.
+    """
+    rng, edge = np.random.default_rng(seed), graph.edges[:, FEW]
+    pool = np.flatnonzero((edge < 0) | (hamming(graph.words, graph.words[np.maximum(edge, 0)]) > radius))
+    if len(pool) == 0:
+        return np.zeros((0, BYTES), np.uint8), np.zeros(0, np.int64)
+    at = rng.choice(pool, n)
+    flip = rng.random((n, 256)).argsort(axis=1).argsort(axis=1) < rng.integers(1, radius + 1, n)[:, None]
+    codes = graph.codes[at] ^ np.packbits(flip, axis=1)
+    truth = np.bincount(graph.exact(codes, radius)[0], minlength=n)
+    return codes[truth <= FEW], truth[truth <= FEW]
+
+
+def settle(graph: SmallWorld, codes: np.ndarray, own: np.ndarray, truth: np.ndarray, radius: int, horizon: int, target: float, enough: int = 300) -> tuple[int, int] | None:
+    """The first (beam, width) whose mean recall a code reaches the target among codes with few partners and among those with many; None: search exactly.
+
+    codes are an audit sample, own their places in the graph or -1, truth the
+    numbers of their partners. Where under `enough` of them have few partners,
+    planted codes make up the number.
+    """
+    few, many = np.flatnonzero((truth > 0) & (truth <= FEW)), np.flatnonzero(truth > FEW)[:enough]
+    more, more_truth = planted(graph, enough, radius) if len(few) < enough else (codes[:0], truth[:0])
+    more, more_truth = more[: max(0, enough - len(few))], more_truth[: max(0, enough - len(few))]
+    small = np.concatenate([codes[few], more]), np.concatenate([own[few], np.full(len(more), -1)]), np.concatenate([truth[few], more_truth])
+    for beam, width in LADDER:
+        if 2 * width * BYTES >= len(graph.codes):  # the exact search compares no more
+            break
+        search = (radius, beam, width, horizon)
+        if _recall(graph, *small, search) >= target and _recall(graph, codes[many], own[many], truth[many], search) >= target:
+            return beam, width
+    return None
+
+
 def _searcher(radius: int, horizon: int, target: float):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows (role, node, code) of one shard: role 0 its own, 1 the audit queries, 2 the other queries."""
@@ -156,18 +207,16 @@ def _searcher(radius: int, horizon: int, target: float):
             ids, codes = join(0, BYTES)
             graph = SmallWorld(codes)
             nodes, sample = join(1, BYTES)
-            exact = graph.exact(sample, radius)
-            truth = {(q, x) for q, x in zip(exact[0].tolist(), exact[1].tolist(), strict=True) if nodes[q] != ids[x]}
-            for beam, width in ((16, 4), (32, 8), (64, 16), (128, 32)):
-                settings = (beam, width)
-                got = graph.within(sample, radius, beam, width, horizon)
-                hit = len(truth & set(zip(got[0].tolist(), got[1].tolist(), strict=True)))
-                if hit >= target * len(truth):
-                    break
-            else:
-                settings = None
             held.clear()
-            yield edges(nodes, exact)
+            by = np.argsort(ids, kind="stable")
+            place = by[np.clip(np.searchsorted(ids[by], nodes), 0, len(ids) - 1)] if len(ids) else np.zeros(len(nodes), np.int64)
+            own = np.where(ids[place] == nodes, place, -1) if len(ids) else np.full(len(nodes), -1)
+            truth = np.zeros(len(nodes), np.int64)
+            for lo in range(0, len(nodes), 256):
+                exact = graph.exact(sample[lo : lo + 256], radius)
+                truth[lo : lo + 256] = np.bincount(exact[0][own[lo : lo + 256][exact[0]] != exact[1]], minlength=len(nodes[lo : lo + 256]))
+                yield edges(nodes[lo : lo + 256], exact)
+            settings = settle(graph, sample, own, truth, radius, horizon, target)
 
         for batch in batches:
             role, node, code = np.asarray(batch.column(0)), np.asarray(batch.column(1)), _bytes(batch.column(2), BYTES)
@@ -185,13 +234,13 @@ def _searcher(radius: int, horizon: int, target: float):
     return search
 
 
-def candidate_pairs(codes: DataFrame, shards: int | None = None, radius: int = RADIUS, horizon: int = HORIZON, audit: int = 1000, target: float = 0.95, shard_rows: int = 1_000_000) -> DataFrame:
+def candidate_pairs(codes: DataFrame, shards: int | None = None, radius: int = RADIUS, horizon: int = HORIZON, audit: int = 4000, target: float = 0.95, shard_rows: int = 1_000_000) -> DataFrame:
     """(a, b), a < b: pairs of nodes whose codes differ in at most radius bits.
 
     codes has distinct rows (node, code). Every code is searched in every shard;
     there are at least six shards, and one more for each further shard_rows codes
     (a graph takes about 500 bytes a code). audit is the number of codes searched
-    exactly in each shard to measure recall.
+    exactly in each shard to measure the mean recall a code (settle).
     """
     n = codes.count()
     shards = shards or max(6, -(-n // shard_rows))

@@ -162,10 +162,12 @@ class SmallWorld:
 
     def exact(self, q: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """within(), by comparing with every node."""
-        qw, out = words(q), []
-        for lo in range(0, len(q), 256):
-            for at in range(0, len(self.codes), 4096):
-                d = hamming(qw[lo : lo + 256, None, :], self.words[None, at : at + 4096])
+        qw, x, out = words(q), np.ascontiguousarray(self.words.T), []
+        for lo in range(0, len(q), 64):
+            for at in range(0, len(self.codes), 2048):
+                d = np.zeros((len(qw[lo : lo + 64]), len(x[0, at : at + 2048])), np.uint16)
+                for k in range(len(x)):
+                    d += np.bitwise_count(qw[lo : lo + 64, k, None] ^ x[k, at : at + 2048])
                 r, c = np.nonzero(d <= radius)
-                out.append((r + lo, c + at, d[r, c]))
+                out.append((r + lo, c + at, d[r, c].astype(np.int32)))
         return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 3

@@ -119,3 +119,27 @@ def test_awkward_rows(spark):
     assert ids.count(None) == 3  # texts without words are alone, fully repeated or not
     assert neardup.keep_representatives(docs.limit(0)).count() == 0
     assert neardup.near_duplicate_groups(docs.limit(0)).count() == 0
+
+
+def test_audit_sees_small_groups_beside_a_hot_one():
+    rng = np.random.default_rng(3)
+    flip = lambda row, n: row ^ np.packbits(rng.permutation(256) < n)
+    hot = rng.integers(0, 256, BYTES, dtype=np.uint8)
+    first = rng.integers(0, 256, (16_000, BYTES), dtype=np.uint8)
+    g = SmallWorld(np.unique(np.concatenate([first, [flip(hot, rng.integers(1, 24)) for _ in range(400)]]), axis=0))
+    pairs = np.array([flip(row, rng.integers(50, 67)) for row in first[:400]])
+
+    def recall(settings, codes):
+        truth = np.bincount(g.exact(codes, neardup.RADIUS)[0], minlength=len(codes))
+        got = truth if settings is None else np.bincount(g.within(codes, neardup.RADIUS, *settings, neardup.HORIZON)[0], minlength=len(codes))
+        return (got / truth).mean()
+
+    sample = np.concatenate([[flip(hot, rng.integers(1, 24)) for _ in range(100)], pairs[:60]])
+    truth = np.bincount(g.exact(sample, neardup.RADIUS)[0], minlength=len(sample))
+    first_found = np.bincount(g.within(sample, neardup.RADIUS, 16, 4, neardup.HORIZON)[0], minlength=len(sample))
+    assert first_found.sum() >= 0.95 * truth.sum()  # what the pairs' share hides
+    assert recall((16, 4), pairs) < 0.85
+    settings = neardup.settle(g, sample, np.full(len(sample), -1), truth, neardup.RADIUS, neardup.HORIZON, 0.95)
+    assert recall(settings, pairs) >= 0.9
+    none = neardup.settle(g, sample[:0], np.zeros(0, np.int64), np.zeros(0, np.int64), neardup.RADIUS, neardup.HORIZON, 0.95)
+    assert none != (16, 4)  # no partners in the sample prove nothing
