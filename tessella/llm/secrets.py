@@ -1,7 +1,8 @@
 """Secret scan with structural confirmation.
 
-Candidates are maximal runs of token characters that look encoded, PEM blocks
-and assignments of hex strings. A candidate is reported only after its content
+Candidates are maximal runs of token characters that look encoded, such runs
+joined over line breaks where one begins a key, PEM blocks (also with escaped
+line breaks, quotes or marks of comments) and assignments of hex strings. A candidate is reported only after its content
 has been decoded and parsed: ASN.1 key encodings and OpenSSH blobs whose nested
 lengths must close exactly, signed-token headers that must be JSON with an
 algorithm, key identifiers whose alphabet and checksum must agree, and hex
@@ -43,6 +44,12 @@ _JWT = re.compile(rb"([A-Za-z0-9_-]{8,})\.([A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]*)"
 _ACCESS_ID = re.compile(rb"(?<![A-Z0-9])(AKIA|ASIA)([A-Z2-7]{16})(?![A-Z0-9])")
 _CHECKED = re.compile(rb"(?<![A-Za-z0-9])(gh[pousr])_([A-Za-z0-9]{30})([A-Za-z0-9]{6})(?![A-Za-z0-9])")
 _BASE64 = re.compile(rb"[A-Za-z0-9+/_-]{32,}={0,2}")
+_BASE64_PIECE = re.compile(rb"[A-Za-z0-9+/_-]+={0,2}")
+_HEX_PIECE = re.compile(rb"[0-9a-fA-F]+")
+#: Between two lines of wrapped data: a real or an escaped line break, with the marks of string literals, continuations, quotes and comments.
+_BREAK = re.compile(rb"[\"'`]?[ \t]*[+.,]?[ \t]*(?:(?:\\+r)?\\+n|\\+r|\\?\r?\n)(?:[\"'`]?[ \t]*[+.,]?[ \t]*\\?\r?\n)?[ \t>|#*]*(?:[+.][ \t]*(?=[\"'`])|//[ \t]+)?[\"'`]?")
+#: The beginning of a private key in DER: a sequence (group 1 ends its length) that begins with a version or another sequence.
+_DER_KEY = re.compile(rb"(\x30(?:[\x00-\x7f]|\x81.|\x82..|\x83...|\x84....))(?:\x02\x01[\x00\x01]|\x30)", re.S)
 _BASE62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 _CURVES = {bytes.fromhex("2a8648ce3d030107"): "P-256", bytes.fromhex("2b81040022"): "P-384", bytes.fromhex("2b81040023"): "P-521", bytes.fromhex("2b8104000a"): "secp256k1"}
 _KEY_TYPES = {bytes.fromhex("2a864886f70d010101"): "RSA", bytes.fromhex("2a8648ce3d0201"): "EC", bytes.fromhex("2b6570"): "Ed25519", bytes.fromhex("2b656e"): "X25519", bytes.fromhex("2a8648ce380401"): "DSA"}
@@ -170,6 +177,69 @@ def raw_key(digits: bytes) -> str | None:
     return f"hex {len(data)} bytes"
 
 
+def unwrap(body: bytes) -> bytes:
+    """A PEM body from a string literal, a quote or a comment: escapes undone, marks at both ends of a line taken off."""
+    body = re.sub(rb"\\+u00([0-7][0-9a-fA-F])", lambda m: bytes.fromhex(m[1].decode()), body)
+    body = re.sub(rb"(?:\\+r)?\\+n|\\+r|\r\n?", b"\n", body)
+    lines = re.sub(rb"\\+t", b" ", body).replace(b"\\", b"").split(b"\n")
+    full = [x for x in lines if x.strip()]
+    if full and all(x[:1] == full[0][:1] for x in full) and full[0][:1] in (b"+", b"-"):  # a diff
+        lines = [x[1:] for x in lines]
+    lines = [re.sub(rb"^[\s>|#*;,\"'`]*(?:[+.]\s*(?=[\"'`])|(?://|--)\s+)?[\s\"'`]*|(?:[\"'`]\s*[+.]?)?[\s,;&)]*$", b"", x) for x in lines]
+    return b"\n".join(lines)
+
+
+def _size(data: bytes) -> int | None:
+    """The length of the key that data begins with, by its outer lengths; None if data is too short or begins no key."""
+    if data.startswith(b"openssh-key-v1\0"):
+        at, left = 15, 3
+        while left:
+            at += 4 + int.from_bytes(data[at : at + 4], "big")
+            left -= 1
+        count = int.from_bytes(data[at : at + 4], "big")
+        at += 4
+        for _ in range(count + 1 if count <= 64 else 0):
+            at += 4 + int.from_bytes(data[at : at + 4], "big")
+        return at if at <= len(data) else None
+    if not (m := _DER_KEY.match(data)):
+        return None
+    return m.end(1) + int.from_bytes(data[2 : m.end(1)], "big") if data[1] & 0x80 else 2 + data[1]
+
+
+def wrapped(text: bytes, start: int, hexadecimal: bool) -> tuple[str, int] | None:
+    """The key type and the end of a private key in base64 or hex that begins at start and goes on over line breaks."""
+    piece, step = (_HEX_PIECE, 2) if hexadecimal else (_BASE64_PIECE, 4)
+
+    def decoded(data: bytes) -> bytes:
+        data = data[: len(data) // step * step]
+        return (bytes.fromhex(data.decode()) if hexadecimal else b64decode(data)) or b""
+
+    m = piece.match(text, start)
+    head = decoded(m[0][:64])
+    ssh = head.startswith(b"openssh-key-v1\0")
+    if not ssh and not _DER_KEY.match(head):
+        return None
+    need = None if ssh else _size(head)
+    chars = lambda n: 2 * n if hexadecimal else -(-n * 4 // 3)
+    lines, have = [m], len(m[0].rstrip(b"="))
+    while (need is None or have < chars(need)) and (gap := _BREAK.match(text, lines[-1].end())) and (m := piece.match(text, gap.end())):
+        lines.append(m)
+        have += len(m[0].rstrip(b"="))
+    if ssh and (need := _size(decoded(b"".join(m[0].rstrip(b"=") for m in lines)))) is None:
+        return None
+    body, have = [], 0
+    for m in lines:
+        body.append(m[0])
+        have += len(m[0].rstrip(b"="))
+        if have >= chars(need):
+            break
+    if have != chars(need):
+        return None
+    data = bytes.fromhex(b"".join(body).decode()) if hexadecimal else b64decode(b"".join(body))
+    kind = data and (private_key(data) or openssh_key(data))
+    return (kind, m.end()) if kind else None
+
+
 def scan(text: bytes, at: np.ndarray | None = None) -> list[tuple[str, str, int, int]]:
     """(kind, detail, start, length) of all confirmed secrets of one text, in byte positions; at: (start, end) of the runs to look at."""
     found: list[tuple[str, str, int, int]] = []
@@ -184,11 +254,16 @@ def scan(text: bytes, at: np.ndarray | None = None) -> list[tuple[str, str, int,
         for m in _PEM.finditer(text):
             body = m[2].split(b"\n\n")[-1] if b":" in m[2] else m[2]
             data = b64decode(body)
+            if data is None:
+                body = unwrap(m[2])
+                data = b64decode(body.split(b"\n\n")[-1] if b":" in body else body)
             if data and (kind := private_key(data) or openssh_key(data)):
                 add("private_key", kind, *m.span())
             elif data and b"ENCRYPTED" in m[2] and len(data) % 8 == 0:
                 add("private_key", "PEM encrypted", *m.span())
     for start, end in runs(text) if at is None else at.tolist():
+        if text[start - 1 : start] == b"\\" and text[start] in b"nrt":  # of an escaped line break
+            start += 1
         run = text[start:end]
         for m in _ACCESS_ID.finditer(run):
             add("access_key_id", f"{m[1].decode()} {int.from_bytes(base64.b32decode(m[2]), 'big') >> 39 & (1 << 40) - 1}", start + m.start(), start + m.end())
@@ -208,12 +283,16 @@ def scan(text: bytes, at: np.ndarray | None = None) -> list[tuple[str, str, int,
             data = bytes.fromhex(m[0].decode()) if len(m[0]) % 2 == 0 else b""
             if data and (kind := private_key(data) or openssh_key(data)):
                 add("private_key", f"hex {kind}", start + m.start(), start + m.end())
+            elif start + m.end() == end and (more := wrapped(text, start + m.start(), True)):
+                add("private_key", f"hex {more[0]}", start + m.start(), more[1])
             elif _ASSIGNED.search(text[max(0, start + m.start() - 48) : start + m.start()]) and (kind := raw_key(m[0])):
                 add("assigned_key", kind, start + m.start(), start + m.end())
         for m in _BASE64.finditer(run):
             data = b64decode(m[0])
             if data and (kind := private_key(data) or openssh_key(data)):
                 add("private_key", f"base64 {kind}", start + m.start(), start + m.end())
+            elif start + m.end() == end and (more := wrapped(text, start + m.start(), False)):
+                add("private_key", f"base64 {more[0]}", start + m.start(), more[1])
     return found
 
 

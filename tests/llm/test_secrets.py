@@ -98,3 +98,31 @@ def test_awkward_rows(spark):
     got = sorted((r["doc_id"] or 0, r["kind"]) for r in secrets.find_secrets(docs).collect())
     assert got == [(0, "signed_token"), (40, "signed_token"), (40, "signed_token"), (41, "signed_token")]
     assert secrets.find_secrets(docs.limit(0)).count() == 0
+
+
+def lines(text: str, width: int, sep: str = "\n") -> str:
+    return sep.join(text[i : i + width] for i in range(0, len(text), width))
+
+
+B64 = lambda b: base64.b64encode(b).decode()
+WRAPPED = {
+    "escaped PEM in JSON": json.dumps({"private_key": pem("PRIVATE KEY", pkcs8()) + "\n"}), "doubly escaped": json.dumps(json.dumps({"k": pem("RSA PRIVATE KEY", rsa())})), "escaped CRLF": json.dumps(pem("EC PRIVATE KEY", sec1()).replace("\n", "\r\n")),
+    "escaped slashes": json.dumps(pem("OPENSSH PRIVATE KEY", openssh())).replace("/", "\\/"), "joined literals": '"' + pem("PRIVATE KEY", pkcs8()).replace("\n", '\\n" +\n  "') + '"', "quoted mail": "> " + pem("RSA PRIVATE KEY", rsa()).replace("\n", "\n> "), "diff": "+" + pem("RSA PRIVATE KEY", rsa()).replace("\n", "\n+"),
+    "base64 at 76": lines(B64(pkcs8()), 76), "base64 at 64": "data:\n" + lines(B64(rsa()), 64), "base64 CRLF": lines(B64(sec1()), 64, "\r\n"), "base64 escaped": '{"k": "' + lines(B64(pkcs8()), 64, "\\n") + '"}', "base64 indented": "key: |\n  " + lines(B64(openssh()), 64, "\n  "), "escaped start": '"a\\n' + lines(B64(pkcs8()), 76, "\\n") + '"',
+    "hex at 60": lines(pkcs8().hex(), 60), "hex at 64": lines(sec1().hex(), 64), "openssh hex": lines(openssh().hex(), 64),
+}
+
+
+@pytest.mark.parametrize("name", WRAPPED)
+def test_keys_over_line_breaks(name):
+    for _ in range(2):
+        whole = f"before\n{WRAPPED[name]}\nafter".encode()
+        found = secrets.scan(whole)
+        assert [f[0] for f in found] == ["private_key"]
+        assert 7 <= found[0][2] and found[0][2] + found[0][3] <= len(whole) - 6
+
+
+@pytest.mark.parametrize("name", ["truncated", "noise", "broken"])
+def test_wrapped_data_that_is_no_key(name):
+    text = {"truncated": lines(B64(pkcs8()[:-9]), 76), "noise": lines(B64(BYTES(3000)), 76), "broken": lines(B64(pkcs8()), 76).replace("\n", "\n\n!", 3)}[name]
+    assert secrets.scan(f"before\n{text}\nafter".encode()) == []
