@@ -22,7 +22,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm import textvec as tv
-from tessella.llm.storage import bound_batches
 
 RESULT = "doc_id bigint, item_id bigint, distance int, error_budget int, match_end bigint"
 _PREFIX = 8
@@ -308,7 +307,6 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, rate: float = 0.1, items
     ids are read as null.
     """
     rows = [(r[0], r[1]) for r in benchmark.select(F.col("item_id").cast("bigint"), "text").toLocalIterator()]
-    bound_batches(docs.sparkSession)
     slim = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     found = None
     for at in range(0, max(1, len(rows)), items_per_pass):
@@ -335,7 +333,6 @@ def contaminated(items: Items, text) -> "F.Column":
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = 0.1, items_per_pass: int = 10_000) -> DataFrame:
     """docs without those that hold a benchmark item; all columns stay, and so do rows with null or empty text."""
     rows = [(r[0], r[1]) for r in benchmark.select(F.col("item_id").cast("bigint"), "text").toLocalIterator()]
-    bound_batches(docs.sparkSession)
     for at in range(0, len(rows), items_per_pass):
         docs = docs.where(~contaminated(cut_items(rows[at : at + items_per_pass], rate), "text"))
     return docs

@@ -15,14 +15,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.llm import textvec as tv
-from tessella.llm.storage import bound_batches
+from tessella.llm.storage import write_table
 
 ORDERS = (3, 5)
-BITS = 19
+#: A filter has at least 2 ** LEAST_BITS slots, and more where its fullest language would set over SHARE of them.
+LEAST_BITS, SHARE = 19, 0.16
 _SEEDS = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 UNDETERMINED = "und"
 RESULT = "language string, rate double, margin double, n_grams bigint, scores array<double>"
@@ -30,10 +31,11 @@ RESULT = "language string, rate double, margin double, n_grams bigint, scores ar
 
 @dataclass(frozen=True)
 class LanguageModel:
-    """languages; for each order the filter as planes of 8 languages (planes, slots); for each order the false-positive rates."""
+    """languages; for each order the filter as planes of 8 languages (planes, slots) and its slots as a power of two; for each order the false-positive rates."""
 
     languages: tuple[str, ...]
     planes: tuple[np.ndarray, ...]
+    bits: tuple[int, ...]
     false_rates: np.ndarray
     min_rate: float
 
@@ -56,24 +58,27 @@ def grams(buf: np.ndarray, off: np.ndarray, n: int) -> tuple[np.ndarray, np.ndar
     return g[within], rows[within]
 
 
-def slots(g: np.ndarray) -> list[np.ndarray]:
-    return [((g * s) >> np.uint64(64 - BITS)).astype(np.int64) for s in _SEEDS]
+def slots(g: np.ndarray, bits: int = LEAST_BITS) -> list[np.ndarray]:
+    return [((g * s) >> np.uint64(64 - bits)).astype(np.int64) for s in _SEEDS]
 
 
 def build(languages: list[str], found: dict[tuple[int, int], np.ndarray], min_rate: float) -> LanguageModel:
     """A model from found[(language index, order)] = n-grams."""
     n_planes = max(1, -(-len(languages) // 8))
-    planes, rates = [], np.zeros((len(ORDERS), len(languages)))
+    planes, sizes, rates = [], [], np.zeros((len(ORDERS), len(languages)))
     for k, n in enumerate(ORDERS):
-        plane = np.zeros((n_planes, 1 << BITS), np.uint8)
+        most = max((len(g) for (_, o), g in found.items() if o == n), default=0)
+        bits = max(LEAST_BITS, int(np.ceil(np.log2(max(1, most * len(_SEEDS) / SHARE)))))
+        plane = np.zeros((n_planes, 1 << bits), np.uint8)
         for l in range(len(languages)):
             bit = np.uint8(1 << (l % 8))
-            for s in slots(found.get((l, n), np.zeros(0, np.uint64))):
+            for s in slots(found.get((l, n), np.zeros(0, np.uint64)), bits):
                 plane[l // 8][s] |= bit
-            fill = np.count_nonzero(plane[l // 8] & bit) / (1 << BITS)
+            fill = np.count_nonzero(plane[l // 8] & bit) / (1 << bits)
             rates[k, l] = fill ** len(_SEEDS)
         planes.append(plane)
-    return LanguageModel(tuple(languages), tuple(planes), rates, min_rate)
+        sizes.append(bits)
+    return LanguageModel(tuple(languages), tuple(planes), tuple(sizes), rates, min_rate)
 
 
 def count_training_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -91,33 +96,51 @@ def count_training_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Recor
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(u), l), pa.int32()), pa.array(np.full(len(u), n), pa.int32()), pa.array(u.view(np.int64)), pa.array(c)], names=["lang", "n", "gram", "c"])
 
 
-def train(docs: DataFrame, docs_per_language: int = 500, min_count: int = 3, max_grams: int = 40_000, max_languages: int = 64, min_rate: float = 0.35) -> LanguageModel:
+def _level(doc_id: str) -> Column:
+    """0 .. 63: the binary length of a 63-bit hash; half of all ids have 63, a quarter 62, and so on."""
+    return F.length(F.bin(F.shiftrightunsigned(F.xxhash64(F.lit(11), doc_id), 1)))
+
+
+def label_levels(docs: DataFrame, docs_per_language: int) -> DataFrame:
+    """(lang, upto): for each label the least level below which lie at least docs_per_language labelled documents, 64 where there are fewer.
+
+    The rows at each level are counted, with map-side combining, so a label with
+    any number of documents keeps a sample of between docs_per_language and about
+    twice as many, and never an empty one.
+    """
+    counts = docs.where("lang is not null and text is not null").groupBy("lang", _level("doc_id").alias("level")).agg(F.count(F.lit(1)).alias("n"))
+    below = F.sum("n").over(Window.partitionBy("lang").orderBy("level"))  # over at most 64 rows a label
+    reached = counts.withColumn("below", below).where(F.col("below") >= docs_per_language).groupBy("lang").agg(F.min("level").alias("upto"))
+    return counts.select("lang").distinct().join(reached, "lang", "left").select("lang", F.coalesce("upto", F.lit(64)).alias("upto"))
+
+
+def sample(docs: DataFrame, levels: DataFrame, docs_per_language: int) -> DataFrame:
+    """(lang, text) of docs_per_language documents of each label, those with the least hash of doc_id, ties broken by text; all where there are fewer."""
+    l = levels.select(F.col("lang").alias("l_lang"), "upto")
+    d = docs.select(F.col("lang").alias("d_lang"), F.col("text").alias("t"), F.xxhash64(F.lit(11), "doc_id").alias("h"), _level("doc_id").alias("level"))
+    near = d.where("t is not null").join(l, (F.col("d_lang") == F.col("l_lang")) & (F.col("level") <= F.col("upto")))
+    first = Window.partitionBy("d_lang").orderBy(F.shiftrightunsigned("h", 1), "t")
+    return near.withColumn("place", F.row_number().over(first)).where(F.col("place") <= docs_per_language).select("d_lang", "t")
+
+
+def train(docs: DataFrame, docs_per_language: int = 500, min_count: int = 3, min_rate: float = 0.35) -> LanguageModel:
     """A model from documents labelled in column lang.
 
-    It is fitted on a sample of about docs_per_language documents of each
-    language, taken by a hash of doc_id (all of them where there are fewer), and
-    keeps up to max_grams n-grams of each order and language that occur at least
-    min_count times; the max_languages most frequent labels count. Rows with a
-    null label or text are not used. Without any labelled row the model has no
-    language and rejects everything.
+    It is fitted on docs_per_language documents of each label (see sample), and
+    keeps every n-gram of them that occurs at least min_count times. Every label
+    is a language, however rare: a language takes 64 KB of an order's filter, or
+    more where n-grams are many. Rows with a null label or text are not used.
+    Without any labelled row the model has no language and rejects everything.
     """
-    bound_batches(docs.sparkSession)
-    sizes = docs.where(F.col("lang").isNotNull()).groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()
-    names = sorted(r["lang"] for r in sizes)
+    levels = write_table(label_levels(docs, docs_per_language), "labels")
+    names = sorted(r["lang"] for r in levels.select("lang").collect())
     if not names:
         return build([], {}, min_rate)
-    size = {r["lang"]: r["count"] for r in sizes}
-    # The label's index and its sampling threshold; both are literals of at most max_languages branches.
-    index = threshold = None
-    for k, name in enumerate(names):
-        t = F.lit(int(min(1.0, docs_per_language / size[name]) * (1 << 20)))
-        is_it = F.col("lang") == F.lit(name)
-        index = F.when(is_it, F.lit(k)) if index is None else index.when(is_it, F.lit(k))
-        threshold = F.when(is_it, t) if threshold is None else threshold.when(is_it, t)
-    sample = docs.where(F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.lit(1 << 20)) < threshold).select(index.alias("l"), F.col("text").alias("t")).where("l is not null and t is not null")
-    counted = sample.mapInArrow(count_training_grams, "lang int, n int, gram bigint, c bigint").groupBy("lang", "n", "gram").agg(F.sum("c").alias("c")).where(F.col("c") >= min_count)
-    packed = counted.groupBy("lang", "n").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("c")).alias("c"), "gram"))), 1, max_grams).getField("gram").alias("g"))
-    found = {(r["lang"], r["n"]): np.array(r["g"], np.int64).view(np.uint64) for r in packed.collect()}
+    index = docs.sparkSession.createDataFrame(list(enumerate(names)), "l int, l_name string")  # a local relation: Spark broadcasts it if it is small
+    rows = sample(docs, levels, docs_per_language).join(index, F.col("d_lang") == F.col("l_name")).select("l", "t")
+    counted = rows.mapInArrow(count_training_grams, "lang int, n int, gram bigint, c bigint").groupBy("lang", "n", "gram").agg(F.sum("c").alias("c")).where(F.col("c") >= min_count)
+    packed = counted.groupBy("lang", "n").agg(F.collect_list("gram").alias("g"))  # of the bounded sample
+    found = {(r["lang"], r["n"]): np.array(r["g"], np.int64).view(np.uint64) for r in packed.toLocalIterator()}
     return build(names, found, min_rate)
 
 
@@ -130,7 +153,7 @@ def scores(model: LanguageModel, texts: pa.Array) -> tuple[np.ndarray, np.ndarra
         buf, off = tv.normalised(texts.slice(start, end - start), tv.LETTERS)
         for k, n in enumerate(ORDERS):
             g, rows = grams(buf, off, n)
-            at = slots(g)
+            at = slots(g, model.bits[k])
             count = np.bincount(rows, minlength=end - start)
             total[start:end] += count
             for p, plane in enumerate(model.planes[k]):
@@ -175,6 +198,9 @@ def identify(model: LanguageModel, text: Column | str) -> Column:
 
 
 def keep_identified(docs: DataFrame, model: LanguageModel) -> DataFrame:
-    """docs without those whose language is undetermined; all columns stay."""
-    bound_batches(docs.sparkSession)
+    """docs without those whose language is undetermined; all columns stay.
+
+    Rows with null or empty text are undetermined and go; repeated rows stay or go
+    together; an empty table gives an empty one.
+    """
     return docs.where(identify(model, "text").getField("language") != UNDETERMINED)

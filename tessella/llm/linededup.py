@@ -15,7 +15,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.storage import bound_batches
 
 _TRIM = " \t\r"
 _LATER = "doc_id bigint, text_hash bigint, n_lines int, pos int"
@@ -133,7 +132,6 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     follows the text. Nulls and repeated rows: see keep_bitmaps; a row with null
     text stays as it is.
     """
-    bound_batches(docs.sparkSession)
     maps = keep_bitmaps(docs).where("n_kept < n_lines").select(F.col("doc_id").alias("k1"), F.col("text_hash").alias("k2"), "keep_runs")
     left = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     joined = left.join(maps, F.col("row.doc_id").eqNullSafe(F.col("k1")) & (F.xxhash64(F.coalesce(F.col("row.text"), F.lit(""))) == F.col("k2")), "left")

@@ -22,7 +22,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm import textvec as tv
-from tessella.llm.storage import bound_batches
 
 KINDS = ("EMAIL", "PHONE", "IP", "CARD", "IBAN", "SSN")
 LABELS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
@@ -375,5 +374,4 @@ def find_pii(docs: DataFrame, model: Model | None = None) -> DataFrame:
     holds no personal data. Null and empty texts give no rows, null ids stay null,
     repeated rows report each, other columns are ignored.
     """
-    bound_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(_finder(model or default_model()), RESULT)

@@ -24,7 +24,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm import textvec as tv
-from tessella.llm.storage import bound_batches
 
 RESULT = "doc_id bigint, kind string, detail string, start bigint, length int, digest string"
 MIN_RUN = 16
@@ -364,5 +363,4 @@ def find_secrets(docs: DataFrame) -> DataFrame:
     parse are not reported. Null and empty texts give no row, null ids stay null,
     repeated rows report each, other columns are ignored.
     """
-    bound_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(scan_batches, RESULT)

@@ -5,40 +5,25 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; only where that is unset (tests, one machine) a new temporary one."""
+    """The folder in spark.checkpoint.dir. Where that is unset, a session in one process (tests) gets a new one; a cluster's session is an error."""
     context = spark.sparkContext
     have = context._jsc.sc().getCheckpointDir()
     if have.isDefined():
         return have.get()
     named = context.getConf().get("spark.checkpoint.dir")
-    if named is None:
-        if not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    if named is None and context.master.split("[")[0] == "local":
         named = tempfile.mkdtemp(prefix="tessella-")
+    if named is None:
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     context.setCheckpointDir(named)
     return context._jsc.sc().getCheckpointDir().get()
 
 
-#: Rows of an Arrow batch of texts.
-BATCH_ROWS = 2000
-
-
-def bound_batches(spark: SparkSession) -> None:
-    """Lowers the session's rows in an Arrow batch to BATCH_ROWS, if there are more.
-
-    Texts take kilobytes each, and a batch is held by the JVM, twice while its
-    buffers grow, and by the Python worker: Spark's 10,000 rows are too many.
-    Results don't hang on it.
-    """
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
-        spark.conf.set(name, str(BATCH_ROWS))
-
-
 def cut(df: DataFrame) -> DataFrame:
     """df with its lineage cut by a reliable checkpoint in the shared folder."""
     checkpoint_dir(df.sparkSession)
@@ -50,3 +35,15 @@ def write_table(df: DataFrame, name: str) -> DataFrame:
     path = f"{checkpoint_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Up to so many bytes the small side of a join is broadcast.
+BROADCAST_BYTES = 32 << 20
+
+
+def join_measured(big: DataFrame, small: DataFrame, on: Column, how: str, row_bytes: int, most: int = BROADCAST_BYTES) -> DataFrame:
+    """big joined with a written table small, which is broadcast if its rows times row_bytes are at most `most`; beyond that both sides are shuffled.
+
+    Either way gives the same rows. small is counted from its file's metadata.
+    """
+    return big.join(F.broadcast(small) if small.count() * row_bytes <= most else small, on, how)

@@ -75,6 +75,43 @@ def test_awkward_rows(spark):
     assert {x["language"] for x in r} == {"und"}
 
 
+def test_the_sample_holds_for_labels_of_any_size(spark):
+    """Counts stand for a label of any size: with 1e9 documents the level is that of 500 of them, never under the least hash."""
+    docs = data.documents(spark, [(i, f"word{i}", "big" if i % 10 else "rare", "s") for i in range(20_000)] + [(None, "same", "nulls", "s")] * 700 + [(None, None, "big", "s")])
+    levels = langid.label_levels(docs, 500)
+    got = {r["lang"]: r["n"] for r in langid.sample(docs, levels, 500).groupBy("d_lang").count().selectExpr("d_lang as lang", "count as n").collect()}
+    assert got == {"big": 500, "rare": 500, "nulls": 500}
+    want = sorted((r["h"], r["doc_id"]) for r in docs.where("lang = 'big' and text is not null").select("doc_id", langid.F.shiftrightunsigned(langid.F.xxhash64(langid.F.lit(11), "doc_id"), 1).alias("h")).collect())[:500]
+    assert {r["t"] for r in langid.sample(docs, levels, 500).where("d_lang = 'big'").collect()} == {f"word{i}" for _, i in want}
+
+
+def test_a_label_of_a_billion_documents_is_sampled(spark):
+    """Mocked counts: at 1e9 documents a label's lowest level that holds 500 is about 2 ** 63 * 5e-7 and is not empty."""
+    halves = [("huge", level, 10**9 >> (64 - level)) for level in range(34, 64)]
+    counts = spark.createDataFrame([(l, v, n) for l, v, n in halves if n], "lang string, level int, n bigint")
+    real, langid.F.count = langid.F.count, lambda *_: langid.F.sum("n")
+    try:
+        docs = counts.withColumns({"text": langid.F.lit("x"), "doc_id": langid.F.lit(1)})
+        level, langid._level = langid._level, lambda _: langid.F.col("level")
+        upto = langid.label_levels(docs, 500).first()["upto"]
+    finally:
+        langid.F.count, langid._level = real, level
+    assert 500 <= sum(n for _, v, n in halves if v <= upto) <= 1500
+
+
+def test_every_label_is_a_language(spark):
+    rows = [(i * 3 + j, f"{chr(97 + i % 26)}{chr(97 + i // 26)}x{chr(97 + (i * 7) % 26)} " * 40, f"l{i:03}", "s") for i in range(90) for j in range(3)]
+    model = langid.train(data.documents(spark, rows))
+    assert len(model.languages) == 90
+    assert langid.keep_identified(data.documents(spark, rows), model).count() == 270
+
+
+def test_the_filter_grows_with_its_grams():
+    g = np.random.default_rng(1).integers(0, 1 << 40, 400_000).astype(np.uint64)
+    model = langid.build(["a", "b"], {(0, 3): g, (0, 5): g[:10]}, 0.3)
+    assert model.bits == (23, langid.LEAST_BITS) and model.false_rates[0, 0] < 0.03
+
+
 def test_empty_and_unlabelled_tables(spark):
     none = data.documents(spark, [])
     model = langid.train(none)
