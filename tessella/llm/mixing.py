@@ -8,13 +8,15 @@ gives the same result on every retry.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.storage import write_table
+from tessella.llm.storage import join_measured, write_table
 
-#: The distribution function is tabulated until less than this remains.
-TAIL = 1e-12
+#: The distribution function is tabulated so many standard deviations, and TAIL_MORE, around the rate.
+TAIL, TAIL_MORE = 12, 20
 
 
 def uniform(seed: str, *keys: Column) -> Column:
@@ -38,24 +40,34 @@ def rates(df: DataFrame, weights: dict[str, float] | None = None, smoothing: flo
         raw = F.lit(0.0)
         for name, w in weights.items():
             raw = F.when(F.col("source") == F.lit(name), F.lit(float(w))).otherwise(raw)
-    per = per.withColumn("raw", raw)
-    total = per.agg(F.sum("raw").alias("raw_all"), F.sum("mass").alias("mass_all"), F.count(F.lit(1)).alias("n_sources"))
-    weight = F.when(F.col("raw_all") > 0, F.col("raw") / F.col("raw_all")).otherwise(F.lit(0.0))
-    each = F.when(F.col("mass") > 0, F.col("mass_all") / F.col("mass")).otherwise(F.col("n_sources").cast("double"))
-    return per.crossJoin(total).select("source", "n_docs", "mass", weight.alias("weight"), (F.lit(epochs) * weight * each).alias("rate"))
+    per = write_table(per.withColumn("raw", raw), "mix-sources")
+    total = per.agg(F.sum("raw").alias("raw"), F.sum("mass").alias("mass"), F.count(F.lit(1)).alias("n")).first()
+    weight = F.col("raw") / F.lit(total["raw"]) if total["raw"] else F.lit(0.0)
+    each = F.when(F.col("mass") > 0, F.lit(float(total["mass"] or 0)) / F.col("mass")).otherwise(F.lit(float(total["n"])))
+    return per.select("source", "n_docs", "mass", weight.alias("weight"), (F.lit(epochs) * weight * each).alias("rate"))
 
 
-def _cdf(rate: Column) -> Column:
-    """Poisson distribution function at 0, 1, 2, ... until the tail is under TAIL.
+def cdf(rate: float) -> tuple[int, np.ndarray]:
+    """(k0, the Poisson distribution function at k0, k0 + 1, ...): k0 lies so far under the rate that nothing of note is below it.
 
-    A rate over 600 would underflow exp(-rate); it is taken as 600 here (a source
-    would be repeated 600 times).
+    Probabilities are taken relative to the first from sums of logarithms, so no
+    rate is too large. The table has about 24 * sqrt(rate) places: for a large
+    rate far fewer than the copies that a document gets.
     """
-    lam = F.least(rate, F.lit(600.0))
-    last = F.ceil(lam + 12 * F.sqrt(lam) + 20).cast("int")
-    start = F.struct(F.exp(-lam).alias("p"), F.array(F.exp(-lam)).alias("c"))
-    step = lambda s, k: F.struct((s["p"] * lam / k).alias("p"), F.concat(s["c"], F.array(F.element_at(s["c"], -1) + s["p"] * lam / k)).alias("c"))
-    return F.aggregate(F.sequence(F.lit(1), last), start, step, lambda s: s["c"])
+    if not rate > 0:
+        return 0, np.ones(1)
+    reach = TAIL * np.sqrt(rate) + TAIL_MORE
+    first, last = max(0, int(np.floor(rate - reach))), int(np.ceil(rate + reach))
+    logs = np.concatenate([[0.0], np.cumsum(np.log(rate) - np.log(np.arange(first + 1, last + 1)))])
+    p = np.exp(logs - logs.max())
+    return first, np.cumsum(p) / p.sum()
+
+
+def _tables(rate: pa.Array) -> pa.Array:
+    made = [cdf(float(r or 0.0)) for r in rate.to_pylist()]
+    offsets = np.concatenate([[0], np.cumsum([len(c) for _, c in made])])
+    flat = np.concatenate([c for _, c in made] or [np.zeros(0)])
+    return pa.StructArray.from_arrays([pa.array([k for k, _ in made], pa.int32()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat))], names=["first", "c"])
 
 
 def replicate(df: DataFrame, source_rates: DataFrame, seed: str = "mix-1", partitions: int | None = None, carry: list[str] | None = None, broadcast_bytes: int = 32 << 20) -> DataFrame:
@@ -76,17 +88,14 @@ def replicate(df: DataFrame, source_rates: DataFrame, seed: str = "mix-1", parti
     """
     parts = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     cols = [c for c in (carry or df.columns) if c not in ("copy", "shuffle_key")]
-    tables = write_table(source_rates.select(F.col("source").alias("rate_source"), _cdf(F.col("rate")).alias("cdf")), "mix-rates")
-    measured = tables.agg(F.sum(F.size("cdf") * 8 + F.coalesce(F.length("rate_source"), F.lit(0)) * 4 + 64)).first()[0] or 0
-    if measured <= broadcast_bytes:
-        tables = F.broadcast(tables)
+    made = F.arrow_udf(_tables, "first int, c array<double>")("rate")  # one row a source
+    tables = write_table(source_rates.select(F.col("source").alias("rate_source"), made.alias("m")).select("rate_source", "m.first", F.col("m.c").alias("cdf")), "mix-rates")
+    widest = tables.agg(F.max(F.size("cdf") * 8 + F.coalesce(F.length("rate_source"), F.lit(0)) * 4 + 64)).first()[0] or 0
     whole = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))
     digest = F.md5(F.coalesce(F.col("row.text"), F.lit("")))
-    drawn = whole.join(tables, F.col("row.source").cast("string").eqNullSafe(F.col("rate_source")), "inner").select(
-        "row", digest.alias("digest"), "cdf"
-    )
+    drawn = join_measured(whole, tables, F.col("row.source").cast("string").eqNullSafe(F.col("rate_source")), "inner", widest, broadcast_bytes).select("row", digest.alias("digest"), "first", "cdf")
     u = uniform(seed, F.col("row.doc_id"), F.col("digest"))
-    drawn = drawn.select("row", "digest", F.size(F.filter("cdf", lambda c: c <= u)).alias("n")).where("n > 0")
+    drawn = drawn.select("row", "digest", (F.col("first") + F.size(F.filter("cdf", lambda c: c <= u))).alias("n")).where("n > 0")
     copies = drawn.select("row", "digest", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("copy"))
     keyed = copies.select("row", "copy", F.md5(F.concat_ws("|", F.lit(seed + "-order"), F.coalesce(F.col("row.doc_id").cast("string"), F.lit("")), "digest", "copy")).alias("shuffle_key"))
     out = keyed.select(*[F.col(f"row.`{c}`").alias(c) for c in cols], "copy", "shuffle_key")

@@ -24,22 +24,22 @@ WITH per AS (
   SELECT source, (pow(mass::DOUBLE, 0.7) / sum(pow(mass::DOUBLE, 0.7)) OVER ())
     * (CASE WHEN mass > 0 THEN (sum(mass) OVER ())::DOUBLE / mass ELSE count(*) OVER () END) AS rate FROM per
 ), steps AS (
-  SELECT source, k, least(rate, 600.0) AS lam,
-    exp(-least(rate, 600.0) + CASE WHEN least(rate, 600.0) > 0 THEN k * ln(least(rate, 600.0)) ELSE CASE WHEN k = 0 THEN 0 ELSE -1000 END END - lgamma(k + 1)) AS p
-  FROM shares, range(0, 1000) r(k) WHERE k <= ceil(least(rate, 600.0) + 12 * sqrt(least(rate, 600.0)) + 20)
+  SELECT source, rate, unnest(range(greatest(0, floor(rate - 12 * sqrt(rate) - 20))::BIGINT, ceil(rate + 12 * sqrt(rate) + 20)::BIGINT + 1)) AS k FROM shares
+), masses AS (
+  SELECT source, k, CASE WHEN rate > 0 THEN exp(k * ln(rate) - rate - lgamma(k + 1)) WHEN k = 0 THEN 1 ELSE 0 END AS p,
+    greatest(0, floor(rate - 12 * sqrt(rate) - 20))::BIGINT AS first FROM steps
 ), cdf AS (
-  SELECT source, k, sum(p) OVER (PARTITION BY source ORDER BY k) AS c FROM steps
+  SELECT source, k, first, sum(p) OVER (PARTITION BY source ORDER BY k) AS c FROM masses
 ), drawn AS (
   SELECT *, md5(coalesce(text, '')) AS digest,
     ('0x' || md5('mix-1|' || coalesce(doc_id::VARCHAR, '') || '|' || md5(coalesce(text, '')))[1:13])::BIGINT::DOUBLE / 4503599627370496.0 AS u
   FROM documents
 ), counted AS (
-  SELECT d.doc_id, d.text, d.lang, d.source, d.n_chars, d.digest, count(*) FILTER (WHERE c.c <= d.u) AS n
+  SELECT d.doc_id, d.text, d.lang, d.source, d.n_chars, d.digest, any_value(c.first) + count(*) FILTER (WHERE c.c <= d.u) AS n
   FROM drawn d JOIN cdf c ON d.source IS NOT DISTINCT FROM c.source GROUP BY ALL
 )
-SELECT doc_id, text, lang, source, n_chars, r.k::INT AS copy,
-  md5('mix-1-order|' || coalesce(doc_id::VARCHAR, '') || '|' || digest || '|' || r.k::VARCHAR) AS shuffle_key
-FROM counted, range(1, 1000) r(k) WHERE r.k <= counted.n
+SELECT doc_id, text, lang, source, n_chars, copy, md5('mix-1-order|' || coalesce(doc_id::VARCHAR, '') || '|' || digest || '|' || copy::VARCHAR) AS shuffle_key
+FROM (SELECT *, unnest(range(1, n + 1))::INT AS copy FROM counted)
 """
 
 

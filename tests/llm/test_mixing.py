@@ -38,6 +38,32 @@ def test_counts_invert_the_poisson_distribution(spark):
     assert sorted(map(tuple, out.collect())) == sorted(map(tuple, again.collect()))
 
 
+def test_large_rates_are_reached(spark):
+    """A rate of 5,000 and one of 900,000: the draws invert the distribution function, summed exactly here, and their means hold."""
+    docs = data.documents(spark, [(i, f"text {i}", "en", "s") for i in range(40)])
+    rates = spark.createDataFrame([("s", 5000.0)], "source string, rate double")
+    n = Counter(r["doc_id"] for r in mixing.replicate(docs, rates).select("doc_id").collect())
+    u = {r["doc_id"]: r["u"] for r in docs.select("doc_id", mixing.uniform("mix-1", F.col("doc_id"), F.md5("text")).alias("u")).collect()}
+    steps = [math.exp(k * math.log(5000) - 5000 - math.lgamma(k + 1)) for k in range(6000)]
+    for i in range(40):
+        k, c = 0, steps[0]
+        while c <= u[i]:
+            k += 1
+            c += steps[k]
+        assert n[i] == k
+    assert abs(sum(n.values()) / 40 - 5000) < 5 * math.sqrt(5000 / 40)
+    first, c = mixing.cdf(900_000.0)
+    mean = first + sum(1 - x for x in c)
+    assert abs(mean - 900_000) < 1e-3 and len(c) < 25_000
+
+
+def test_a_small_source_reaches_its_share(spark):
+    docs = data.documents(spark, [(0, "x" * 20, "en", "tiny")] + [(i, "y" * 1000, "en", "big") for i in range(1, 400)])
+    out = mixing.mix(docs, {"tiny": 0.5, "big": 0.5}).groupBy("source").agg(F.sum(F.length("text")).alias("m")).collect()
+    m = {r["source"]: r["m"] for r in out}
+    assert abs(m["tiny"] / sum(m.values()) - 0.5) < 0.05  # a rate of about 9,975
+
+
 def test_order_is_random(spark):
     docs = data.documents(spark, [(i, f"t {i}", "en", "s") for i in range(2000)])
     ids = [r["doc_id"] for r in mixing.mix(docs, epochs=2.0).collect()]
