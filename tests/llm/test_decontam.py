@@ -60,7 +60,7 @@ def test_all_pairs_against_brute_force(spark):
         for i, t in rng.sample(items[:12], rng.randint(0, 3)):
             text += "\n" + _garble(t, rng.randint(0, len(t) // 6), d * 100 + i).upper() + ". " + data.prose("fr", 10, d)
         docs.append((d, text + (" Tiny" if d % 9 == 0 else " tinyish"), "en", "s"))
-    got = {(r["doc_id"], r["item_id"]): r["distance"] for r in decontam.find_matches(data.documents(spark, docs), spark.createDataFrame(items, "item_id bigint, text string"), items_per_pass=5).collect()}
+    got = {(r["doc_id"], r["item_id"]): r["distance"] for r in decontam.find_matches(data.documents(spark, docs), spark.createDataFrame(items, "item_id bigint, text string"), bytes_per_pass=900).collect()}
     want = {}
     for d, text, *_ in docs:
         body = b" " + decontam.normalise(text) + b" "
@@ -72,13 +72,37 @@ def test_all_pairs_against_brute_force(spark):
                 if b" " + norm + b" " in body:
                     want[d, i] = 0
                 continue
-            budget = max(0, min(int(len(norm) * 0.1), len(norm) // 8 - 1))
+            budget = int(len(norm) * 0.1)
             k = slow(norm, body)
             if k <= budget:
                 want[d, i] = k
     assert got == want and len(want) > 20
 
 
+@pytest.mark.parametrize("rate", [0.1, 0.25])
+def test_items_of_few_bytes_against_brute_force(spark, rate):
+    """Items of 8 to 40 bytes, with their whole budget of edits; at a quarter the pieces have 3 bytes."""
+    rng = random.Random(int(rate * 100))
+    word = lambda n: "".join(rng.choice("abcdefghij") for _ in range(n))
+    items = []
+    for n in range(8, 41):
+        text = ""
+        while len(text) < n:
+            text += word(rng.randint(2, 7)) + " "
+        text = text[:n].rstrip() + word(n - len(text[:n].rstrip()))
+        items.append((-n, text))
+    docs = [(d, word(40) + " " + _garble(items[d % 33][1], rng.randint(0, max(1, int(len(items[d % 33][1]) * rate) + 1)), d) + " " + word(30), "en", "s") for d in range(132)]
+    got = {(r["doc_id"], r["item_id"]): (r["distance"], r["error_budget"]) for r in decontam.find_matches(data.documents(spark, docs), spark.createDataFrame(items, "item_id bigint, text string"), rate=rate).collect()}
+    want = {}
+    for d, text, *_ in docs:
+        body = b" " + decontam.normalise(text) + b" "
+        for i, t in items:
+            budget = int(len(decontam.normalise(t)) * rate)
+            if (k := slow(decontam.normalise(t), body)) <= budget:
+                want[d, i] = k, budget
+    assert got == want and len(want) > 60
+
+
 def test_awkward_rows(spark):
     docs = data.with_clashes(data.documents(spark, [*data.awkward_rows(), (20, "xx " + data.prose("de", 40, 7), "de", "s"), (20, "xx " + data.prose("de", 40, 7), "de", "s"), (None, data.prose("de", 40, 7), "de", "s")]))
     bench = data.with_clashes(spark.createDataFrame([(1, data.prose("de", 40, 7)), (1, data.prose("de", 40, 7)), (None, data.prose("de", 40, 7)), (3, None), (4, "")], "item_id bigint, text string").drop("item_id").withColumn("item_id", decontam.F.lit(1).cast("bigint")))
