@@ -90,10 +90,10 @@ def replicate(df: DataFrame, source_rates: DataFrame, seed: str = "mix-1", parti
     cols = [c for c in (carry or df.columns) if c not in ("copy", "shuffle_key")]
     made = F.arrow_udf(_tables, "first int, c array<double>")("rate")  # one row a source
     tables = write_table(source_rates.select(F.col("source").alias("rate_source"), made.alias("m")).select("rate_source", "m.first", F.col("m.c").alias("cdf")), "mix-rates")
-    widest = tables.agg(F.max(F.size("cdf") * 8 + F.coalesce(F.length("rate_source"), F.lit(0)) * 4 + 64)).first()[0] or 0
+    row_bytes = F.size("cdf") * 8 + F.coalesce(F.length("rate_source"), F.lit(0)) * 4 + 64
     whole = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))
     digest = F.md5(F.coalesce(F.col("row.text"), F.lit("")))
-    drawn = join_measured(whole, tables, F.col("row.source").cast("string").eqNullSafe(F.col("rate_source")), "inner", widest, broadcast_bytes).select("row", digest.alias("digest"), "first", "cdf")
+    drawn = join_measured(whole, tables, F.col("row.source").cast("string").eqNullSafe(F.col("rate_source")), "inner", row_bytes, broadcast_bytes).select("row", digest.alias("digest"), "first", "cdf")
     u = uniform(seed, F.col("row.doc_id"), F.col("digest"))
     drawn = drawn.select("row", "digest", (F.col("first") + F.size(F.filter("cdf", lambda c: c <= u))).alias("n")).where("n > 0")
     copies = drawn.select("row", "digest", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("copy"))

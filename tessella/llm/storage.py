@@ -41,9 +41,10 @@ def write_table(df: DataFrame, name: str) -> DataFrame:
 BROADCAST_BYTES = 32 << 20
 
 
-def join_measured(big: DataFrame, small: DataFrame, on: Column, how: str, row_bytes: int, most: int = BROADCAST_BYTES) -> DataFrame:
-    """big joined with a written table small, which is broadcast if its rows times row_bytes are at most `most`; beyond that both sides are shuffled.
+def join_measured(big: DataFrame, small: DataFrame, on: Column, how: str, row_bytes: Column, most: int = BROADCAST_BYTES) -> DataFrame:
+    """big joined with a written table small, which is broadcast if its row_bytes sum up to `most` at most; beyond that both sides are shuffled.
 
-    Either way gives the same rows. small is counted from its file's metadata.
+    Either way gives the same rows.
     """
-    return big.join(F.broadcast(small) if small.count() * row_bytes <= most else small, on, how)
+    size = small.agg(F.sum(row_bytes.cast("bigint"))).first()[0] or 0
+    return big.join(F.broadcast(small) if size <= most else small, on, how)

@@ -63,6 +63,40 @@ def test_awkward_rows(spark):
     assert got == want
 
 
+def test_a_hot_line_reaches_its_range_once_an_input_partition(spark):
+    rows = [(i, f"boilerplate\nown {i}" if i % 2 else f"own {i}") for i in range(2000)]
+    df = data.documents(spark, [(i, t, "en", "s") for i, t in rows]).repartition(5)
+    sent = linededup.local_firsts(df)
+    hot = linededup.F.xxhash64(linededup.F.lit("boilerplate"))
+    assert sent.where(linededup.F.col("h1") == hot).count() == 5
+    assert sent.count() == 3000
+
+
+def test_bitmaps_apply_like_a_loop(spark):
+    rng = random.Random(6)
+    rows = []
+    for _ in range(200):
+        lines = [rng.choice(["", "a", "b c", "é"]) for _ in range(rng.randint(1, 12))]
+        bits = [rng.random() < 0.5 for _ in lines]
+        runs, now = [0], True
+        for bit in bits:
+            if bit != now:
+                runs.append(0)
+                now = bit
+            runs[-1] += 1
+        rows.append(("\n".join(lines), ",".join(map(str, runs)), "\n".join(x for x, bit in zip(lines, bits, strict=True) if bit)))
+    rows += [("a\nb", None, "a\nb"), (None, None, None)]
+    got = spark.createDataFrame(rows, "t string, r string, want string").select("want", linededup.apply_bitmaps("t", "r").alias("got")).collect()
+    assert all(r["got"] == r["want"] for r in got)
+
+
+@pytest.mark.parametrize("most", [0, 1 << 20])
+def test_broadcast_and_shuffled_bitmaps_give_the_same(spark, most):
+    docs = data.documents(spark, [(i if i % 7 else None, f"own {i % 90}\nfooter\nline {i % 5}", "en", "s") for i in range(200)])
+    got = sorted(map(str, linededup.dedup_lines(docs, broadcast_bytes=most).collect()))
+    assert got == sorted(map(str, linededup.dedup_lines(docs).collect())) and len(got) < 200
+
+
 def test_dedup_takes_effect(spark):
     docs = data.with_clashes(data.documents(spark, [(1, "keep me\nfooter", "en", "s"), (2, "mine\nfooter\n", "en", "s"), (3, "footer", "en", "s"), (4, None, "en", "s"), (5, "", "en", "s"), (6, "twin\nrow", "en", "s"), (6, "twin\nrow", "en", "s")]))
     out = linededup.dedup_lines(docs)
