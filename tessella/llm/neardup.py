@@ -1,16 +1,19 @@
 """SimHash near-duplicates through navigable small-world graphs.
 
-1. Every document gets a 256-bit SimHash and a 128-place one-permutation MinHash
-   of its word pairs (narrow rows; text is read once and never shuffled).
-2. Distinct SimHashes are spread over shards; each shard builds a small-world
-   graph over Hamming distance, and every SimHash is sent to every shard and
-   searched there with expanding beams. Each shard first searches an audit sample
-   exactly; while the graph's mean recall a code is under the target, among codes
-   with few partners or among those with many, the search is widened, and in the
-   end made exact.
-3. The pairs found connect candidate clusters. Within each cluster the pairs are
-   verified by the MinHash estimate of the Jaccard similarity, and only verified
-   edges are unioned into groups.
+1. Every document gets a 256-bit SimHash and a one-permutation MinHash of 128
+   places of 4 bits over its distinct word pairs (96 bytes; text is read once).
+2. Distinct fingerprints are spread over shards; each shard builds a small-world
+   graph over Hamming distance and unites its own texts into local classes along
+   verified edges of the graph. Every fingerprint is sent to every shard and
+   searched there with expanding beams; candidates are verified on the spot by
+   the MinHash estimate of the Jaccard similarity, and one verified link to each
+   local class that has any is returned. A beam grows while it is full and finds
+   new classes, so a group of many copies costs each member a few steps and not
+   its square.
+3. Each shard first answers an audit sample exactly; while the mean recall of
+   linked classes is under the target, the search is widened, and in the end made
+   exact.
+4. The links are unioned into groups.
 """
 
 from __future__ import annotations
@@ -25,17 +28,20 @@ from pyspark.sql import functions as F
 from tessella.llm import textvec as tv
 from tessella.llm.components import components, roots
 from tessella.llm.smallworld import BYTES, SmallWorld, hamming
-from tessella.llm.storage import write_table
+from tessella.llm.storage import BROADCAST_BYTES, join_hot, join_measured, write_table
 
 PLACES = 128
-#: Bits of 256 by which near-duplicates may differ; expected at word-pair Jaccard 0.55.
-RADIUS = 66
-HORIZON = 100
+#: Bytes of a sketch: two places each.
+MARK = PLACES // 2
+#: Bits of 256 by which near-duplicates may differ: 95 % of pairs at the threshold of 0.5 lie within (68.5 bits on average, 7.1 standard deviation).
+RADIUS = 80
+HORIZON = 104
 #: (beam, width) of the searches tried in turn before the exact one.
 LADDER = ((16, 4), (32, 8), (64, 16), (128, 32), (256, 64), (512, 128))
-#: Codes with up to so many partners in a shard are audited apart from the others.
+#: Planted codes of the audit have up to so many partners.
 FEW = 8
 FINGERPRINTS = "code binary, sketch binary"
+_LINK = "a bigint, b bigint, link boolean"
 
 _LANES = np.zeros((256, 8), np.uint8)
 for _b in range(8):
@@ -44,7 +50,7 @@ _LANES = _LANES.view(np.uint64).ravel()
 
 
 def shingles(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, row) of the pairs of neighbouring words, or of the word where a text has only one."""
+    """(hash, row) of the distinct pairs of neighbouring words of each row, or of the word where a text has only one."""
     h, rows = tv.word_tokens(texts)
     if len(h) == 0:
         return h, rows
@@ -55,7 +61,13 @@ def shingles(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     alone[:-1] &= ~both
     out = np.concatenate([pair[both], tv.mix(h[alone] + np.uint64(1))])
     out_rows = np.concatenate([rows[:-1][both], rows[alone]])
-    order = np.argsort(out_rows, kind="stable")
+    # Each pair once a row: sorted by row and the upper bits of the hash.
+    spare = np.uint64(max(1, int(out_rows.max()).bit_length()))
+    key = (out_rows.astype(np.uint64) << (np.uint64(64) - spare)) | (out >> spare)
+    order = np.argsort(key, kind="stable")
+    new = np.ones(len(order), bool)
+    new[1:] = key[order[1:]] != key[order[:-1]]
+    order = order[new]
     return out[order], out_rows[order]
 
 
@@ -88,20 +100,25 @@ def simhashes(h: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
 
 
 def sketches(h: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
-    """(n, 128) bytes: the least hash of each of 128 classes of shingles, in 8 bits; 0 where a class is empty."""
+    """(n, MARK) bytes: the least hash of each of 128 classes of shingles, in 4 bits; 0 where a class is empty."""
     least = np.full(n * PLACES, np.iinfo(np.uint64).max, np.uint64)
     g = tv.mix(h ^ np.uint64(0x5851F42D4C957F2D))
     np.minimum.at(least, rows * PLACES + (g & np.uint64(PLACES - 1)).astype(np.int64), g >> np.uint64(7))
-    out = ((tv.mix(least) >> np.uint64(32)) % np.uint64(255)).astype(np.uint8) + np.uint8(1)
+    out = ((tv.mix(least) >> np.uint64(32)) % np.uint64(15)).astype(np.uint8) + np.uint8(1)
     out[least == np.iinfo(np.uint64).max] = 0
-    return out.reshape(n, PLACES)
+    return out[0::2].reshape(n, MARK) << 4 | out[1::2].reshape(n, MARK)
+
+
+#: Of a byte of either sketch and of their difference: places that either uses, places that agree though empty or not.
+_NIBBLE_USED = np.array([(x > 15) + (x & 15 > 0) for x in range(256)], np.uint8)
+_NIBBLE_SAME = np.array([(x < 16) + (x & 15 == 0) for x in range(256)], np.uint8)
 
 
 def similarity(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Estimated Jaccard similarity of sketches, corrected for chance agreement in 8 bits."""
-    used = ((a > 0) | (b > 0)).sum(axis=-1)
-    same = ((a == b) & (a > 0)).sum(axis=-1) / np.maximum(used, 1)
-    return np.maximum(0, (same - 1 / 255) / (1 - 1 / 255))
+    """Estimated Jaccard similarity of sketches, corrected for chance agreement in 4 bits."""
+    used = _NIBBLE_USED[a | b].sum(axis=-1, dtype=np.int32)
+    same = _NIBBLE_SAME[a ^ b].sum(axis=-1, dtype=np.int32) - (PLACES - used)
+    return np.maximum(0, (same / np.maximum(used, 1) - 1 / 15) / (1 - 1 / 15))
 
 
 def _fixed(rows: np.ndarray) -> pa.Array:
@@ -121,7 +138,7 @@ def _bytes(column: pa.Array, width: int) -> np.ndarray:
 
 def _fingerprint(column: pa.Array) -> pa.Array:
     texts = tv.as_array(column)
-    codes, marks, blank = [np.zeros((0, BYTES), np.uint8)], [np.zeros((0, PLACES), np.uint8)], [np.zeros(0, bool)]
+    codes, marks, blank = [np.zeros((0, BYTES), np.uint8)], [np.zeros((0, MARK), np.uint8)], [np.zeros(0, bool)]
     for lo, hi in tv.row_chunks(texts):
         h, rows = shingles(texts.slice(lo, hi - lo))
         codes.append(simhashes(h, rows, hi - lo))
@@ -133,113 +150,264 @@ def _fingerprint(column: pa.Array) -> pa.Array:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, text_hash, code, sketch and node (a hash of the code); code is null for texts without words."""
+    """doc_id, text_hash, row (a number of the row), code, sketch and node (a hash of both); these three are null for texts without words."""
     both = F.arrow_udf(_fingerprint, FINGERPRINTS)(text_col)
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text_hash"), both.alias("f"))
-    return rows.select("doc_id", "text_hash", F.col("f.code").alias("code"), F.col("f.sketch").alias("sketch"), F.when(F.col("f.code").isNotNull(), F.xxhash64("f.code")).alias("node"))
-
-
-def _recall(graph: SmallWorld, codes: np.ndarray, own: np.ndarray, truth: np.ndarray, search: tuple) -> float:
-    """Mean share of its truth, the number of its partners, that a code's search finds; own is a code's place in the graph or -1."""
+    return rows.select("doc_id", "text_hash", F.monotonically_increasing_id().alias("row"), F.col("f.code").alias("code"), F.col("f.sketch").alias("sketch"), F.when(F.col("f.code").isNotNull(), F.xxhash64("f.code", "f.sketch")).alias("node"))
+
+
+class Shard:
+    """Texts by (node, code, sketch): a graph over the distinct codes, and local classes of texts that verified edges connect."""
+
+    def __init__(self, nodes: np.ndarray, codes: np.ndarray, marks: np.ndarray, radius: int = RADIUS, threshold: float = 0.5, horizon: int = HORIZON):
+        self.radius, self.threshold, self.horizon = radius, threshold, horizon
+        points, where = np.unique(np.ascontiguousarray(codes).view(f"V{BYTES}").ravel(), return_inverse=True)
+        order = np.argsort(where, kind="stable")
+        self.nodes, self.marks, self.point = nodes[order], marks[order], where[order]
+        self.first = np.searchsorted(self.point, np.arange(len(points) + 1))
+        self.graph = SmallWorld(points.view(np.uint8).reshape(-1, BYTES))
+        by = np.argsort(self.nodes, kind="stable")
+        self._sorted, self._by = self.nodes[by], by
+        a, b = self._edges()
+        self.label = roots(a, b, len(nodes)) if len(nodes) else np.zeros(0, np.int64)
+        self.partner = np.full(len(nodes), -1)
+        self.partner[a], self.partner[b] = b, a
+        self.one_class = np.zeros(len(points), bool)
+        if len(points):
+            self.one_class = np.minimum.reduceat(self.label, self.first[:-1]) == np.maximum.reduceat(self.label, self.first[:-1])
+
+    def _similar(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        good = np.zeros(len(a), bool)
+        for lo in range(0, len(a), 65_536):
+            good[lo : lo + 65_536] = similarity(self.marks[a[lo : lo + 65_536]], self.marks[b[lo : lo + 65_536]]) >= self.threshold
+        return good
+
+    def _edges(self) -> tuple[np.ndarray, np.ndarray]:
+        """Verified pairs of own texts: each with the first of its code that it agrees with, and along the graph's short edges."""
+        out = [np.zeros((2, 0), np.int64)]
+        # Of equal codes: all with the first; those that disagree with the first that did, and so on.
+        lead, rest = self.first[:-1].copy(), np.flatnonzero(np.arange(len(self.point)) != self.first[self.point])
+        while len(rest):
+            good = self._similar(rest, lead[self.point[rest]])
+            out.append(np.stack([rest[good], lead[self.point[rest[good]]]]))
+            rest = rest[~good]
+            p, at = np.unique(self.point[rest], return_index=True)
+            lead[p] = rest[at]
+            rest = np.delete(rest, at)
+        if len(self.graph.codes) > 1:
+            short = self.graph.edges[:, : 2 * self.graph.degree]
+            for lo in range(0, len(short), 8192):
+                u, c = np.nonzero(short[lo : lo + 8192] >= 0)
+                u, v = u + lo, short[lo : lo + 8192][u, c]
+                near = hamming(self.graph.words[u], self.graph.words[v]) <= self.radius
+                u, v = self.first[u[near]], self.first[v[near]]
+                good = self._similar(u, v)
+                out.append(np.stack([u[good], v[good]]))
+        return tuple(np.concatenate(out, axis=1))
+
+    def places(self, nodes: np.ndarray) -> np.ndarray:
+        """The place of each node here, or -1."""
+        if not len(self.nodes):
+            return np.full(len(nodes), -1)
+        at = np.clip(np.searchsorted(self._sorted, nodes), 0, len(self._sorted) - 1)
+        return np.where(self._sorted[at] == nodes, self._by[at], -1)
+
+    def forest(self) -> tuple[np.ndarray, np.ndarray]:
+        """Local classes as stars: (node, node of its class's first place)."""
+        far = np.flatnonzero(self.label != np.arange(len(self.label)))
+        return self.nodes[far], self.nodes[self.label[far]]
+
+    def verify(self, marks: np.ndarray, own: np.ndarray, q: np.ndarray, point: np.ndarray, dist: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, label, place): one verified link for each query and local class among the candidates (q, point) that has any.
+
+        known holds keys query * texts + label that need no more link. The nearest
+        candidates of a query and class come first; the others are compared only
+        while none of them agrees.
+        """
+        n, out = len(self.label), [np.zeros((3, 0), np.int64)]
+        place, q, dist = self.first[point], q, dist
+        more = ~self.one_class[point] | (self.first[point + 1] - self.first[point] > 1)
+        size = np.where(more, self.first[point + 1] - self.first[point], 1)
+        skip = self.one_class[point] & np.isin(q * n + self.label[place], known)
+        q, place, size, dist = q[~skip], place[~skip], size[~skip], dist[~skip]
+        # Points with several texts: the first text now; the others where their class isn't linked by then.
+        rounds = [(q, place, dist)]
+        wide = np.flatnonzero(size > 1)
+        for k in range(2):
+            if k == 1:
+                q2 = np.repeat(q[wide], size[wide] - 1)
+                p2 = np.repeat(place[wide], size[wide] - 1) + np.arange(len(q2)) - np.repeat(np.cumsum(size[wide] - 1) - (size[wide] - 1), size[wide] - 1) + 1
+                rounds.append((q2, p2, np.repeat(dist[wide], size[wide] - 1)))
+            rq, rp, rd = rounds[k]
+            key = rq * n + self.label[rp]
+            order = np.lexsort((rd, key))
+            rq, rp, key = rq[order], rp[order], key[order]
+            keep = (own[rq] != rp) & ~np.isin(key, known)
+            rq, rp, key = rq[keep], rp[keep], key[keep]
+            step = 4
+            while len(rq):
+                rank = np.arange(len(key)) - np.searchsorted(key, key, "left")
+                now = rank < step
+                good = np.zeros(len(rq), bool)
+                at = np.flatnonzero(now)
+                for lo in range(0, len(at), 65_536):
+                    i = at[lo : lo + 65_536]
+                    good[i] = similarity(marks[rq[i]], self.marks[rp[i]]) >= self.threshold
+                hit = np.flatnonzero(good)
+                hit = hit[np.unique(key[hit], return_index=True)[1]]
+                out.append(np.stack([rq[hit], self.label[rp[hit]], rp[hit]]))
+                known = np.union1d(known, key[hit])
+                left = ~now & ~np.isin(key, key[hit])
+                rq, rp, key, step = rq[left], rp[left], key[left], step * 4
+        return tuple(np.concatenate(out, axis=1))
+
+    def _own_class(self, own: np.ndarray) -> np.ndarray:
+        mine = np.flatnonzero(own >= 0)
+        return mine * len(self.label) + self.label[own[mine]]
+
+    def links(self, codes: np.ndarray, marks: np.ndarray, own: np.ndarray, search: tuple[int, int] | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """verify() of what the search (beam, width) finds, or of every code within the radius if it is None; own: each query's place here or -1.
+
+        A query's own class needs no link. The beam doubles for a query whose beam
+        lies wholly within the radius, as long as doubling it finds new classes.
+        """
+        known = self._own_class(own)
+        if search is None:
+            step, out = max(1, min(256, (1 << 23) // max(1, len(self.graph.codes)))), [np.zeros((3, 0), np.int64)]  # every code may be a candidate
+            for lo in range(0, len(codes), step):
+                q, point, dist = self.graph.exact(codes[lo : lo + step], self.radius)
+                out.append(np.stack(self.verify(marks, own, q + lo, point, dist, known)))
+            return tuple(np.concatenate(out, axis=1))
+        beam, width = search
+        todo, grew, out = np.arange(len(codes)), np.ones(len(codes), bool), [np.zeros((3, 0), np.int64)]
+        while len(todo):
+            wide, found = [], []
+            block = max(16, 2048 * 16 // max(beam, 16))
+            for lo in range(0, len(todo), block):
+                mine = todo[lo : lo + block]
+                ids, dist = self.graph.search(codes[mine], beam, width, self.horizon)
+                r, c = np.nonzero((ids >= 0) & (dist <= self.radius))
+                found.append((mine[r], ids[r, c].astype(np.int64), dist[r, c]))
+                wide.append(mine[(dist <= self.radius).all(axis=1)])
+            hits = self.verify(marks, own, *(np.concatenate(x) for x in zip(*found, strict=True)), known)
+            out.append(np.stack(hits))
+            known = np.union1d(known, hits[0] * len(self.label) + hits[1])
+            todo = np.concatenate(wide) if beam < len(self.graph.codes) else todo[:0]
+            if len(out) > 2:  # a doubled beam goes on only where it found something
+                todo = todo[np.isin(todo, hits[0])]
+            beam *= 2
+        return tuple(np.concatenate(out, axis=1))
+
+    def recall(self, codes: np.ndarray, marks: np.ndarray, own: np.ndarray, truth: tuple, search: tuple[int, int]) -> float:
+        """Mean share of the classes in truth, which links() gave exactly, that a query's search finds."""
+        want = np.bincount(truth[0], minlength=len(codes))
+        asked = np.flatnonzero(want)
+        if len(asked) == 0:
+            return 1.0
+        q, label, _ = self.links(codes[asked], marks[asked], own[asked], search)
+        n = len(self.label)
+        hit = np.isin(asked[q] * n + label, truth[0] * n + truth[1])
+        return float((np.bincount(q[hit], minlength=len(asked)) / want[asked]).mean())
+
+    def settle(self, codes: np.ndarray, marks: np.ndarray, own: np.ndarray, truth: tuple, target: float, enough: int = 300) -> tuple[int, int] | None:
+        """The first (beam, width) whose mean recall reaches the target, None: search exactly.
+
+        It is the mean over the audit sample's texts that have links; where they
+        are under `enough`, planted codes with few partners make up the number.
+        """
+        asked = len(np.unique(truth[0]))
+        plain, partners = planted(self.graph, enough, self.radius, self.threshold) if asked < enough else (codes[:0], np.zeros(0, np.int64))
+        plain, partners = plain[: enough - asked], partners[: enough - asked]
+        for beam, width in LADDER:
+            if 2 * width * BYTES >= len(self.graph.codes):  # the exact search compares no more
+                break
+            reached = self.recall(codes, marks, own, truth, (beam, width)) * asked + _recall(self.graph, plain, partners, (self.radius, beam, width, self.horizon)) * len(plain)
+            if reached >= target * max(asked + len(plain), 1):
+                return beam, width
+        return None
+
+
+def _recall(graph: SmallWorld, codes: np.ndarray, truth: np.ndarray, search: tuple) -> float:
+    """Mean share of its truth, the number of codes within the radius, that a code's search finds."""
     found = np.zeros(len(codes), np.int64)
     for lo in range(0, len(codes), 256):
-        q, x, _ = graph.within(codes[lo : lo + 256], *search)
-        found[lo : lo + 256] = np.bincount(q[own[lo : lo + 256][q] != x], minlength=len(codes[lo : lo + 256]))
+        found[lo : lo + 256] = np.bincount(graph.within(codes[lo : lo + 256], *search)[0], minlength=len(codes[lo : lo + 256]))
     return float((found / truth).mean()) if len(codes) else 1.0
 
 
-def planted(graph: SmallWorld, n: int, radius: int, seed: int = 2) -> tuple[np.ndarray, np.ndarray]:
-    """Up to n codes with few partners, 1 to radius bits off a node that has few itself, and the numbers of their partners.
+def planted(graph: SmallWorld, n: int, radius: int, threshold: float, seed: int = 2) -> tuple[np.ndarray, np.ndarray]:
+    """Up to n codes with few partners, and the numbers of their partners.
 
-    A node with at most FEW partners has an edge beyond the radius in place FEW:
-    no such node is left out.
+    They differ from a node that has few itself as the codes of texts do whose
+    similarity lies anywhere between the threshold and 1. A node with at most FEW
+    partners has an edge beyond the radius in place FEW: no such node is left out.
     """
     rng, edge = np.random.default_rng(seed), graph.edges[:, FEW]
     pool = np.flatnonzero((edge < 0) | (hamming(graph.words, graph.words[np.maximum(edge, 0)]) > radius))
     if len(pool) == 0:
         return np.zeros((0, BYTES), np.uint8), np.zeros(0, np.int64)
-    at = rng.choice(pool, n)
-    flip = rng.random((n, 256)).argsort(axis=1).argsort(axis=1) < rng.integers(1, radius + 1, n)[:, None]
-    codes = graph.codes[at] ^ np.packbits(flip, axis=1)
+    at, alike = rng.choice(pool, n), rng.uniform(threshold, 1, n)
+    codes = graph.codes[at] ^ np.packbits(rng.random((n, 256)) < np.arccos(2 * alike / (1 + alike))[:, None] / np.pi, axis=1)
     truth = np.bincount(graph.exact(codes, radius)[0], minlength=n)
-    return codes[truth <= FEW], truth[truth <= FEW]
-
+    good = (truth > 0) & (truth <= FEW)
+    return codes[good], truth[good]
 
-def settle(graph: SmallWorld, codes: np.ndarray, own: np.ndarray, truth: np.ndarray, radius: int, horizon: int, target: float, enough: int = 300) -> tuple[int, int] | None:
-    """The first (beam, width) whose mean recall a code reaches the target among codes with few partners and among those with many; None: search exactly.
 
-    codes are an audit sample, own their places in the graph or -1, truth the
-    numbers of their partners. Where under `enough` of them have few partners,
-    planted codes make up the number.
-    """
-    few, many = np.flatnonzero((truth > 0) & (truth <= FEW)), np.flatnonzero(truth > FEW)[:enough]
-    more, more_truth = planted(graph, enough, radius) if len(few) < enough else (codes[:0], truth[:0])
-    more, more_truth = more[: max(0, enough - len(few))], more_truth[: max(0, enough - len(few))]
-    small = np.concatenate([codes[few], more]), np.concatenate([own[few], np.full(len(more), -1)]), np.concatenate([truth[few], more_truth])
-    for beam, width in LADDER:
-        if 2 * width * BYTES >= len(graph.codes):  # the exact search compares no more
-            break
-        search = (radius, beam, width, horizon)
-        if _recall(graph, *small, search) >= target and _recall(graph, codes[many], own[many], truth[many], search) >= target:
-            return beam, width
-    return None
-
-
-def _searcher(radius: int, horizon: int, target: float):
+def _searcher(radius: int, threshold: float, horizon: int, target: float):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows (role, node, code) of one shard: role 0 its own, 1 the audit queries, 2 the other queries."""
+        """Rows (role, node, code, sketch) of one shard: role 0 its own, 1 the audit queries, 2 the other queries."""
         held: dict[int, list] = {0: [], 1: []}
-        graph, ids, settings = None, None, None
-
-        def answer(nodes: np.ndarray, codes: np.ndarray) -> pa.RecordBatch:
-            found = graph.exact(codes, radius) if settings is None else graph.within(codes, radius, *settings, horizon)
-            return edges(nodes, found)
+        shard, settings = None, None
 
-        def edges(nodes: np.ndarray, found: tuple[np.ndarray, ...]) -> pa.RecordBatch:
-            a, b = nodes[found[0]], ids[found[1]]
+        def edges(a: np.ndarray, b: np.ndarray, link: bool) -> pa.RecordBatch:
             keep = a != b
-            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)[keep]), pa.array(np.maximum(a, b)[keep])], names=["a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep]), pa.array(np.full(keep.sum(), link))], names=["a", "b", "link"])
+
+        def answer(nodes: np.ndarray, codes: np.ndarray, marks: np.ndarray, own: np.ndarray, found: tuple) -> pa.RecordBatch:
+            inside = np.flatnonzero(own >= 0)
+            inside = inside[shard.partner[own[inside]] >= 0]
+            return edges(np.concatenate([nodes[found[0]], nodes[inside]]), np.concatenate([shard.nodes[found[2]], shard.nodes[shard.partner[own[inside]]]]), True)
 
         def ready() -> Iterator[pa.RecordBatch]:
-            nonlocal graph, ids, settings
-            join = lambda k, w: (np.concatenate([x for x, _ in held[k]] or [np.zeros(0, np.int64)]), np.concatenate([c for _, c in held[k]] or [np.zeros((0, BYTES), np.uint8)]))
-            ids, codes = join(0, BYTES)
-            graph = SmallWorld(codes)
-            nodes, sample = join(1, BYTES)
+            nonlocal shard, settings
+            empty = (np.zeros(0, np.int64), np.zeros((0, BYTES), np.uint8), np.zeros((0, MARK), np.uint8))
+            shard = Shard(*(np.concatenate(x) for x in zip(*(held[0] or [empty]), strict=True)), radius, threshold, horizon)
+            nodes, codes, marks = (np.concatenate(x) for x in zip(*(held[1] or [empty]), strict=True))
             held.clear()
-            by = np.argsort(ids, kind="stable")
-            place = by[np.clip(np.searchsorted(ids[by], nodes), 0, len(ids) - 1)] if len(ids) else np.zeros(len(nodes), np.int64)
-            own = np.where(ids[place] == nodes, place, -1) if len(ids) else np.full(len(nodes), -1)
-            truth = np.zeros(len(nodes), np.int64)
-            for lo in range(0, len(nodes), 256):
-                exact = graph.exact(sample[lo : lo + 256], radius)
-                truth[lo : lo + 256] = np.bincount(exact[0][own[lo : lo + 256][exact[0]] != exact[1]], minlength=len(nodes[lo : lo + 256]))
-                yield edges(nodes[lo : lo + 256], exact)
-            settings = settle(graph, sample, own, truth, radius, horizon, target)
+            yield edges(*shard.forest(), False)
+            own = shard.places(nodes)
+            truth = shard.links(codes, marks, own, None)
+            yield answer(nodes, codes, marks, own, truth)
+            settings = shard.settle(codes, marks, own, truth, target)
 
         for batch in batches:
-            role, node, code = np.asarray(batch.column(0)), np.asarray(batch.column(1)), _bytes(batch.column(2), BYTES)
+            role, node, code, mark = np.asarray(batch.column(0)), np.asarray(batch.column(1)), _bytes(batch.column(2), BYTES), _bytes(batch.column(3), MARK)
             for r in (0, 1):
                 if (role == r).any():
-                    held[r].append((node[role == r], code[role == r]))
+                    held[r].append((node[role == r], code[role == r], mark[role == r]))
             rest = role == 2
             if rest.any():
-                if graph is None:
+                if shard is None:
                     yield from ready()
-                yield answer(node[rest], code[rest])
-        if graph is None and held.get(0):
+                node, code, mark = node[rest], code[rest], mark[rest]
+                own = shard.places(node)
+                yield answer(node, code, mark, own, shard.links(code, mark, own, settings))
+        if shard is None and held.get(0):
             yield from ready()
 
     return search
 
 
-def candidate_pairs(codes: DataFrame, shards: int | None = None, radius: int = RADIUS, horizon: int = HORIZON, audit: int = 4000, target: float = 0.95, shard_rows: int = 1_000_000) -> DataFrame:
-    """(a, b), a < b: pairs of nodes whose codes differ in at most radius bits.
+def links(codes: DataFrame, shards: int | None = None, radius: int = RADIUS, threshold: float = 0.5, horizon: int = HORIZON, audit: int = 4000, target: float = 0.95, shard_rows: int = 1_000_000) -> DataFrame:
+    """(a, b, link): with link, two texts within the radius and the threshold, found by a's query; without, two of one local class.
 
-    codes has distinct rows (node, code). Every code is searched in every shard;
-    there are at least six shards, and one more for each further shard_rows codes
-    (a graph takes about 500 bytes a code). audit is the number of codes searched
-    exactly in each shard to measure the mean recall a code (settle).
+    codes has distinct rows (node, code, sketch). Every text is searched in every
+    shard; there are at least six shards, and one more for each further
+    shard_rows texts (a shard takes about 700 bytes a text). audit is the number
+    of texts answered exactly in each shard to measure recall. From each shard a
+    query gets one link for each local class that it has any link to, so links
+    are at most texts times shards times classes met, and never the pairs of a
+    group.
     """
     n = codes.count()
     shards = shards or max(6, -(-n // shard_rows))
@@ -247,111 +415,59 @@ def candidate_pairs(codes: DataFrame, shards: int | None = None, radius: int = R
     sampled = (F.shiftrightunsigned(F.xxhash64(F.lit(3), "node"), 11).cast("double") / F.lit(float(1 << 53))) < rate
     own = F.struct(F.pmod(F.col("node"), F.lit(shards)).cast("int").alias("shard"), F.lit(0).alias("role"))
     asks = F.transform(F.sequence(F.lit(0), F.lit(shards - 1)), lambda s: F.struct(s.alias("shard"), F.when(sampled, 1).otherwise(2).alias("role")))
-    sent = codes.select(F.explode(F.concat(F.array(own), asks)).alias("s"), "node", "code").select("s.shard", "s.role", "node", "code")
-    placed = sent.repartitionById(shards, F.col("shard")).sortWithinPartitions("role", "node").select("role", "node", "code")
-    return placed.mapInArrow(_searcher(radius, horizon, target), "a bigint, b bigint")
-
-
-def _verifier(threshold: float):
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows sorted by (cluster, is_edge); an open cluster is carried over batch borders."""
-        carry: pa.RecordBatch | None = None
-        for batch in batches:
-            whole = pa.Table.from_batches([carry, batch]).combine_chunks().to_batches()[0] if carry is not None and carry.num_rows else batch
-            if whole.num_rows == 0:
-                continue
-            cluster = np.asarray(whole.column(0))
-            cut = int(np.flatnonzero(cluster == cluster[-1])[0])
-            if cut:
-                yield _groups(whole.slice(0, cut), threshold)
-            carry = whole.slice(cut)
-        if carry is not None and carry.num_rows:
-            yield _groups(carry, threshold)
-
-    return verify
-
-
-def _groups(rows: pa.RecordBatch, threshold: float) -> pa.RecordBatch:
-    """Groups of whole clusters: (doc_id, text_hash, group_id, group_size, is_representative).
-
-    Rows: cluster, is_edge, doc_id, text_hash, node, other, sketch; documents first.
-    """
-    cluster, is_edge = np.asarray(rows.column(0)), np.asarray(rows.column(1)).astype(bool)
-    doc, text = rows.column(2).filter(pa.array(~is_edge)), rows.column(3).filter(pa.array(~is_edge))
-    node = np.asarray(rows.column(4))
-    other = np.asarray(rows.column(5).fill_null(0))
-    mark = _bytes(rows.column(6).filter(pa.array(~is_edge)), PLACES)
-    mine, n = node[~is_edge], len(doc)
-    # Documents of one node and one sketch have the same word pairs as far as can be told: one vertex.
-    seen, vertex = np.unique(np.column_stack([mine.view(np.uint8).reshape(n, 8), mark]).view(f"V{8 + PLACES}").ravel(), return_inverse=True)
-    first = np.zeros(len(seen), np.int64)
-    first[vertex[::-1]] = np.arange(n)[::-1]
-    v_node, v_mark = mine[first], mark[first]
-    order = np.argsort(v_node, kind="stable")
-    keys = v_node[order]
-    a, b = np.unique(np.column_stack([node[is_edge], other[is_edge]]), axis=0).T if is_edge.any() else (np.zeros(0, np.int64),) * 2
-    nodes = np.unique(keys)
-    a, b = np.concatenate([a, nodes]), np.concatenate([b, nodes])  # a node with itself: its several sketches
-    la, ha, lb, hb = np.searchsorted(keys, a, "left"), np.searchsorted(keys, a, "right"), np.searchsorted(keys, b, "left"), np.searchsorted(keys, b, "right")
-    size = (ha - la) * (hb - lb)
-    pair = np.repeat(np.arange(len(a)), size)
-    at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-    wide = (hb - lb)[pair]
-    x, y = order[la[pair] + at // np.maximum(wide, 1)], order[lb[pair] + at % np.maximum(wide, 1)]
-    keep = x != y
-    x, y = x[keep], y[keep]
-    good = np.zeros(len(x), bool)
-    for lo in range(0, len(x), 65_536):
-        good[lo : lo + 65_536] = similarity(v_mark[x[lo : lo + 65_536]], v_mark[y[lo : lo + 65_536]]) >= threshold
-    root = roots(x[good], y[good], len(seen))[vertex]
-    ids, valid, texts = np.asarray(doc.fill_null(0)), np.asarray(doc.is_valid()), np.asarray(text)
-    by = np.lexsort((texts, ids, ~valid, root))
-    head = np.ones(n, bool)
-    head[1:] = root[by][1:] != root[by][:-1]
-    group = np.cumsum(head) - 1
-    rep = by[np.flatnonzero(head)][group]
-    is_rep = np.zeros(n, bool)
-    is_rep[by[head]] = True
-    group_of, count = np.empty(n, np.int64), np.empty(n, np.int64)
-    group_of[by], count[by] = rep, np.bincount(group)[group]
-    return pa.RecordBatch.from_arrays([doc, text, doc.take(pa.array(group_of)), pa.array(count), pa.array(is_rep)], names=["doc_id", "text_hash", "group_id", "group_size", "is_representative"])
-
-
-def near_duplicate_groups(docs: DataFrame, radius: int = RADIUS, threshold: float = 0.5, shards: int | None = None) -> DataFrame:
-    """Every document with its group: doc_id, text_hash, group_id, group_size, is_representative.
-
-    Two documents are joined if their SimHashes differ in at most radius bits
-    and the estimated Jaccard similarity of their word pairs is at least
-    threshold; groups are the components. The representative is the row with the
-    least (doc_id, text_hash), null ids last, and group_id is its doc_id. Exactly
-    one row of a group is the representative: of fully repeated rows one.
-    Texts without words (null, empty, signs only) are groups of their own.
-    Letter case and signs play no part. Other columns are ignored.
+    sent = codes.select(F.explode(F.concat(F.array(own), asks)).alias("s"), "node", "code", "sketch").select("s.shard", "s.role", "node", "code", "sketch")
+    placed = sent.repartitionById(shards, F.col("shard")).sortWithinPartitions("role", "node").select("role", "node", "code", "sketch")
+    return placed.mapInArrow(_searcher(radius, threshold, horizon, target), _LINK)
+
+
+def near_duplicate_groups(docs: DataFrame, radius: int = RADIUS, threshold: float = 0.5, shards: int | None = None, hot: int = 1 << 20) -> DataFrame:
+    """Every document with its group: doc_id, text_hash, group_id, group_size, n_links, is_representative.
+
+    Two documents are linked if their SimHashes differ in at most radius bits
+    and the estimated Jaccard similarity of their sets of word pairs is at least
+    threshold; groups are the components. n_links counts the verified links found
+    from the document's text, at most one for each local class of each shard. The
+    representative is the row with the least (doc_id, text_hash), null ids last,
+    and group_id is its doc_id. Exactly one row of a group is the representative:
+    of fully repeated rows one. Texts without words (null, empty, signs only) are
+    groups of their own. Letter case and signs play no part. Other columns are
+    ignored. Groups and texts with more than `hot` documents are split where
+    they are joined.
     """
     prints = write_table(fingerprints(docs), "fingerprints")
     named = prints.where("node is not null")
-    codes = named.groupBy("node").agg(F.first("code").alias("code"))
-    pairs = write_table(candidate_pairs(codes, shards, radius), "pairs")
-    linked = components(pairs).select(F.col("node").alias("n"), "component")
-    # Nodes that met another one, and nodes with several documents, form clusters; the rest is alone.
-    counted = named.groupBy("node").agg(F.count(F.lit(1)).alias("docs"))
-    clusters = counted.join(linked, F.col("node") == F.col("n"), "left").where("docs > 1 or component is not null").select(F.col("node").alias("n"), F.coalesce("component", "node").alias("cluster"))
-    clusters = write_table(clusters, "clusters")
-    members = prints.join(clusters, F.col("node") == F.col("n"), "left")
-    none = lambda t: F.lit(None).cast(t)
-    vertices = members.where("cluster is not null").select("cluster", F.lit(0).alias("is_edge"), "doc_id", "text_hash", "node", none("bigint").alias("other"), "sketch")
-    edges = pairs.distinct().join(clusters, F.col("a") == F.col("n")).select("cluster", F.lit(1).alias("is_edge"), none("bigint").alias("doc_id"), none("bigint").alias("text_hash"), F.col("a").alias("node"), F.col("b").alias("other"), none("binary").alias("sketch"))
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    grouped = vertices.union(edges).repartition(parts, "cluster").sortWithinPartitions("cluster", "is_edge").mapInArrow(_verifier(threshold), "doc_id bigint, text_hash bigint, group_id bigint, group_size bigint, is_representative boolean")
-    alone = members.where("cluster is null").select("doc_id", "text_hash", F.col("doc_id").alias("group_id"), F.lit(1).cast("bigint").alias("group_size"), F.lit(True).alias("is_representative"))
-    return grouped.union(alone)
-
-
-def keep_representatives(docs: DataFrame, **options) -> DataFrame:
-    """docs with one row of each group of near-duplicates; all columns stay."""
-    kept = near_duplicate_groups(docs, **options).where("is_representative").groupBy(F.col("doc_id").alias("k1"), F.col("text_hash").alias("k2")).agg(F.count(F.lit(1)).cast("int").alias("n"))
+    codes = named.groupBy("node").agg(F.first("code").alias("code"), F.first("sketch").alias("sketch"))
+    found = write_table(links(codes, shards, radius, threshold), "links")
+    linked = components(found).select("node", "component")
+    best = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash", "row")
+    texts = named.groupBy("node").agg(F.count(F.lit(1)).alias("n_docs"), F.min(best).alias("best"))  # copies of a text meet map-side
+    degree = found.where("link").groupBy(F.col("a").alias("node")).agg(F.count(F.lit(1)).alias("n_links"))
+    texts = write_table(texts.join(linked, "node", "left").join(degree, "node", "left").select("node", F.coalesce("component", "node").alias("component"), "n_docs", "best", F.coalesce("n_links", F.lit(0)).alias("n_links")), "texts")
+    groups = write_table(texts.groupBy("component").agg(F.sum("n_docs").alias("group_size"), F.min("best").alias("head"), F.count(F.lit(1)).alias("n_texts")), "groups")
+    sized = write_table(join_hot(texts.drop("best"), groups, "component", "n_texts", hot=hot).select("node", "n_docs", "n_links", "group_size", "head"), "sized")
+    slim = named.select("node", "doc_id", "text_hash", "row")
+    together = join_hot(slim, sized, "node", "n_docs", hot=hot).select("doc_id", "text_hash", F.col("head.doc_id").alias("group_id"), "group_size", "n_links", (F.col("row") == F.col("head.row")).alias("is_representative"))
+    alone = prints.where("node is null").select("doc_id", "text_hash", F.col("doc_id").alias("group_id"), F.lit(1).cast("bigint").alias("group_size"), F.lit(0).cast("bigint").alias("n_links"), F.lit(True).alias("is_representative"))
+    return together.union(alone)
+
+
+def keep_representatives(docs: DataFrame, broadcast_bytes: int = BROADCAST_BYTES, **options) -> DataFrame:
+    """docs with one row of each group of near-duplicates; all columns stay.
+
+    Of rows that share doc_id and text with the representative, the one that is
+    least as JSON stays. Only the keys of rows that go are joined with docs: they
+    are written and measured, broadcast up to broadcast_bytes, so that text is not
+    shuffled, and beyond it documents are shuffled once. Nulls and texts without
+    words: see near_duplicate_groups.
+    """
+    each = near_duplicate_groups(docs, **options).groupBy("doc_id", "text_hash").agg(F.max("is_representative").alias("stays"), F.min("is_representative").alias("all_stay"))
+    gone = write_table(each.where("not all_stay").select(F.col("doc_id").alias("k1"), F.col("text_hash").alias("k2"), "stays"), "gone")
     row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    keys = row.select("row", F.col("row.doc_id").cast("bigint").alias("d"), F.xxhash64(F.coalesce(F.col("row.text"), F.lit(""))).alias("h"))
-    joined = keys.join(kept, F.col("d").eqNullSafe(F.col("k1")) & (F.col("h") == F.col("k2")), "inner")
-    numbered = joined.withColumn("i", F.row_number().over(Window.partitionBy("d", "h").orderBy(F.lit(1)))).where("i <= n")
-    return numbered.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
+    on = F.col("row.doc_id").cast("bigint").eqNullSafe(F.col("k1")) & (F.xxhash64(F.coalesce(F.col("row.text"), F.lit(""))) == F.col("k2"))
+    kept = join_measured(row, gone, on, "left", F.lit(64), broadcast_bytes).where("stays is null").select("row")
+    tied = gone.where("stays")
+    if not tied.isEmpty():  # repeated rows of a representative: the first of each key, which map-side sorting finds
+        least = Window.partitionBy("k1", "k2").orderBy(F.to_json("row"))
+        same = join_measured(row, tied, on, "inner", F.lit(64), broadcast_bytes)
+        kept = kept.union(same.withColumn("i", F.row_number().over(least)).where("i <= 1").select("row"))
+    return kept.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])

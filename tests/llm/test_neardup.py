@@ -91,19 +91,91 @@ def test_planted_copies_and_clean_documents(spark):
     assert all(r["group_size"] == sizes[r["group_id"]] and r["is_representative"] == (r["doc_id"] == r["group_id"]) for r in got)
 
 
-def test_pairs_recall_against_every_pair(spark):
+def _slow_similarity(a: np.ndarray, b: np.ndarray) -> float:
+    x, y = (np.stack([m >> 4, m & 15], axis=1).ravel() for m in (a, b))
+    used = ((x > 0) | (y > 0)).sum()
+    return max(0.0, (((x == y) & (x > 0)).sum() / max(used, 1) - 1 / 15) / (1 - 1 / 15))
+
+
+@pytest.mark.parametrize("shards", [1, 5])
+def test_links_and_groups_against_every_pair(spark, shards):
     distinct = lambda n, seed: " ".join(f"w{random.Random(f'{seed}-{i}').randint(0, 40000)}" for i in range(n))
-    texts = [_edit(distinct(80, g), 0.02 * k, g * 7 + k) for g in range(60) for k in range(5)]
-    prints = neardup.fingerprints(data.documents(spark, [(i, t, "en", "s") for i, t in enumerate(texts)])).collect()
-    codes = {r["node"]: np.frombuffer(bytes(r["code"]), np.uint8) for r in prints}
-    nodes = sorted(codes)
-    wide = np.array([codes[n] for n in nodes]).view(np.uint64)
-    d = np.bitwise_count(wide[:, None] ^ wide[None]).sum(axis=2)
-    truth = {(nodes[i], nodes[j]) for i, j in zip(*np.nonzero(d <= neardup.RADIUS), strict=True) if i < j}
-    table = spark.createDataFrame([(n, bytearray(codes[n].tobytes())) for n in nodes], "node bigint, code binary")
-    for shards in (1, 5):
-        found = {(r["a"], r["b"]) for r in neardup.candidate_pairs(table, shards=shards).collect()}
-        assert found <= truth and len(found) >= 0.9 * len(truth)
+    texts = [_edit(distinct(80, g), 0.03 * k, g * 7 + k) for g in range(60) for k in range(5)] + [distinct(300, 999) + f" end {k}" for k in range(30)]
+    docs = data.documents(spark, [(i, t, "en", "s") for i, t in enumerate(texts)])
+    prints = neardup.fingerprints(docs).collect()
+    node = {r["doc_id"]: r["node"] for r in prints}
+    code = {r["node"]: np.frombuffer(bytes(r["code"]), np.uint8) for r in prints}
+    mark = {r["node"]: np.frombuffer(bytes(r["sketch"]), np.uint8) for r in prints}
+    names = sorted(code)
+    truth = set()
+    for i, a in enumerate(names):
+        for b in names[i + 1 :]:
+            if np.bitwise_count(code[a] ^ code[b]).sum() <= neardup.RADIUS and _slow_similarity(mark[a], mark[b]) >= 0.5:
+                truth.add((a, b))
+    table = spark.createDataFrame([(n, bytearray(code[n].tobytes()), bytearray(mark[n].tobytes())) for n in names], "node bigint, code binary, sketch binary")
+    got = neardup.links(table, shards=shards).collect()
+    assert {(min(r["a"], r["b"]), max(r["a"], r["b"])) for r in got if r["link"]} <= truth
+    index = {n: i for i, n in enumerate(names)}
+    classes = lambda pairs: neardup.roots(np.array([index[a] for a, _ in pairs]), np.array([index[b] for _, b in pairs]), len(names)).tolist()
+    want = classes(truth)
+    assert classes([(r["a"], r["b"]) for r in got]) == want
+    groups = neardup.near_duplicate_groups(docs, shards=shards).collect()
+    first = {}
+    for d in range(len(texts)):
+        first.setdefault(want[index[node[d]]], d)
+    assert {r["doc_id"]: r["group_id"] for r in groups} == {d: first[want[index[node[d]]]] for d in range(len(texts))}
+    linked = {n for p in truth for n in p}
+    assert all((r["n_links"] > 0) == (node[r["doc_id"]] in linked) for r in groups)
+
+
+def _hot(n: int, rng) -> tuple[np.ndarray, np.ndarray]:
+    """n fingerprints of one text with small edits."""
+    base, mark = rng.integers(0, 256, BYTES, dtype=np.uint8), rng.integers(0, 256, neardup.MARK, dtype=np.uint8) | 0x11
+    codes = base ^ np.packbits(rng.random((n, 256)) < 0.06, axis=1)
+    return codes, np.where(rng.random((n, neardup.MARK)) < 0.15, rng.integers(0, 256, (n, neardup.MARK), dtype=np.uint8) | 0x11, mark)
+
+
+def test_a_group_of_a_hundred_thousand_costs_no_square():
+    rng = np.random.default_rng(4)
+    codes, marks = _hot(100_000, rng)
+    lone = rng.integers(0, 256, (5000, BYTES), dtype=np.uint8), rng.integers(0, 256, (5000, neardup.MARK), dtype=np.uint8) | 0x11
+    shard = neardup.Shard(np.arange(105_000), np.concatenate([codes, lone[0]]), np.concatenate([marks, lone[1]]))
+    assert len(np.unique(shard.label)) == 5001
+    more, more_marks = _hot(100_000, np.random.default_rng(4))
+    asked = [0]
+    real = shard.graph.search
+    shard.graph.search = lambda q, beam, *a: (asked.__setitem__(0, asked[0] + len(q) * beam), real(q, beam, *a))[1]
+    q, label, place = shard.links(more[:3000], more_marks[:3000], np.full(3000, -1), (16, 4))
+    assert len(q) == 3000 and len(set(label.tolist())) == 1 and sorted(q.tolist()) == list(range(3000))
+    assert asked[0] <= 3000 * (16 + 32)  # one beam, and one doubling that finds nothing new
+    own = shard.links(shard.graph.codes[:0], marks[:0], np.zeros(0, np.int64), (16, 4))
+    assert len(own[0]) == 0
+
+
+def test_one_code_with_many_sketches():
+    rng = np.random.default_rng(5)
+    code = rng.integers(0, 256, BYTES, dtype=np.uint8)
+    a, b = (rng.integers(0, 256, neardup.MARK, dtype=np.uint8) | 0x11 for _ in range(2))
+    marks = np.stack([a] * 50 + [b] * 50)
+    marks[:, 0] = rng.integers(0, 256, 100, dtype=np.uint8) | 0x11
+    shard = neardup.Shard(np.arange(100), np.tile(code, (100, 1)), marks)
+    assert len(np.unique(shard.label)) == 2
+    q, label, _ = shard.links(np.stack([code, code]), np.stack([a, b]), np.full(2, -1), (16, 4))
+    assert sorted(q.tolist()) == [0, 1] and len(set(label.tolist())) == 2
+
+
+def test_hot_groups_and_texts_are_split_where_they_are_joined(spark):
+    rows = [(i, "one text that very many documents share among them all", "en", "s") for i in range(300)] + [(1000 + i, f"own words {i} alone here {i * 7}", "en", "s") for i in range(40)]
+    docs = data.documents(spark, rows)
+    want = sorted(map(str, neardup.near_duplicate_groups(docs).drop("n_links").collect()))
+    assert want == sorted(map(str, neardup.near_duplicate_groups(docs, hot=20).drop("n_links").collect()))
+    assert sorted(r["doc_id"] for r in neardup.keep_representatives(docs, broadcast_bytes=0).collect()) == sorted(r["doc_id"] for r in neardup.keep_representatives(docs).collect())
+
+
+def test_of_repeated_rows_the_least_stays(spark):
+    rows = [(1, "some words that repeat here", lang, "s") for lang in ("fr", "de", "en", "de")] + [(2, "some words that repeat here", "aa", "s")]
+    kept = neardup.keep_representatives(data.documents(spark, rows).repartition(3)).collect()
+    assert [(r["doc_id"], r["lang"]) for r in kept] == [(1, "de")]
 
 
 def test_awkward_rows(spark):
@@ -124,22 +196,16 @@ def test_awkward_rows(spark):
 def test_audit_sees_small_groups_beside_a_hot_one():
     rng = np.random.default_rng(3)
     flip = lambda row, n: row ^ np.packbits(rng.permutation(256) < n)
-    hot = rng.integers(0, 256, BYTES, dtype=np.uint8)
-    first = rng.integers(0, 256, (16_000, BYTES), dtype=np.uint8)
-    g = SmallWorld(np.unique(np.concatenate([first, [flip(hot, rng.integers(1, 24)) for _ in range(400)]]), axis=0))
-    pairs = np.array([flip(row, rng.integers(50, 67)) for row in first[:400]])
-
-    def recall(settings, codes):
-        truth = np.bincount(g.exact(codes, neardup.RADIUS)[0], minlength=len(codes))
-        got = truth if settings is None else np.bincount(g.within(codes, neardup.RADIUS, *settings, neardup.HORIZON)[0], minlength=len(codes))
-        return (got / truth).mean()
-
-    sample = np.concatenate([[flip(hot, rng.integers(1, 24)) for _ in range(100)], pairs[:60]])
-    truth = np.bincount(g.exact(sample, neardup.RADIUS)[0], minlength=len(sample))
-    first_found = np.bincount(g.within(sample, neardup.RADIUS, 16, 4, neardup.HORIZON)[0], minlength=len(sample))
-    assert first_found.sum() >= 0.95 * truth.sum()  # what the pairs' share hides
-    assert recall((16, 4), pairs) < 0.85
-    settings = neardup.settle(g, sample, np.full(len(sample), -1), truth, neardup.RADIUS, neardup.HORIZON, 0.95)
-    assert recall(settings, pairs) >= 0.9
-    none = neardup.settle(g, sample[:0], np.zeros(0, np.int64), np.zeros(0, np.int64), neardup.RADIUS, neardup.HORIZON, 0.95)
-    assert none != (16, 4)  # no partners in the sample prove nothing
+    codes, marks = _hot(400, rng)
+    lone, lone_marks = rng.integers(0, 256, (16_000, BYTES), dtype=np.uint8), rng.integers(0, 256, (16_000, neardup.MARK), dtype=np.uint8) | 0x11
+    shard = neardup.Shard(np.arange(16_400), np.concatenate([lone, codes]), np.concatenate([lone_marks, marks]))
+    pairs = np.array([flip(row, rng.integers(20, 81)) for row in lone[:400]])
+    none = np.full(400, -1)
+    recall = lambda search: len(shard.links(pairs, lone_marks[:400], none, search)[0]) / 400
+    assert recall(None) > 0.97 and recall((16, 4)) < 0.9
+    truth = shard.links(codes[:100], marks[:100], np.full(100, -1), None)
+    assert shard.recall(codes[:100], marks[:100], np.full(100, -1), truth, (16, 4)) > 0.95  # the hot group alone would pass at once
+    settings = shard.settle(codes[:100], marks[:100], np.full(100, -1), truth, 0.95)
+    assert settings != (16, 4) and recall(settings) >= 0.93
+    nothing = tuple(np.zeros(0, np.int64) for _ in range(3))
+    assert shard.settle(codes[:0], marks[:0], none[:0], nothing, 0.95) != (16, 4)  # no links in the sample prove nothing
