@@ -35,7 +35,7 @@ PLACES = 128
 MARK = PLACES // 2
 #: Bits of 256 by which near-duplicates may differ: 95 % of pairs at the threshold of 0.5 lie within (68.5 bits on average, 7.1 standard deviation).
 RADIUS = 80
-HORIZON = 104
+HORIZON = 96
 #: (beam, width) of the searches tried in turn before the exact one.
 LADDER = ((16, 4), (32, 8), (64, 16), (128, 32), (256, 64), (512, 128))
 #: Planted codes of the audit have up to so many partners.
@@ -285,7 +285,7 @@ class Shard:
             block = max(16, 2048 * 16 // max(beam, 16))
             for lo in range(0, len(todo), block):
                 mine = todo[lo : lo + block]
-                ids, dist = self.graph.search(codes[mine], beam, width, self.horizon)
+                ids, dist = self.graph.search(codes[mine], beam, width, self.horizon, beyond=False)
                 r, c = np.nonzero((ids >= 0) & (dist <= self.radius))
                 found.append((mine[r], ids[r, c].astype(np.int64), dist[r, c]))
                 wide.append(mine[(dist <= self.radius).all(axis=1)])
@@ -298,31 +298,30 @@ class Shard:
             beam *= 2
         return tuple(np.concatenate(out, axis=1))
 
-    def recall(self, codes: np.ndarray, marks: np.ndarray, own: np.ndarray, truth: tuple, search: tuple[int, int]) -> float:
-        """Mean share of the classes in truth, which links() gave exactly, that a query's search finds."""
-        want = np.bincount(truth[0], minlength=len(codes))
-        asked = np.flatnonzero(want)
-        if len(asked) == 0:
-            return 1.0
-        q, label, _ = self.links(codes[asked], marks[asked], own[asked], search)
-        n = len(self.label)
-        hit = np.isin(asked[q] * n + label, truth[0] * n + truth[1])
-        return float((np.bincount(q[hit], minlength=len(asked)) / want[asked]).mean())
-
     def settle(self, codes: np.ndarray, marks: np.ndarray, own: np.ndarray, truth: tuple, target: float, enough: int = 300) -> tuple[int, int] | None:
-        """The first (beam, width) whose mean recall reaches the target, None: search exactly.
-
-        It is the mean over the audit sample's texts that have links; where they
-        are under `enough`, planted codes with few partners make up the number.
+        """The first (beam, width) whose recall reaches the target, None: search exactly.
+
+        truth is what links() gives exactly for the audit sample. Recall is the
+        mean share, over the sample's texts that have any, of their links that the
+        search finds, and is measured apart for links to local classes of up to
+        FEW texts and to larger ones, which are easier to find. Where under
+        `enough` texts have links to small classes, planted codes with few
+        partners make up the number.
         """
-        asked = len(np.unique(truth[0]))
+        n, size = len(self.label), np.bincount(self.label, minlength=len(self.label))
+        small = size[truth[1]] <= FEW
+        asked = len(np.unique(truth[0][small]))
         plain, partners = planted(self.graph, enough, self.radius, self.threshold) if asked < enough else (codes[:0], np.zeros(0, np.int64))
         plain, partners = plain[: enough - asked], partners[: enough - asked]
+        some = np.unique(truth[0])
         for beam, width in LADDER:
             if 2 * width * BYTES >= len(self.graph.codes):  # the exact search compares no more
                 break
-            reached = self.recall(codes, marks, own, truth, (beam, width)) * asked + _recall(self.graph, plain, partners, (self.radius, beam, width, self.horizon)) * len(plain)
-            if reached >= target * max(asked + len(plain), 1):
+            q, label, _ = self.links(codes[some], marks[some], own[some], (beam, width))
+            hit = np.isin(truth[0] * n + truth[1], some[q] * n + label)
+            mean = [np.bincount(truth[0][k & hit], minlength=len(codes))[u] / np.bincount(truth[0][k], minlength=len(codes))[u] for k in (small, ~small) for u in [np.unique(truth[0][k])]]
+            few = mean[0].sum() + _recall(self.graph, plain, partners, (self.radius, beam, width, self.horizon)) * len(plain)
+            if few >= target * max(asked + len(plain), 1) and mean[1].sum() >= target * len(mean[1]):
                 return beam, width
         return None
 
@@ -411,12 +410,14 @@ def links(codes: DataFrame, shards: int | None = None, radius: int = RADIUS, thr
     """
     n = codes.count()
     shards = shards or max(6, -(-n // shard_rows))
-    rate = audit / max(n, 1)
-    sampled = (F.shiftrightunsigned(F.xxhash64(F.lit(3), "node"), 11).cast("double") / F.lit(float(1 << 53))) < rate
-    own = F.struct(F.pmod(F.col("node"), F.lit(shards)).cast("int").alias("shard"), F.lit(0).alias("role"))
-    asks = F.transform(F.sequence(F.lit(0), F.lit(shards - 1)), lambda s: F.struct(s.alias("shard"), F.when(sampled, 1).otherwise(2).alias("role")))
-    sent = codes.select(F.explode(F.concat(F.array(own), asks)).alias("s"), "node", "code", "sketch").select("s.shard", "s.role", "node", "code", "sketch")
-    placed = sent.repartitionById(shards, F.col("shard")).sortWithinPartitions("role", "node").select("role", "node", "code", "sketch")
+    blocks = -(-shards // 4)
+    sampled = (F.shiftrightunsigned(F.xxhash64(F.lit(3), "node"), 11).cast("double") / F.lit(float(1 << 53))) < audit * blocks / max(n, 1)
+    place = lambda s, b: (s * blocks + b).cast("int").alias("place")
+    own = F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda b: F.struct(place(F.pmod("node", F.lit(shards)), b), F.lit(0).alias("role")))
+    block = F.pmod(F.xxhash64(F.lit(4), "node"), F.lit(blocks))
+    asks = F.transform(F.sequence(F.lit(0), F.lit(shards - 1)), lambda s: F.struct(place(s, block), F.when(sampled, 1).otherwise(2).alias("role")))
+    sent = codes.select(F.explode(F.concat(own, asks)).alias("s"), "node", "code", "sketch").select("s.place", "s.role", "node", "code", "sketch")
+    placed = sent.repartitionById(shards * blocks, F.col("place")).sortWithinPartitions("role", "node").select("role", "node", "code", "sketch")
     return placed.mapInArrow(_searcher(radius, threshold, horizon, target), _LINK)
 
 

@@ -34,6 +34,7 @@ class SmallWorld:
     def __init__(self, codes: np.ndarray, degree: int = 12, long_edges: int = 4, rounds: int = 1, seed: int = 1):
         """codes: (n, 32) distinct uint8 rows."""
         self.codes, self.words = codes, words(codes)
+        self.columns = np.ascontiguousarray(self.words.T)
         n = len(codes)
         self.orders = []
         for o in range(BYTES):
@@ -73,6 +74,13 @@ class SmallWorld:
         self.edges[:, d : 2 * d] = -1
         self.edges[d2[keep], d + rank[keep]] = s2[keep]
 
+    def distances(self, qw: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """Distances of each query's words to its nodes: (queries, nodes), a word at a time."""
+        out = np.bitwise_count(qw[:, 0, None] ^ self.columns[0][ids]).astype(np.int32)
+        for k in range(1, len(self.columns)):
+            out += np.bitwise_count(qw[:, k, None] ^ self.columns[k][ids])
+        return out
+
     def entries(self, q: np.ndarray, width: int) -> np.ndarray:
         """Nodes beside each query in each of the orders: (queries, 32 * 2 * width)."""
         n = len(self.codes)
@@ -106,18 +114,30 @@ class SmallWorld:
         empty = dist > FAR
         return np.where(empty, -1, ids), np.where(empty, FAR, dist), empty | ((part & 1) == 0)
 
-    def search(self, q: np.ndarray, beam: int, width: int, horizon: int, expand: int = 4) -> tuple[np.ndarray, np.ndarray]:
+    def search(self, q: np.ndarray, beam: int, width: int, horizon: int, expand: int = 4, beyond: bool = True) -> tuple[np.ndarray, np.ndarray]:
         """(ids, distances) of the beam nearest nodes found; ids are -1 where there are fewer.
 
         Only nodes within the horizon are expanded: beyond it random codes lie,
-        whose neighbours are as far.
+        whose neighbours are as far. beyond: whether such nodes are returned too.
         """
         n_q, n = len(q), len(self.codes)
         if n == 0 or n_q == 0:
             return np.full((n_q, beam), -1, np.int32), np.full((n_q, beam), FAR, np.int32)
         qw = words(q)
         ids = self.entries(q, width)
-        dist = hamming(qw[:, None, :], self.words[ids])
+        dist = self.distances(qw, ids)
+        if not beyond:  # most queries have nothing near: no more is done for them
+            near = dist <= horizon
+            some = np.flatnonzero(near.any(axis=1))
+            if len(some) < n_q:
+                out_ids, out_dist = np.full((n_q, beam), -1, np.int32), np.full((n_q, beam), FAR, np.int32)
+                if len(some):
+                    out_ids[some], out_dist[some] = self._expand(q[some], ids[some], dist[some], beam, horizon, expand)
+                return out_ids, out_dist
+        return self._expand(q, ids, dist, beam, horizon, expand)
+
+    def _expand(self, q: np.ndarray, ids: np.ndarray, dist: np.ndarray, beam: int, horizon: int, expand: int) -> tuple[np.ndarray, np.ndarray]:
+        qw = words(q)
         ids, dist, done = self._best(ids, dist, np.zeros(ids.shape, bool), beam)
         if ids.shape[1] < beam:
             grow = ((0, 0), (0, beam - ids.shape[1]))
@@ -131,7 +151,7 @@ class SmallWorld:
             node = np.where(fresh, np.take_along_axis(i, pick, 1), 0)
             np.put_along_axis(x, pick, True, 1)
             near = np.where(fresh[:, :, None], self.edges[node], -1).reshape(len(active), -1)
-            far = np.where(near < 0, FAR, hamming(qw[active][:, None, :], self.words[np.maximum(near, 0)]))
+            far = np.where(near < 0, FAR, self.distances(qw[active], np.maximum(near, 0)))
             i, d, x = self._best(np.concatenate([i, near], 1), np.concatenate([d, far], 1), np.concatenate([x, np.zeros(near.shape, bool)], 1), beam)
             x |= d > horizon
             ids[active], dist[active], done[active] = i, d, x
@@ -151,7 +171,7 @@ class SmallWorld:
             block = max(16, 2048 * 16 // max(beam, 16))
             for lo in range(0, len(todo), block):
                 mine = todo[lo : lo + block]
-                ids, dist = self.search(q[mine], beam, width, horizon)
+                ids, dist = self.search(q[mine], beam, width, horizon, beyond=False)
                 full = (dist <= radius).all(axis=1) & (beam < len(self.codes))
                 wide.append(mine[full])
                 r, c = np.nonzero((dist <= radius) & ~full[:, None])
@@ -162,7 +182,7 @@ class SmallWorld:
 
     def exact(self, q: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """within(), by comparing with every node."""
-        qw, x, out = words(q), np.ascontiguousarray(self.words.T), []
+        qw, x, out = words(q), self.columns, []
         for lo in range(0, len(q), 64):
             for at in range(0, len(self.codes), 2048):
                 d = np.zeros((len(qw[lo : lo + 64]), len(x[0, at : at + 2048])), np.uint16)

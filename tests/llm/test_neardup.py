@@ -97,7 +97,7 @@ def _slow_similarity(a: np.ndarray, b: np.ndarray) -> float:
     return max(0.0, (((x == y) & (x > 0)).sum() / max(used, 1) - 1 / 15) / (1 - 1 / 15))
 
 
-@pytest.mark.parametrize("shards", [1, 5])
+@pytest.mark.parametrize("shards", [1, 9])
 def test_links_and_groups_against_every_pair(spark, shards):
     distinct = lambda n, seed: " ".join(f"w{random.Random(f'{seed}-{i}').randint(0, 40000)}" for i in range(n))
     texts = [_edit(distinct(80, g), 0.03 * k, g * 7 + k) for g in range(60) for k in range(5)] + [distinct(300, 999) + f" end {k}" for k in range(30)]
@@ -144,7 +144,7 @@ def test_a_group_of_a_hundred_thousand_costs_no_square():
     more, more_marks = _hot(100_000, np.random.default_rng(4))
     asked = [0]
     real = shard.graph.search
-    shard.graph.search = lambda q, beam, *a: (asked.__setitem__(0, asked[0] + len(q) * beam), real(q, beam, *a))[1]
+    shard.graph.search = lambda q, beam, *a, **k: (asked.__setitem__(0, asked[0] + len(q) * beam), real(q, beam, *a, **k))[1]
     q, label, place = shard.links(more[:3000], more_marks[:3000], np.full(3000, -1), (16, 4))
     assert len(q) == 3000 and len(set(label.tolist())) == 1 and sorted(q.tolist()) == list(range(3000))
     assert asked[0] <= 3000 * (16 + 32)  # one beam, and one doubling that finds nothing new
@@ -195,17 +195,18 @@ def test_awkward_rows(spark):
 
 def test_audit_sees_small_groups_beside_a_hot_one():
     rng = np.random.default_rng(3)
-    flip = lambda row, n: row ^ np.packbits(rng.permutation(256) < n)
     codes, marks = _hot(400, rng)
     lone, lone_marks = rng.integers(0, 256, (16_000, BYTES), dtype=np.uint8), rng.integers(0, 256, (16_000, neardup.MARK), dtype=np.uint8) | 0x11
     shard = neardup.Shard(np.arange(16_400), np.concatenate([lone, codes]), np.concatenate([lone_marks, marks]))
-    pairs = np.array([flip(row, rng.integers(20, 81)) for row in lone[:400]])
+    alike = rng.uniform(0.5, 1, 400)  # pairs of texts of any similarity from the threshold on
+    pairs = lone[:400] ^ np.packbits(rng.random((400, 256)) < np.arccos(2 * alike / (1 + alike))[:, None] / np.pi, axis=1)
     none = np.full(400, -1)
     recall = lambda search: len(shard.links(pairs, lone_marks[:400], none, search)[0]) / 400
-    assert recall(None) > 0.97 and recall((16, 4)) < 0.9
+    most = recall(None)
+    assert most > 0.97 and recall((16, 4)) < 0.9 * most
     truth = shard.links(codes[:100], marks[:100], np.full(100, -1), None)
-    assert shard.recall(codes[:100], marks[:100], np.full(100, -1), truth, (16, 4)) > 0.95  # the hot group alone would pass at once
+    assert len(shard.links(codes[:100], marks[:100], np.full(100, -1), (16, 4))[0]) == len(truth[0]) == 100  # the hot group alone would pass at once
     settings = shard.settle(codes[:100], marks[:100], np.full(100, -1), truth, 0.95)
-    assert settings != (16, 4) and recall(settings) >= 0.93
+    assert settings != (16, 4) and recall(settings) >= 0.93 * most
     nothing = tuple(np.zeros(0, np.int64) for _ in range(3))
     assert shard.settle(codes[:0], marks[:0], none[:0], nothing, 0.95) != (16, 4)  # no links in the sample prove nothing
