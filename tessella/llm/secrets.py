@@ -2,8 +2,8 @@
 
 Candidates are maximal runs of token characters that look encoded, such runs
 joined over line breaks where one begins a key, PEM blocks (also with escaped
-line breaks, quotes or marks of comments) and assignments of hex strings. A candidate is reported only after its content
-has been decoded and parsed: ASN.1 key encodings and OpenSSH blobs whose nested
+line breaks, quotes or marks of comments) and assignments of hex strings. A
+candidate is reported only after its content has been decoded and parsed: ASN.1 key encodings and OpenSSH blobs whose nested
 lengths must close exactly, signed-token headers that must be JSON with an
 algorithm, key identifiers whose alphabet and checksum must agree, and hex
 strings that decode to the length and the spread of bytes of a raw key.
@@ -37,7 +37,8 @@ _UPPER = np.zeros(256, bool)
 _UPPER[65:91] = True
 
 _PEM = re.compile(rb"-----BEGIN ([A-Z0-9 ]{0,40}PRIVATE KEY)-----(.*?)-----END \1-----", re.S)
-_ASSIGNED = re.compile(rb"(?:pass(?:word|wd|phrase)?|secret|token|api[_-]?key|access[_-]?key|auth(?:orization)?|credential|private[_-]?key)[\"']?\s{0,3}(?::=|=>|=|:|\s)\s{0,3}(?:bearer\s+)?[\"'`]?$", re.I)
+#: What may end the name of a credential.
+_NAMES = re.compile(rb"(?:pass(?:word|wd|phrase)?|secret|token|api[_-]?key|access[_-]?key|auth(?:orization)?|credential|private[_-]?key)$", re.I)
 _HEX = re.compile(rb"[0-9a-fA-F]{16,}")
 _JWT = re.compile(rb"([A-Za-z0-9_-]{8,})\.([A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]*)")
 _ACCESS_ID = re.compile(rb"(?<![A-Z0-9])(AKIA|ASIA)([A-Z2-7]{16})(?![A-Z0-9])")
@@ -165,6 +166,28 @@ def signed_token(head: bytes, body: bytes, signature: bytes) -> str | None:
     return alg
 
 
+def assigned(text: bytes, at: int) -> bool:
+    """Whether the value at `at` is given to a credential: name, quote, = or : or := or => or a blank, "bearer", quote, with any blanks between."""
+
+    def back(at: int, marks: bytes) -> int:
+        while at and text[at - 1] in marks:
+            at -= 1
+        return at
+
+    blank, quote = b" \t\r\n\f\v", b"\"'`"
+    at -= at > 0 and text[at - 1] in quote
+    end = back(at, blank)
+    if end < at and text[max(0, end - 6) : end].lower() == b"bearer":
+        at = end - 6
+        end = back(at, blank)
+    sign = 2 if text[max(0, end - 2) : end] in (b":=", b"=>") else 1 if text[max(0, end - 1) : end] in (b"=", b":") else 0
+    if not sign and end == at:
+        return False
+    at = back(end - sign, blank)
+    at -= at > 0 and text[at - 1] in b"\"'"
+    return _NAMES.search(text[max(0, at - 16) : at]) is not None  # the longest name has 13 bytes
+
+
 def raw_key(digits: bytes) -> str | None:
     """Whether an even run of hex digits decodes to bytes as spread as a random key's: at least 8 bytes, most of them distinct, not all ASCII text, no arithmetic run."""
     if len(digits) % 2 or (digits.upper() != digits and digits.lower() != digits):
@@ -284,7 +307,7 @@ def scan(text: bytes, at: np.ndarray | None = None) -> list[tuple[str, str, int,
                 add("private_key", f"hex {kind}", start + m.start(), start + m.end())
             elif start + m.end() == end and (more := wrapped(text, start + m.start(), True)):
                 add("private_key", f"hex {more[0]}", start + m.start(), more[1])
-            elif _ASSIGNED.search(text[max(0, start + m.start() - 48) : start + m.start()]) and (kind := raw_key(m[0])):
+            elif assigned(text, start + m.start()) and (kind := raw_key(m[0])):
                 add("assigned_key", kind, start + m.start(), start + m.end())
         for m in _BASE64.finditer(run):
             data = b64decode(m[0])

@@ -126,3 +126,71 @@ def test_keys_over_line_breaks(name):
 def test_wrapped_data_that_is_no_key(name):
     text = {"truncated": lines(B64(pkcs8()[:-9]), 76), "noise": lines(B64(BYTES(3000)), 76), "broken": lines(B64(pkcs8()), 76).replace("\n", "\n\n!", 3)}[name]
     assert secrets.scan(f"before\n{text}\nafter".encode()) == []
+
+
+def slow_scan(text: bytes) -> list[tuple[str, int, int]]:
+    """(kind, start, length) by trying every span between two bytes of another alphabet, without regular expressions or run tables.
+
+    It knows keys in one run of hex or base64, signed tokens, access ids, checked tokens and assigned hex strings.
+    """
+    alnum = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    out, taken = [], []
+
+    def spans(alphabet: bytes, least: int):
+        at = 0
+        while at < len(text):
+            end = at
+            while end < len(text) and text[end] in alphabet:
+                end += 1
+            if end - at >= least:
+                yield at, end
+            at = max(end, at + 1)
+
+    def add(kind: str, a: int, b: int) -> None:
+        if not any(x < b and a < y for x, y in taken):
+            taken.append((a, b))
+            out.append((kind, a, b - a))
+
+    outside = lambda i: not (0 <= i < len(text)) or text[i] not in alnum
+    for a, b in spans(alnum, 20):  # ids of 20 capitals and digits
+        if b - a == 20 and text[a : a + 4] in (b"AKIA", b"ASIA") and all(c in b"ABCDEFGHIJKLMNOPQRSTUVWXYZ234567" for c in text[a + 4 : b]):
+            add("access_key_id", a, b)
+    for a in range(len(text) - 39):  # prefix, 30 characters, 6 of a checksum
+        if text[a : a + 2] == b"gh" and text[a + 2] in b"pousr" and text[a + 3] == 95 and outside(a - 1) and outside(a + 40) and all(c in alnum for c in text[a + 4 : a + 40]):
+            crc, code = zlib.crc32(text[a + 4 : a + 34]), b""
+            while len(code) < 6:
+                crc, r = divmod(crc, 62)
+                code = secrets._BASE62[r].encode() + code
+            if code == text[a + 34 : a + 40]:
+                add("checksummed_token", a, a + 40)
+    for a, b in spans(alnum + b"-_.", 12):
+        parts = text[a:b].split(b".")
+        if len(parts) == 3 and len(parts[0]) >= 8 and len(parts[1]) >= 2 and secrets.signed_token(*parts):
+            add("signed_token", a, b)
+    for a, b in spans(b"0123456789abcdefABCDEF", 16):
+        if not outside(a - 1) or not outside(b) or (b - a) % 2:
+            continue
+        data = bytes.fromhex(text[a:b].decode())
+        before = text[:a].decode("latin-1").rstrip("\"'`").rstrip()
+        if before.lower().endswith("bearer"):
+            before = before[:-6].rstrip()
+        name = before.rstrip("=:>").rstrip().rstrip("\"'").lower()
+        if secrets.private_key(data):
+            add("private_key", a, b)
+        elif any(name.endswith(x) for x in ("pass", "password", "passwd", "passphrase", "secret", "token", "apikey", "api_key", "api-key", "accesskey", "access_key", "access-key", "auth", "authorization", "credential", "private_key", "private-key", "privatekey")) and secrets.raw_key(text[a:b]):
+            add("assigned_key", a, b)
+    for a, b in spans(alnum + b"+/=", 32):
+        data = secrets.b64decode(text[a:b])
+        if data and (secrets.private_key(data) or secrets.openssh_key(data)):
+            add("private_key", a, b)
+    return out
+
+
+def test_query_equals_a_slow_scan(spark):
+    rng = random.Random(12)
+    key = lambda: bytes(rng.sample(range(256), 20)).hex()
+    pool = [lambda: base64.b64encode(pkcs8()).decode(), lambda: rsa().hex(), lambda: token({"alg": "HS256"}), lambda: token({"alg": "HS256"}, 20), checked, lambda: checked()[:-1] + "!", lambda: "AKIA" + "".join(rng.choice("ABCDEFGHIJ234567") for _ in range(16)), lambda: "AKIA0" + "A" * 15,
+        lambda: f'secret = "{key()}"', lambda: f"db_password:{key()}", lambda: f"token" + " " * rng.randint(1, 90) + f"= {key()}", lambda: f'"Authorization": "Bearer {" " * 60}{key()}"', lambda: f"commit {key()}", lambda: f"api_key := '{key()}'", lambda: BYTES(40).hex(), lambda: B64(BYTES(90)), lambda: data.prose("de", 30, rng.randint(0, 99)), lambda: B64(pkcs8()[:-5])]
+    rows = [(i, " ; ".join(rng.choice(pool)() for _ in range(rng.randint(0, 6))), "en", "s") for i in range(160)]
+    got = sorted((r["doc_id"], r["kind"], r["start"], r["length"]) for r in secrets.find_secrets(data.documents(spark, rows)).collect())
+    assert got == sorted((i, *f) for i, t, *_ in rows for f in slow_scan(t.encode())) and len(got) > 150
