@@ -4,8 +4,10 @@ Each shard holds one graph. Points are inserted in batches that double: a greedy
 beam search from the medoid proposes neighbours for every point of a batch, and
 robust pruning keeps those that no kept one covers (a kept p covers x if
 alpha * |p - x| <= |q - x|), so that short and long edges both stay. Reverse
-edges are added and pruned alike. Every vector is then searched in every shard,
-all queries of a block at once, and the shards' nearest are merged.
+edges are added and pruned alike. Every query is then searched in every shard,
+all queries of a block at once, and the shards' nearest are merged. Each shard
+first answers an audit sample of the queries exactly, and doubles its beam until
+their recall is reached, in the end comparing with every vector.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 RESULT = "query_id bigint, neighbor_id bigint, distance float"
@@ -154,11 +156,41 @@ class Shard:
         self.ids, self.first = ids[order], np.searchsorted(where[order], np.arange(len(self.points) + 1))
         self.graph = PrunedGraph(self.points)
 
-    def nearest(self, query_ids: np.ndarray, vectors: np.ndarray, k: int, beam: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(query, id, squared distance): at least the k nearest other ids found of each query; of one vector's ids the least."""
-        out = []
-        for lo in range(0, len(query_ids), 1024):
-            ids, dist = self.graph.search(vectors[lo : lo + 1024], beam)
+    def exact(self, vectors: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """The k + 1 nearest points, like graph.search, by comparing with every one."""
+        k = min(k + 1, len(self.points))
+        ids, dist = np.zeros((len(vectors), 0), np.int32), np.zeros((len(vectors), 0), np.float32)
+        for lo in range(0, len(self.points), 16_384):
+            x = self.points[lo : lo + 16_384]
+            d = np.maximum(self.graph.norms[lo : lo + 16_384][None] - 2 * vectors @ x.T + np.einsum("ij,ij->i", vectors, vectors)[:, None], 0)
+            ids = np.concatenate([ids, np.broadcast_to(np.arange(lo, lo + len(x), dtype=np.int32), d.shape)], axis=1)
+            dist = np.concatenate([dist, d], axis=1)
+            by = np.argpartition(dist, k - 1, axis=1)[:, :k] if dist.shape[1] > k else np.argsort(dist, axis=1)
+            ids, dist = np.take_along_axis(ids, by, 1), np.take_along_axis(dist, by, 1)
+        by = np.argsort(dist, axis=1, kind="stable")
+        return np.take_along_axis(ids, by, 1), np.take_along_axis(dist, by, 1)
+
+    def settle(self, vectors: np.ndarray, k: int, beam: int, target: float) -> int | None:
+        """The first of beam, 2 * beam, ... whose recall of the sample's k + 1 nearest points reaches the target, counted by distance so that ties count alike; None: search exactly."""
+        if len(vectors) == 0:
+            return beam
+        far = np.concatenate([self.exact(vectors[lo : lo + 256], k)[1][:, -1] for lo in range(0, len(vectors), 256)])
+        wanted = min(k + 1, len(self.points))
+        while beam < len(self.points):
+            hits = 0
+            for lo in range(0, len(vectors), 1024):
+                dist = self.graph.search(vectors[lo : lo + 1024], max(beam, k + 1))[1][:, : k + 1]
+                hits += int((dist <= far[lo : lo + 1024, None] * (1 + 1e-5) + 1e-6).sum())
+            if hits >= target * wanted * len(vectors):
+                return beam
+            beam *= 2
+        return None
+
+    def nearest(self, query_ids: np.ndarray, vectors: np.ndarray, k: int, beam: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, id, squared distance): at least the k nearest other ids found of each query; of one vector's ids the least. Without a beam every point is compared."""
+        out, step = [], 1024 if beam else 256
+        for lo in range(0, len(query_ids), step):
+            ids, dist = self.graph.search(vectors[lo : lo + step], max(beam, k + 1)) if beam else self.exact(vectors[lo : lo + step], k)
             ids, dist = ids[:, : k + 1], dist[:, : k + 1]
             r, c = np.nonzero(ids >= 0)
             node = ids[r, c]
@@ -186,12 +218,24 @@ def _split(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.nda
                 yield int(r), int(d), ids[rows[fine]], v[fine]
 
 
-def _searcher(k: int, beam: int):
+def _searcher(k: int, beam: int, target: float):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows (role, id, vector) of one shard sorted by role and id: role 0 its own, 1 the queries."""
-        held: dict[int, list] = {}
-        shards: dict[int, Shard] = {}
+        """Rows (role, id, vector) of one shard sorted by role and id: role 0 its own, 1 the audit queries, 2 the other queries."""
+        held: dict[tuple[int, int], list] = {}
+        shards: dict[int, tuple[Shard, int | None]] = {}
         last: dict[tuple[int, int], int] = {}
+
+        def ready(d: int) -> Iterator[pa.RecordBatch]:
+            ids, vectors = (np.concatenate(x) for x in zip(*held.pop((0, d)), strict=True))
+            shard = Shard(ids, vectors)
+            asked, sample = (np.concatenate(x) for x in zip(*held.pop((1, d), [(ids[:0], vectors[:0])]), strict=True))
+            shards[d] = shard, shard.settle(sample, k, beam, target)
+            yield answer(d, asked, sample)
+
+        def answer(d: int, ids: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
+            q, n, dist = shards[d][0].nearest(ids, v, k, shards[d][1])
+            return pa.RecordBatch.from_arrays([pa.array(q), pa.array(n), pa.array(np.sqrt(dist).astype(np.float32))], names=["query_id", "neighbor_id", "distance"])
+
         for batch in batches:
             for role, d, ids, v in _split(batch):
                 new = np.ones(len(ids), bool)  # rows of one id count once; they are neighbours here
@@ -200,35 +244,41 @@ def _searcher(k: int, beam: int):
                     new[0] = False
                 last[role, d] = int(ids[-1])
                 ids, v = ids[new], v[new]
-                if role == 0:
-                    held.setdefault(d, []).append((ids, v))
+                if role < 2:
+                    held.setdefault((role, d), []).append((ids, v))
                     continue
-                if d in held and d not in shards:
-                    shards[d] = Shard(np.concatenate([x for x, _ in held[d]]), np.concatenate([x for _, x in held[d]]))
-                    held[d].clear()
+                if (0, d) in held:
+                    yield from ready(d)
                 if d in shards:
-                    q, n, dist = shards[d].nearest(ids, v, k, beam)
-                    yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(n), pa.array(np.sqrt(dist).astype(np.float32))], names=["query_id", "neighbor_id", "distance"])
+                    yield answer(d, ids, v)
+        for role, d in list(held):
+            if role == 0:
+                yield from ready(d)
 
     return search
 
 
-def nearest_neighbors(vectors: DataFrame, k: int = 10, beam: int = 96, shards: int | None = None, id_col: str = "vec_id", vector_col: str = "embedding", shard_rows: int = 1_000_000) -> DataFrame:
-    """query_id, neighbor_id, rank (1 .. k), distance (Euclidean) for every vector.
+def nearest_neighbors(vectors: DataFrame, k: int = 10, beam: int = 64, shards: int | None = None, id_col: str = "vec_id", vector_col: str = "embedding", shard_rows: int = 1_000_000, asks: Column | None = None, audit: int = 300, target: float = 0.95) -> DataFrame:
+    """query_id, neighbor_id, rank (1 .. k), distance (Euclidean) for every vector that asks, a condition on the rows of vectors (by default all ask).
 
     A vector's own id is no neighbour of it. Ties are ordered by neighbor_id. Rows
     that repeat an id count once, with the least vector. Rows with a null id, a null
     or empty vector or a value that isn't finite neither ask nor answer; vectors
     are compared only with those of the same dimension. Fewer than k others give
     fewer rows. Other columns are ignored. There are at least six shards, and one
-    more for each further shard_rows vectors; every vector is sent to each.
+    more for each further shard_rows vectors; every query is sent to each. About
+    audit queries are answered exactly in each shard; a beam starts at `beam` and
+    doubles until their recall is target.
     """
-    n = shards or max(6, -(-vectors.count() // shard_rows))
-    usable = vectors.select(F.col(id_col).cast("bigint").alias("id"), F.col(vector_col).cast("array<float>").alias("v")).where("id is not null and v is not null")
-    own = F.struct(F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias("shard"), F.lit(0).alias("role"))
-    asks = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda s: F.struct(s.alias("shard"), F.lit(1).alias("role")))
-    sent = usable.select(F.explode(F.concat(F.array(own), asks)).alias("s"), "id", "v").select("s.shard", "s.role", "id", "v")
+    asking = F.coalesce(asks, F.lit(False)) if asks is not None else F.lit(True)
+    usable = vectors.select(F.col(id_col).cast("bigint").alias("id"), F.col(vector_col).cast("array<float>").alias("v"), asking.alias("asks")).where("id is not null and v is not null")
+    size = usable.agg(F.count(F.lit(1)).alias("n"), F.count_if("asks").alias("asks")).first()
+    n = shards or max(6, -(-size["n"] // shard_rows))
+    sampled = (F.shiftrightunsigned(F.xxhash64(F.lit(5), "id"), 11).cast("double") / F.lit(float(1 << 53))) < audit / max(size["asks"], 1)
+    own = F.array(F.struct(F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias("shard"), F.lit(0).alias("role")))
+    sent_to = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda s: F.struct(s.alias("shard"), F.when(sampled, 1).otherwise(2).alias("role")))
+    sent = usable.select(F.explode(F.when(F.col("asks"), F.concat(own, sent_to)).otherwise(own)).alias("s"), "id", "v").select("s.shard", "s.role", "id", "v")
     placed = sent.repartitionById(n, F.col("shard")).sortWithinPartitions("role", "id", "v").select("role", "id", "v")
-    found = placed.mapInArrow(_searcher(k, beam), RESULT)
+    found = placed.mapInArrow(_searcher(k, beam, target), RESULT)
     best = F.slice(F.array_sort(F.collect_list(F.struct("distance", "neighbor_id"))), 1, k)
     return found.groupBy("query_id").agg(best.alias("b")).select("query_id", F.posexplode("b").alias("p", "b")).select("query_id", F.col("b.neighbor_id").alias("neighbor_id"), (F.col("p") + 1).alias("rank"), F.col("b.distance").alias("distance"))

@@ -56,3 +56,29 @@ def test_a_very_long_vector(spark):
     got = ann.nearest_neighbors(spark.createDataFrame([(i, v[i].tolist()) for i in range(30)], SCHEMA), k=3).collect()
     want = exact(list(range(30)), v.astype(np.float64), 3)
     assert all(r["neighbor_id"] in {j for _, j in want[r["query_id"]]} for r in got) and len(got) == 90
+
+
+@pytest.mark.parametrize("shards", [1, 3])
+def test_queries_against_brute_force(spark, shards):
+    """Vectors without clusters, where a narrow beam fails: the audit widens it."""
+    rng = np.random.default_rng(9)
+    v = rng.normal(size=(3000, 48)).astype(np.float32)
+    df = spark.createDataFrame([(i, v[i].tolist()) for i in range(3000)], SCHEMA)
+    asks = ann.F.col("vec_id") % 20 == 0
+    got = {}
+    for r in ann.nearest_neighbors(df, shards=shards, beam=12, asks=asks).collect():
+        got.setdefault(r["query_id"], set()).add(r["neighbor_id"])
+    assert set(got) == set(range(0, 3000, 20))
+    want = exact(list(range(3000)), v.astype(np.float64), 10)
+    assert sum(len(got[i] & {j for _, j in want[i]}) for i in got) >= 0.9 * 10 * len(got)
+
+
+def test_the_beam_doubles_until_the_recall_is_reached():
+    v = np.random.default_rng(2).normal(size=(2500, 64)).astype(np.float32)
+    shard = ann.Shard(np.arange(2500), v)
+    asks = np.random.default_rng(3).normal(size=(100, 64)).astype(np.float32)
+    beam = shard.settle(asks, 10, 11, 0.95)
+    assert beam > 11 and shard.settle(asks, 10, 11, 1.01) is None
+    ids, dist = shard.exact(asks, 10)
+    d = ((asks[:, None] - shard.points[None]) ** 2).sum(axis=2)
+    assert (ids == np.argsort(d, axis=1)[:, :11]).mean() > 0.99 and np.allclose(dist, np.sort(d, axis=1)[:, :11], atol=1e-2)
