@@ -60,12 +60,6 @@ def analyze_body(tokens: Column, params: Column) -> dict[str, Column]:
     return {"hash": hash_text(tokens), "normalized_hash": hash_text(norm), "body_len": utf16_length(tokens), "norm_body_len": utf16_length(norm)}
 
 
-def type_shape(members: Column) -> Column:
-    """Hash of a member list (name, optional, type_text): order plays no part, a missing type is any."""
-    texts = F.transform(members, lambda m: F.concat(m["name"], F.when(m["optional"], "?").otherwise(""), F.lit(":"), F.coalesce(m["type_text"], F.lit("any"))))
-    return hash_text(F.concat(F.lit("{"), F.array_join(F.array_sort(texts), ";"), F.lit("}")))
-
-
 def name_segments(name: Column) -> Column:
     """The distinct lower-case parts of a name, cut at underscores and between a small and a capital letter."""
     parts = F.split(F.regexp_replace(name, r"([a-z])([A-Z])", "$1_$2"), "_")

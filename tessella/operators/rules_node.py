@@ -187,11 +187,15 @@ node_rule("no-dynamic-import", "warning", "imports", "safety", lambda: kind("Cal
 
 
 def heritage(edges: DataFrame, depth: int = 50) -> DataFrame:
-    """(child, ancestor) over extends edges (child, parent), up to a depth: a recursive query."""
-    edges.createOrReplaceTempView("_tessella_extends")
+    """(child, ancestor) over extends edges (child, parent), up to a depth: a recursive query.
+
+    Pairs are made distinct at every level, so that diamonds don't multiply paths.
+    """
+    e = edges.select("child", "parent").where("child is not null and parent is not null").distinct()
     return edges.sparkSession.sql(
-        f"WITH RECURSIVE up(child, ancestor, depth) AS (SELECT child, parent, 1 FROM _tessella_extends UNION ALL SELECT up.child, e.parent, up.depth + 1 FROM up JOIN _tessella_extends e ON up.ancestor = e.child WHERE up.depth < {int(depth)}) "
-        "SELECT DISTINCT child, ancestor FROM up"
+        f"WITH RECURSIVE up(child, ancestor, depth) AS (SELECT child, parent, 1 FROM {{e}} UNION ALL SELECT DISTINCT up.child, e.parent, up.depth + 1 FROM up JOIN {{e}} e ON up.ancestor = e.child WHERE up.depth < {int(depth)}) "
+        "SELECT DISTINCT child, ancestor FROM up",
+        e=e,
     )
 
 
@@ -226,6 +230,14 @@ def _of(facts: Facts, name: str) -> DataFrame:
     return facts["expr_facts"].where(F.col("kind") == name)
 
 
+def _strict(rows: DataFrame, facts: Facts) -> DataFrame:
+    """rows of groups with strict null checks; where no options are known, all."""
+    if "group_options" not in facts:
+        return rows
+    loose = facts["group_options"].where(~F.coalesce("strict_null_checks", F.lit(True))).select("group_id")
+    return rows.join(loose, "group_id", "left_anti")
+
+
 _BLOCK, _POS = lambda: attr("block"), lambda: attr("pos").cast("int")
 
 
@@ -234,7 +246,7 @@ def return_type_widens(facts: Facts) -> DataFrame:
     """Kinds ArrayBinding (attrs symbol, block, pos; flag non_tuple), ReturnIdentifier (symbol, block, pos; flag lacks_undefined) and BindingUse (symbol, block, pos; flags is_reassign, is_nullish_guard)."""
     sym = lambda n: _of(facts, n).select("group_id", "file", attr("symbol").alias("symbol"), _BLOCK().alias("block"), _POS().alias("pos"), "line", "col", "flags")
     bind = sym("ArrayBinding").where(flag("non_tuple")).select("group_id", "file", "symbol", "block", F.col("pos").alias("b_pos"))
-    ret = sym("ReturnIdentifier").where(flag("lacks_undefined"))
+    ret = _strict(sym("ReturnIdentifier").where(flag("lacks_undefined")), facts)
     stop = sym("BindingUse").where(flag("is_reassign") | flag("is_nullish_guard")).select("group_id", "file", "symbol", "block", F.col("pos").alias("s_pos"))
     keys = ["group_id", "file", "symbol", "block"]
     pairs = ret.join(bind, keys).where("b_pos < pos")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions import text as T
 from tessella.operators import annotate, policy, runs
+from tessella.plans import rule_tables
 from tessella.operators.groups import grouped, others, report_target
 
 _WS = r"[ \t\n\r\f]+"
@@ -108,11 +109,13 @@ def return_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.where("n >= 3")
 
 
-def shape_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The shape of each event type's JSON keys, order playing no part."""
+def shape_hash_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shape of each event type's JSON keys, order playing no part, by the hash that the type rules group by."""
+    from tessella.extract.facts import shape_hash
+
     e = table(spark, sf_dir, "events").select("event_type", F.explode(F.json_object_keys("props")).alias("k")).distinct()
-    members = F.collect_list(F.struct(F.col("k").alias("name"), F.lit(True).alias("optional"), F.lit(None).cast("string").alias("type_text")))
-    return e.groupBy("event_type").agg(T.type_shape(members).alias("shape"))
+    members = F.collect_list(F.struct(F.col("k").alias("name"), F.lit(True).alias("optional"), F.lit(None).cast("string").alias("type_text"), F.lit(False).alias("method")))
+    return e.groupBy("event_type").agg(members.alias("m")).select("event_type", shape_hash(F.col("m")).alias("shape"))
 
 
 def constant_arg(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -139,7 +142,8 @@ def unused_export(spark: SparkSession, sf_dir: str) -> DataFrame:
 def dead_overload(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order priorities that a customer with orders never used, with the number of live ones."""
     o = table(spark, sf_dir, "orders").select("o_custkey", "o_orderpriority").distinct()
-    family = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey")).crossJoin(table(spark, sf_dir, "orders").select("o_orderpriority").distinct())
+    every = o.agg(F.collect_set("o_orderpriority").alias("all"))  # five priorities
+    family = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), F.explode(F.lit(every.first()["all"])).alias("o_orderpriority"))
     matched = family.join(o.withColumn("hit", F.lit(1)), ["o_custkey", "o_orderpriority"], "left").withColumn("live", F.sum(F.coalesce("hit", F.lit(0))).over(Window.partitionBy("o_custkey")))
     return matched.where("hit is null and live > 0").select("o_custkey", "o_orderpriority", "live")
 
@@ -165,11 +169,11 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def overload_heritage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ancestors of nations by a recursive query, along parents made up as half the key: 25 rows, chains of at most 5."""
+    """Every earlier order on the chain of orders in which each one extends its customer's order before it, as a class its ancestors."""
     from tessella.operators.rules_node import heritage
 
-    n = table(spark, sf_dir, "nation")
-    return heritage(n.where("n_nationkey > 0").select(F.col("n_nationkey").alias("child"), F.floor(F.col("n_nationkey") / 2).cast("int").alias("parent")))
+    before = F.lag("o_orderkey").over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
+    return heritage(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("child"), before.alias("parent")))
 
 
 _POLICY = [(0, "*", "warning"), (1, "category:view", "off"), (2, "c*", "error"), (3, "purchase", "info"), (4, "tag:s", "error")]
@@ -216,12 +220,14 @@ def make_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def exit_code(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The exit code of each event type's rows under every fail-on level."""
     top = _event_diagnostics(spark, sf_dir).groupBy("rule_id").agg(F.max(policy.severity_ord(F.col("severity"))).alias("top"))
-    levels = spark.createDataFrame([("none",), ("error",), ("warning",), ("info",)], "fail_on string")
-    return top.crossJoin(levels).select("rule_id", "fail_on", policy.exit_code(F.col("top"), F.col("fail_on")).alias("exit_code"))
+    levels = F.explode(F.array(*[F.lit(x) for x in ("none", "error", "warning", "info")])).alias("fail_on")
+    return top.select("rule_id", "top", levels).select("rule_id", "fail_on", policy.exit_code(F.col("top"), F.col("fail_on")).alias("exit_code"))
 
 
 def summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _event_diagnostics(spark, sf_dir).groupBy("rule_id").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "rule_id")
+    from tessella.sources import sinks
+
+    return sinks.summary(_event_diagnostics(spark, sf_dir))
 
 
 def flat_report(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -248,10 +254,14 @@ def annotation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Even documents whose content no odd document has: a fingerprint anti join."""
-    d = table(spark, sf_dir, "documents").select("doc_id", T.hash_text(F.col("text")).alias("content_hash"))
-    old = d.where("doc_id % 2 = 1").select("content_hash")
-    return d.where("doc_id % 2 = 0").join(old, "content_hash", "left_anti").select("doc_id", "content_hash")
+    """All documents held against a snapshot in which those of one source are missing, German ones had another text and labelled toxic ones another group: what has to be read again."""
+    from tessella.streaming.incremental import changed, fingerprints
+
+    d = table(spark, sf_dir, "documents")
+    toxic = table(spark, sf_dir, "labels").where("toxic = 1").select(F.col("doc_id").alias("t_id")).distinct()
+    now = d.join(toxic, F.col("doc_id") == F.col("t_id"), "left").select(F.lit("new").alias("group_id"), F.col("doc_id").cast("string").alias("file"), F.col("text").alias("source"), "lang", F.col("source").alias("origin"), F.col("t_id").isNotNull().alias("toxic"))
+    then = now.where("origin <> 'src3'").select(F.when(F.col("toxic"), "old").otherwise("new").alias("group_id"), "file", F.when(F.col("lang") == "de", F.concat(F.lit("before "), "source")).otherwise(F.col("source")).alias("source"))
+    return changed(now.select("group_id", "file", "source"), fingerprints(then)).select(F.col("file").cast("bigint").alias("doc_id"), T.hash_text(F.col("source")).alias("content_hash"))
 
 
 def nearest_group(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -272,8 +282,8 @@ def path_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "dup_file": dup_file, "report_target": report_target_query, "first_reportable": first_reportable, "near_dup": near_dup, "near_dup_url": near_dup_url, "normalized_body": normalized_body, "name_collision": name_collision, "name_segments": name_segments,
-    "run_islands": run_islands, "maximal_runs": maximal_runs, "repeated_literal": repeated_literal, "return_shape": return_shape, "shape_hash": shape_hash, "constant_arg": constant_arg, "arg_never_used": arg_never_used, "arg_always_used": arg_always_used,
+    "run_islands": run_islands, "maximal_runs": maximal_runs, "repeated_literal": repeated_literal, "return_shape": return_shape, "shape_hash": shape_hash_query, "constant_arg": constant_arg, "arg_never_used": arg_never_used, "arg_always_used": arg_always_used,
     "unused_export": unused_export, "dead_overload": dead_overload, "explicit_null_arg": explicit_null_arg, "name_collision_unlinked": name_collision_unlinked, "edges": edges, "heritage": overload_heritage, "policy_resolve": policy_resolve, "overrides": overrides,
     "dedupe": dedupe, "baseline_ratchet": baseline_ratchet, "make_baseline": make_baseline, "exit_code": exit_code, "summary": summary, "flat_report": flat_report, "suppression": suppression, "annotation": annotation, "incremental": incremental,
-    "nearest_group": nearest_group, "path_filters": path_filters,
+    "nearest_group": nearest_group, "path_filters": path_filters, **rule_tables.QUERIES,
 }

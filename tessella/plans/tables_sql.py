@@ -1,4 +1,6 @@
-"""SQL with the rows of the queries in tables.py."""
+"""SQL with the rows of the queries in tables.py and rule_tables.py."""
+
+from tessella.plans import rule_tables
 
 _H = "sha256({})[1:16]"
 _FLAT = r"trim(regexp_replace({}, '[ \t\n\r\f]+', ' ', 'g'), ' ')"
@@ -57,7 +59,7 @@ SELECT o_custkey, o_orderpriority, live FROM m WHERE NOT hit AND live > 0""",
 x AS (SELECT DISTINCT o_custkey, o_orderpriority FROM (SELECT o_custkey, o_orderpriority, l_partkey FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL HAVING count(DISTINCT o_orderkey) > 1))
 SELECT g.* FROM g ANTI JOIN x ON g.o_custkey = x.o_custkey AND g.o_orderpriority = x.o_orderpriority""",
     "edges": """SELECT target, count(*) AS n_links, count(DISTINCT page_id) AS n_pages FROM (SELECT page_id, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS target FROM pages) GROUP BY target""",
-    "heritage": "WITH RECURSIVE e AS (SELECT n_nationkey AS child, floor(n_nationkey / 2)::INT AS parent FROM nation WHERE n_nationkey > 0), up AS (SELECT child, parent AS ancestor FROM e UNION SELECT up.child, e.parent FROM up JOIN e ON up.ancestor = e.child) SELECT child, ancestor FROM up",
+    "heritage": "SELECT a.o_orderkey AS child, b.o_orderkey AS ancestor FROM orders a JOIN orders b ON a.o_custkey = b.o_custkey AND b.o_orderkey < a.o_orderkey",
     "policy_resolve": """WITH r AS (SELECT DISTINCT event_type AS rule_id FROM events), v AS (SELECT rule_id, CASE WHEN substr(rule_id, 1, 1) = 's' THEN 'error' WHEN rule_id = 'purchase' THEN 'info' WHEN rule_id LIKE 'c%' THEN 'error' WHEN rule_id = 'view' THEN 'off' ELSE 'warning' END AS severity FROM r)
 SELECT * FROM v WHERE severity <> 'off'""",
     "overrides": f"""WITH {_DIAG}, o AS (SELECT rule_id, CASE WHEN file = 'src/u22' AND rule_id = 'view' THEN 'error' WHEN file LIKE 'src/u2%' THEN 'info' WHEN file LIKE 'src/u1%' AND rule_id = 'click' THEN 'off' ELSE severity END AS severity FROM d)
@@ -71,10 +73,11 @@ SELECT rule_id, fail_on, CASE WHEN fail_on = 'none' THEN 0 WHEN top = 3 THEN 2 W
     "flat_report": f"WITH {_DIAG} SELECT seq, file || ':' || line || ':1 ' || severity || ' [' || rule_id || '] seen' AS value FROM d",
     "suppression": "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)",
     "annotation": f"SELECT a.conv_id, a.turn::INT AS turn, {_H.format('u.text')} AS annotation FROM conversations a LEFT JOIN conversations u ON u.conv_id = a.conv_id AND u.turn = a.turn - 1 AND u.role = 'user' WHERE a.role = 'assistant'",
-    "incremental": f"WITH h AS (SELECT doc_id, {_H.format('text')} AS content_hash FROM documents) SELECT doc_id, content_hash FROM h WHERE doc_id % 2 = 0 AND content_hash NOT IN (SELECT content_hash FROM h WHERE doc_id % 2 = 1)",
+    "incremental": f"SELECT doc_id, {_H.format('text')} AS content_hash FROM documents WHERE source = 'src3' OR lang = 'de' OR doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)",
     "nearest_group": """WITH p AS (SELECT page_id, regexp_replace(regexp_replace(url, '^https?:/', ''), '[?#].*$', '') AS file FROM pages), f AS (SELECT folder FROM (SELECT regexp_replace(file, '/[^/]*$', '') AS folder FROM p) GROUP BY 1 HAVING count(*) >= 2)
 SELECT page_id, (SELECT max_by(folder, length(folder)) FROM f WHERE starts_with(p.file, f.folder || '/')) AS folder FROM p""",
     "path_filters": r"""WITH p AS (SELECT regexp_replace(regexp_replace(url, '^https?://', ''), '[?#].*$', '') AS path FROM pages)
 SELECT regexp_extract(path, '^([^/]*)', 1) AS host, count(*) AS n FROM p
 WHERE NOT (CASE WHEN regexp_matches(path, '^blog\.[^/]*/fr/.*$') THEN true WHEN regexp_matches(path, '^(?:.*/)?[^/]*5\.html$') THEN false WHEN regexp_matches(path, '\.html$') THEN true WHEN regexp_matches(path, '^(.*/)?m\.[^/]*/.*$') THEN true ELSE false END) GROUP BY 1""",
+    **rule_tables.ORACLES,
 }
