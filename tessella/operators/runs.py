@@ -1,9 +1,15 @@
 """Maximal repeated runs of statements.
 
-Pairs of equal statements on one diagonal form islands; an island is a maximal
-common run of two blocks. For an anchor and a length L the partners whose island
-reaches L form a set; a set is kept at the lengths where it changes. All of it
-is joins, windows and aggregates: nothing loops over blocks.
+An island is a maximal common run of two blocks. For an anchor and a length L the
+partners whose island reaches L form a set; a set is kept at the lengths where
+it changes.
+
+No pairs of places are made. Places with one run of L statements are a class,
+found by hashes of L statements: first for lengths that double, then for all
+lengths from each of those that repeats up to the next. An island begins where
+the statements before differ, so the sets of a class follow from its counts by
+the statement before and after; only classes that make a set collect their
+places.
 """
 
 from __future__ import annotations
@@ -12,57 +18,56 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def islands(statements: DataFrame, least: int = 3, group: str = "group_id", max_fanout: int | None = None) -> DataFrame:
-    """(group, a_block, b_block, a_pos, b_pos, n): maximal common runs of ordered pairs of places.
+def place(block: Column, pos: Column) -> Column:
+    return F.struct(block.alias("block"), pos.alias("pos"))
 
-    statements: group, block_id, pos, hash. A hash that occurs once can be in no
-    pair and is dropped before the self-join. max_fanout leaves out hashes that
-    occur more often (see hot_hashes() for what that would drop); by default
-    none is.
-    """
-    s = statements.select(F.col(group).alias("g"), F.col("block_id").alias("block"), F.col("pos"), F.col("hash").alias("h")).where("h is not null")
-    counts = s.groupBy("g", "h").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= 2)
-    if max_fanout is not None:
-        counts = counts.where(F.col("c") <= max_fanout)
-    s = s.join(counts.select("g", "h"), ["g", "h"], "left_semi")
-    a, b = s.select("g", "h", F.col("block").alias("a_block"), F.col("pos").alias("a_pos")), s.select("g", "h", F.col("block").alias("b_block"), F.col("pos").alias("b_pos"))
-    pair = a.join(b, ["g", "h"]).where("a_block <> b_block or a_pos <> b_pos").withColumn("diagonal", F.col("b_pos") - F.col("a_pos"))
-    w = Window.partitionBy("g", "a_block", "b_block", "diagonal").orderBy("a_pos")
-    marked = pair.withColumn("island", F.col("a_pos") - F.row_number().over(w))
-    runs = marked.groupBy("g", "a_block", "b_block", "diagonal", "island").agg(F.min("a_pos").alias("a_pos"), F.min("b_pos").alias("b_pos"), F.count(F.lit(1)).cast("int").alias("n"))
-    return runs.where(F.col("n") >= least).select(F.col("g").alias(group), "a_block", "b_block", "a_pos", "b_pos", "n")
 
+def _segments(statements: DataFrame, least: int, group: str) -> DataFrame:
+    """g, block, seg, items: runs of statements at consecutive positions with (pos, h, size) in order; a block lies in one row or few."""
+    s = statements.select(F.col(group).alias("g"), F.col("block_id").alias("block"), F.col("pos"), F.col("hash").alias("h"), F.col("norm_len").alias("size")).where("h is not null")
+    s = s.withColumn("seg", F.col("pos") - F.row_number().over(Window.partitionBy("g", "block").orderBy("pos")))
+    return s.groupBy("g", "block", "seg").agg(F.array_sort(F.collect_list(F.struct("pos", "h", "size"))).alias("items")).where(F.size("items") >= least)
 
-def hot_hashes(statements: DataFrame, above: int, group: str = "group_id") -> DataFrame:
-    """Statements whose self-join fans out most: (group, hash, n)."""
-    return statements.groupBy(group, "hash").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > above)
 
-
-def place(block: Column, pos: Column) -> Column:
-    return F.struct(block.alias("block"), pos.alias("pos"))
+def _run_hashes(i: Column, n: Column) -> tuple[Column, Column]:
+    """Two hashes of the n statements from place i on."""
+    part = F.slice(F.transform("items", lambda x: x["h"]), i + 1, n)
+    return F.xxhash64(part).alias("k1"), F.xxhash64(F.lit(7), part).alias("k2")
 
 
 def maximal_runs(statements: DataFrame, least: int = 3, least_chars: int = 128, group: str = "group_id") -> DataFrame:
     """(group, length, participants): sets of places that repeat a run, sorted by (block, pos).
 
     A set that is a strict subset of another of the same length is dropped, and so
-    is one whose anchor's run has fewer than least_chars normalised characters.
-    statements also has norm_len.
+    is one whose run has fewer than least_chars normalised characters. statements
+    also has norm_len. Equal hashes mean equal statements, so their lengths agree.
     """
-    found = islands(statements, least, group)
-    longer = found.select(F.col(group).alias("g"), place(F.col("a_block"), F.col("a_pos")).alias("anchor"), place(F.col("b_block"), F.col("b_pos")).alias("partner"), F.explode(F.sequence(F.lit(least), F.col("n"))).alias("length"))
-    sets = longer.groupBy("g", "anchor", "length").agg(F.array_sort(F.array_union(F.collect_set("partner"), F.array(F.first("anchor")))).alias("participants"))
-    after = sets.select(F.col("g").alias("g2"), F.col("anchor").alias("anchor2"), (F.col("length") - 1).alias("length2"), F.size("participants").alias("size2"))
-    kept = sets.join(after, (F.col("g") == F.col("g2")) & (F.col("anchor") == F.col("anchor2")) & (F.col("length") == F.col("length2")), "left")
-    kept = kept.where(F.col("size2").isNull() | (F.col("size2") != F.size("participants"))).select("g", "length", "participants").distinct()
-    kept = kept.withColumn("set_id", F.sha2(F.to_json(F.struct("g", "length", "participants")), 256))
-    # Strict subsets: two sets of one length that share a place; the smaller one wholly inside goes.
-    member = kept.select("g", "length", "set_id", "participants", F.explode("participants").alias("p"))
-    first = kept.select("g", "length", "set_id", "participants", F.get("participants", F.lit(0)).alias("p"))
-    inside = first.alias("s").join(member.alias("t"), ["g", "length", "p"]).where(F.col("s.set_id") != F.col("t.set_id")).where(F.size("s.participants") < F.size("t.participants")).where(F.size(F.array_except("s.participants", "t.participants")) == 0).select(F.col("s.set_id").alias("set_id")).distinct()
-    kept = kept.join(inside, "set_id", "left_anti")
-    host = F.get("participants", F.lit(0))
-    sized = kept.withColumn("b", host["block"]).withColumn("p0", host["pos"])
-    chars = statements.select(F.col(group).alias("sg"), F.col("block_id").alias("sb"), F.col("pos").alias("sp"), "norm_len")
-    total = sized.join(chars, (F.col("g") == F.col("sg")) & (F.col("b") == F.col("sb")) & (F.col("sp") >= F.col("p0")) & (F.col("sp") < F.col("p0") + F.col("length"))).groupBy("set_id").agg(F.sum("norm_len").alias("chars")).where(F.col("chars") >= least_chars)
-    return kept.join(total, "set_id", "left_semi").select(F.col("g").alias(group), "length", "participants")
+    segments, key = _segments(statements, least, group), ["g", "length", "k1", "k2"]
+    total = F.size("items")
+    doubling = F.transform(F.sequence(F.lit(0), F.floor(F.log2(total / F.lit(least))).cast("int")), lambda j: (F.lit(least) * F.pow(F.lit(2.0), j)).cast("int"))
+    heads = F.flatten(F.transform(F.sequence(F.lit(0), total - least), lambda i: F.transform(F.filter(doubling, lambda n: i + n <= total), lambda n: F.struct(i.alias("i"), n.alias("length"), *_run_hashes(i, n)))))
+    heads = segments.select("g", "block", "seg", F.explode(heads).alias("r")).select("g", "block", "seg", "r.*")
+    again = heads.groupBy(*key).agg(F.count(F.lit(1)).alias("c")).where("c >= 2").select(*key)
+    repeated = heads.join(again, key, "left_semi").groupBy("g", "block", "seg").agg(F.collect_list(F.struct("i", "length")).alias("found"))
+
+    def row(i: Column, n: Column) -> Column:
+        at = lambda j: F.get(F.col("items"), j)["h"]
+        chars = F.aggregate(F.slice("items", i + 1, n), F.lit(0).cast("bigint"), lambda t, x: t + x["size"])
+        return F.struct(n.alias("length"), *_run_hashes(i, n), F.get(F.col("items"), i)["pos"].alias("pos"), at(i - 1).alias("before"), at(i + n).alias("after"), chars.alias("chars"))
+
+    every = F.flatten(F.transform("found", lambda f: F.transform(F.sequence(f["length"], F.least(2 * f["length"] - 1, F.size("items") - f["i"])), lambda n: row(f["i"], n))))
+    rows = segments.join(repeated, ["g", "block", "seg"]).select("g", "block", F.explode(every).alias("r")).select("g", "block", "r.*")
+    # Classes by the statement before each place: hot ones are counted map-side.
+    sides = rows.groupBy(*key, "before").agg(F.count(F.lit(1)).alias("c"), F.min("after").alias("lo"), F.max("after").alias("hi"), F.count_if(F.col("after").isNull()).alias("ends"), F.min("chars").alias("chars"))
+    classes = sides.groupBy(*key).agg(
+        F.sum("c").alias("n"), F.count(F.lit(1)).alias("n_before"), F.bool_or(F.col("before").isNull()).alias("starts"), F.bool_or(F.col("before").isNull() | (F.col("c") == 1)).alias("whole"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("ends").alias("ends"), F.min("chars").alias("chars")
+    )
+    # Not one that repeats only as part of a longer run to its left, or to its right.
+    kept = classes.where("n >= 2 and (n_before > 1 or starts) and (ends > 0 or lo <> hi)").where(F.col("chars") >= least_chars).select(*key, "whole")
+    members = rows.join(kept, key).groupBy(*key).agg(F.array_sort(F.collect_list(F.struct(place(F.col("block"), F.col("pos")).alias("p"), "before", "after"))).alias("m"), F.first("whole").alias("whole"))
+    # A place whose statement before is its own, or that begins a block, meets all others: the set is the class, and holds every other.
+    whole = members.where("whole").select("g", "length", F.transform("m", lambda x: x["p"]).alias("participants"))
+    each = members.where("not whole").select("g", "length", "m", F.explode("m").alias("a")).withColumn("others", F.filter("m", lambda x: x["before"] != F.col("a.before")))
+    longer = F.size(F.filter("others", lambda x: F.coalesce(x["after"] == F.col("a.after"), F.lit(False))))
+    each = each.where((F.size("others") > 0) & (longer != F.size("others"))).select("g", "length", F.array_sort(F.concat(F.array("a.p"), F.transform("others", lambda x: x["p"]))).alias("participants")).distinct()
+    return whole.unionByName(each).select(F.col("g").alias(group), "length", "participants")

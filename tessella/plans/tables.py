@@ -83,12 +83,6 @@ def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.where("trim(line) <> ''").select(F.lit("all").alias("group_id"), F.col("doc_id").alias("block_id"), F.col("pos"), T.hash_text(F.col("line")).alias("hash"), F.length("line").alias("norm_len"))
 
 
-def run_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Maximal common runs of at least three lines of two places."""
-    found = runs.islands(_lines(spark, sf_dir))
-    return found.where("a_block < b_block or (a_block = b_block and a_pos < b_pos)").select("a_block", "b_block", "a_pos", "b_pos", "n")
-
-
 def maximal_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Maximal repeated runs of lines with all places of each."""
     found = runs.maximal_runs(_lines(spark, sf_dir))
@@ -282,7 +276,7 @@ def path_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "dup_file": dup_file, "report_target": report_target_query, "first_reportable": first_reportable, "near_dup": near_dup, "near_dup_url": near_dup_url, "normalized_body": normalized_body, "name_collision": name_collision, "name_segments": name_segments,
-    "run_islands": run_islands, "maximal_runs": maximal_runs, "repeated_literal": repeated_literal, "return_shape": return_shape, "shape_hash": shape_hash_query, "constant_arg": constant_arg, "arg_never_used": arg_never_used, "arg_always_used": arg_always_used,
+    "maximal_runs": maximal_runs, "repeated_literal": repeated_literal, "return_shape": return_shape, "shape_hash": shape_hash_query, "constant_arg": constant_arg, "arg_never_used": arg_never_used, "arg_always_used": arg_always_used,
     "unused_export": unused_export, "dead_overload": dead_overload, "explicit_null_arg": explicit_null_arg, "name_collision_unlinked": name_collision_unlinked, "edges": edges, "heritage": overload_heritage, "policy_resolve": policy_resolve, "overrides": overrides,
     "dedupe": dedupe, "baseline_ratchet": baseline_ratchet, "make_baseline": make_baseline, "exit_code": exit_code, "summary": summary, "flat_report": flat_report, "suppression": suppression, "annotation": annotation, "incremental": incremental,
     "nearest_group": nearest_group, "path_filters": path_filters, **rule_tables.QUERIES,

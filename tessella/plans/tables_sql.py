@@ -35,7 +35,6 @@ SELECT conv_id, turn, sha256(trim(regexp_replace(z, '[\t\n\x0B\f\r \x{a0}\x{1680
     "name_segments": r"""WITH n AS (SELECT DISTINCT name FROM (SELECT event_type AS name FROM events UNION ALL SELECT replace(p_type, ' ', '_') FROM part)),
 p AS (SELECT DISTINCT name, lower(x) AS x FROM (SELECT name, unnest(string_split(regexp_replace(name, '([a-z])([A-Z])', '\1_\2', 'g'), '_')) AS x FROM n) WHERE x <> '')
 SELECT name, string_agg(x, ',' ORDER BY x) AS segments FROM p GROUP BY name""",
-    "run_islands": f"WITH {_LINES} SELECT ab AS a_block, bb AS b_block, ap AS a_pos, bp AS b_pos, n FROM runs WHERE ab < bb OR (ab = bb AND ap < bp)",
     "maximal_runs": f"""WITH {_LINES},
 sets AS (SELECT ab, ap, len, list_sort(list_distinct(list_append(list(bb::VARCHAR || ':' || bp), ab::VARCHAR || ':' || ap))) AS q, list_sort(list_append(list({{'b': bb, 'p': bp}}), {{'b': ab, 'p': ap}})) AS o
   FROM (SELECT *, unnest(range(3, n + 1)) AS len FROM runs) GROUP BY ab, ap, len),
