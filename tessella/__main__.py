@@ -44,6 +44,8 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--fail-on", choices=("none", "info", "warning", "error"))
     p.add_argument("--concurrency", type=int, help="local threads of the session")
     p.add_argument("--no-baseline", action="store_true")
+    p.add_argument("--no-cache", action="store_true", help="extract the facts of every file anew")
+    p.add_argument("--version", action="version", version=engine.VERSION)
     p.add_argument("--root", default=os.getcwd())
     return p
 
@@ -55,7 +57,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         a = parser().parse_args(args)
         options = engine.ScanOptions(
             paths=a.paths or ["."], mode="audit" if command == "audit" else "scan", strict=a.strict, rules=[a.filter] if a.filter else None, ignore=many(a.ignore),
-            rule_policy=[rule_pair(r) for r in a.rule], show_severities=many(a.severity) or None, fail_on=a.fail_on or "info",
+            rule_policy=[rule_pair(r) for r in a.rule], show_severities=many(a.severity) or None, fail_on=a.fail_on or "info", cache=not a.no_cache,
         ).check()
         engine.read_config(a.root, a.config)
     except SystemExit as e:
@@ -68,6 +70,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     if command == "scan" and not a.no_baseline and os.path.exists(kept):
         options = engine.replace(options, baseline=engine.read_baseline(spark, kept))
     result = engine.execute(spark, root, options, a.config)
+    for w in result.warnings:
+        print(w, file=sys.stderr)
     if command == "baseline":
         n = engine.write_baseline(result, kept, root)
         print(f"{n} groups in {BASELINE_FILE}")
@@ -87,6 +91,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         print(sinks.grouped_text(shown))
         for r in sinks.summary(shown).toLocalIterator():
             print(f"{r['n']:6} {r['rule_id']}")
+    result.close()
     return code
 
 

@@ -14,8 +14,12 @@ from tessella.extract.facts import fact_tables, raw_facts
 from tessella.functions.text import relative_path
 from tessella.operators import annotate, policy, rules_node
 from tessella.operators.catalogue import all_rules, rules_table
-from tessella.sources.files import files_table, merged_options, packages, place, project_configs, read_sources
+from tessella.sources.files import files_table, merged_options, packages, place, project_configs, read_sources, scanned_paths
+from tessella.streaming import incremental
 
+VERSION = "0.2"
+#: Below the root: the snapshots of facts that make scans of unchanged files cheap.
+CACHE_FOLDER = ".tessella-cache"
 CONFIG_NAMES = ("tessella.config.json", ".tessellarc.json")
 
 
@@ -56,13 +60,25 @@ class ScanOptions:
 
 @dataclass
 class ScanResult:
-    """diagnostics are raw; visible ones have overrides, baseline and the severity filter applied."""
+    """diagnostics are raw; visible ones have overrides, baseline and the severity filter applied.
+
+    warnings are for people. read is the number of files whose facts were extracted
+    anew. close() frees the tables that the scan cached, when its rows are no longer
+    needed.
+    """
 
     diagnostics: DataFrame
     visible: DataFrame
     effective: DataFrame
     file_count: int
     exit_code: int
+    warnings: list[str] = field(default_factory=list)
+    read: int | None = None
+    held: list[DataFrame] = field(default_factory=list)
+
+    def close(self) -> None:
+        for df in self.held:
+            df.unpersist()
 
 
 def _pairs(p: list | dict) -> list[tuple[str, str]]:
@@ -170,20 +186,39 @@ def fresh(df: DataFrame) -> DataFrame:
     return df.cache()
 
 
-def scan_sources(spark: SparkSession, sources: DataFrame, options: ScanOptions, root: str = "/", scanned: DataFrame | None = None, extra: dict[str, DataFrame] | None = None) -> ScanResult:
+def scan_sources(spark: SparkSession, sources: DataFrame, options: ScanOptions, root: str = "/", scanned: DataFrame | None = None, extra: dict[str, DataFrame] | None = None, cache: str | None = None) -> ScanResult:
     """Runs the active rules on a table of sources (file, source; optionally group_id and package_root).
 
+    scanned (file) says which files may be reported, the others are context. cache
+    is a folder of fact snapshots: files that are there as they are now are not
+    extracted again.
+
     extra holds fact tables from outside, such as typed expr_facts: they are added
     to the extracted rows, or replace call_sites and overloads.
     """
     severities = active_rules(spark, options.check())
     files = fresh(files_table(sources, scanned))
-    raw = fresh(raw_facts(files, needed_tables(list(severities))))
+    needs, read = needed_tables(list(severities)), None
+    if cache is None:
+        raw = fresh(raw_facts(files, needs))
+    else:
+        raw, read = incremental.refresh(spark, files, cache, incremental.cache_key(VERSION, {}, {"needs": needs}), needs)
+        raw = fresh(raw)
     facts = fact_tables(raw, files)
     for name, table in (extra or {}).items():
         facts[name] = facts[name].unionByName(table) if name == "expr_facts" and name in facts else table
     found = finish(run_rules(facts, severities, options.group_options), facts)
-    return settle(found, options, root, files.where("reportable").count())
+    result = settle(found, options, root, files.where("reportable").count())
+    return replace(result, warnings=loose_groups(severities, options.group_options), read=read, held=[files, raw])
+
+
+def loose_groups(severities: dict[str, str], group_options: DataFrame | None) -> list[str]:
+    """A warning for every group in which active rules are silent because null checks are off."""
+    rules = [r for r in severities if all_rules()[r].strict_null]
+    if not rules or group_options is None:
+        return []
+    loose = group_options.where(~F.coalesce("strict_null_checks", F.lit(True))).select("group_id").orderBy("group_id")
+    return [f"strictNullChecks is off in {r['group_id'] or 'the default group'}: {len(rules)} rules report nothing there" for r in loose.toLocalIterator()]
 
 
 def execute(spark: SparkSession, root: str, options: ScanOptions | None = None, config_path: str | None = None, extra: dict[str, DataFrame] | None = None) -> ScanResult:
@@ -191,6 +226,9 @@ def execute(spark: SparkSession, root: str, options: ScanOptions | None = None,
 
     Files are grouped by the nearest compiler configuration above them, and its
     null-check options apply to the group unless options.group_options is given.
+    options.paths and the ignores say which files are reported; every other source
+    file below root is context for the rules that compare files. With
+    options.cache, facts are kept in CACHE_FOLDER.
     """
     options = with_config(options or ScanOptions(), read_config(root, config_path)).check()
     lines: list[str] = []
@@ -198,10 +236,13 @@ def execute(spark: SparkSession, root: str, options: ScanOptions | None = None,
         with open(os.path.join(root, ".gitignore"), encoding="utf-8") as f:
             lines = f.read().splitlines()
     configs = fresh(project_configs(spark, root))
-    sources = place(read_sources(spark, root, options.paths, options.ignore, lines), configs, packages(spark, root))
+    sources = place(read_sources(spark, root), configs, packages(spark, root))
+    scanned = scanned_paths(spark, root, options.paths, options.ignore, lines)
     if options.group_options is None and not configs.isEmpty():
         options = replace(options, group_options=merged_options(configs))
-    return scan_sources(spark, sources, options, root, extra=extra)
+    result = scan_sources(spark, sources, options, root, scanned, extra, f"{root.rstrip('/')}/{CACHE_FOLDER}" if options.cache else None)
+    result.held.append(configs)
+    return result
 
 
 def read_baseline(spark: SparkSession, path: str) -> DataFrame:

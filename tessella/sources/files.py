@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+import posixpath
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,24 +25,45 @@ def analysable(path: Column) -> Column:
     return ~path.rlike(r"(^|/)node_modules/|\.d\.[cm]?ts$")
 
 
-def read_sources(spark: SparkSession, root: str, paths: list[str] | None = None, ignore: list[str] | None = None, gitignore: list[str] | None = None, partitions: int | None = None) -> DataFrame:
-    """file, source, modified_ms, size and script_kind of every source file below root that no rule leaves out.
+SOURCES = "file string, source string, modified_ms bigint, size bigint, script_kind string"
 
-    paths: folders and globs relative to root ("." by default), or files. The
-    path filters come before the content is read. gitignore holds the root
-    ignore file's lines; it counts for files below root only.
-    """
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{" + ",".join(EXTENSIONS) + "}").load(root)
-    file = F.regexp_replace("path", "^file:", "")
+
+def _listed(spark: SparkSession, root: str, name: str) -> DataFrame:
+    """(path, file, rel) of the files below root with a name that fits, without their content: the source prunes that column and opens no file."""
     base = root.rstrip("/") + "/"
-    rel = F.when(file.startswith(base), F.substring(file, len(base) + 1, 1 << 30)).otherwise(file)
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", name).load(root).select("path")
+    file = F.regexp_replace("path", "^file:", "")
+    return raw.select("path", file.alias("file"), F.when(file.startswith(base), F.substring(file, len(base) + 1, 1 << 30)).otherwise(file).alias("rel"))
+
+
+def scanned_paths(spark: SparkSession, root: str, paths: list[str] | None = None, ignore: list[str] | None = None, gitignore: list[str] | None = None) -> DataFrame:
+    """(file) of every source file below root that is to be reported on.
+
+    paths: folders and globs relative to root ("." by default), or files. gitignore
+    holds the root ignore file's lines; it counts for files below root only.
+    """
+    listed = _listed(spark, root, "*.{" + ",".join(EXTENSIONS) + "}")
+    rel, file, base = F.col("rel"), F.col("file"), root.rstrip("/") + "/"
     wanted = None
     for p in paths or ["."]:
         p = p.strip().removeprefix("./").rstrip("/")
-        hit = F.lit(True) if p in ("", ".") else rel.rlike(glob_regex("/" + p)) | (file == p) | file.startswith(p + "/")
+        hit = F.lit(True) if p in ("", ".") else rel.rlike(glob_regex("/" + p)) | (file == p) | file.startswith(p + "/") | rel.startswith(p + "/") | (rel == p)
         wanted = hit if wanted is None else wanted | hit
-    kept = raw.where(wanted & ~built_in_exclusion(rel) & ~ignored(rel, ignore or []) & ~(ignored(rel, gitignore or []) & file.startswith(base)))
-    return kept.select(file.alias("file"), F.decode("content", "utf-8").alias("source"), F.unix_millis("modificationTime").alias("modified_ms"), F.col("length").alias("size"), script_kind(F.col("path")).alias("script_kind"))
+    return listed.where(wanted & ~built_in_exclusion(rel) & ~ignored(rel, ignore or []) & ~(ignored(rel, gitignore or []) & file.startswith(base))).select("file")
+
+
+def read_sources(spark: SparkSession, root: str) -> DataFrame:
+    """SOURCES of every source file below root, but for dependencies, build output and generated code.
+
+    Paths are listed and filtered first, so that no body of a file that is left out
+    is opened. The list of paths is on the driver, as any file index of Spark is.
+    """
+    kept = [r["path"] for r in _listed(spark, root, "*.{" + ",".join(EXTENSIONS) + "}").where(~built_in_exclusion(F.col("rel"))).select("path").toLocalIterator()]
+    if not kept:
+        return spark.createDataFrame([], SOURCES)
+    escaped = ["".join("\\" + c if c in "*?[]{}\\" else c for c in p) for p in kept]
+    raw = spark.read.format("binaryFile").load(escaped)
+    return raw.select(F.regexp_replace("path", "^file:", "").alias("file"), F.decode("content", "utf-8").alias("source"), F.unix_millis("modificationTime").alias("modified_ms"), F.col("length").alias("size"), script_kind(F.col("path")).alias("script_kind"))
 
 
 def ancestors(path: Column) -> Column:
@@ -78,41 +103,61 @@ def files_table(sources: DataFrame, scanned: DataFrame | None = None) -> DataFra
 
 
 def _named(spark: SparkSession, root: str, name: str) -> DataFrame:
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", name).load(root)
-    file = F.regexp_replace("path", "^file:", "")
-    return raw.withColumn("folder", F.regexp_replace(file, "/[^/]*$", "")).where(~F.concat("folder", F.lit("/")).rlike(r"/(node_modules|dist|\.git)/"))
+    """(folder, file) of the files below root with a name that fits, outside of dependencies and build output."""
+    folder = F.regexp_replace("file", "/[^/]*$", "")
+    return _listed(spark, root, name).select("path", "file", folder.alias("folder")).where(~F.concat("folder", F.lit("/")).rlike(r"/(node_modules|dist|\.git)/"))
 
 
 _TARGETS = ("target", "module", "moduleResolution", "jsx", "strict", "paths", "baseUrl", "lib", "types", "esModuleInterop")
 CONFIGS = "folder string, options_key string, strict_null_checks boolean, no_unchecked_indexed_access boolean"
 
 
+def parse_config(text: str) -> dict:
+    """A compiler configuration with comments and trailing commas allowed; {} if it can't be read."""
+    bare = re.sub(r'("(?:[^"\\]|\\.)*")|//[^\n]*|/\*.*?\*/', lambda m: m[1] or "", text, flags=re.S)
+    try:
+        found = json.loads(re.sub(r",(\s*[}\]])", r"\1", bare))
+    except ValueError:
+        return {}
+    return found if isinstance(found, dict) else {}
+
+
+def extended(file: str, configs: dict[str, dict], seen: frozenset = frozenset()) -> dict:
+    """The compiler options of a configuration on top of those of the ones it extends (relative paths; of several the last wins)."""
+    own = configs.get(file, {})
+    out: dict = {}
+    above = own.get("extends", [])
+    for name in above if isinstance(above, list) else [above]:
+        if isinstance(name, str) and name.startswith((".", "/")):
+            path = posixpath.normpath(posixpath.join(posixpath.dirname(file), name))
+            hit = next((p for p in (path, path + ".json", path + "/tsconfig.json") if p in configs), None)
+            if hit is not None and hit not in seen:
+                out |= extended(hit, configs, seen | {file})
+    options = own.get("compilerOptions", {})
+    return out | (options if isinstance(options, dict) else {})
+
+
 def project_configs(spark: SparkSession, root: str, name: str = "tsconfig.json") -> DataFrame:
     """CONFIGS of every compiler configuration below root; configurations with equal keys make one group.
 
     Comments and trailing commas are allowed; one that can't be read counts as
-    empty. Options that another file is extended by are not followed.
+    empty. Relative `extends` are followed through the JSON files named like
+    configurations; packages are not. There is one configuration a project, so
+    they are settled on the driver.
     """
-
-    def parse(batches):
-        import json
-        import re
-
-        import pandas as pd
-
-        for pdf in batches:
-            rows = []
-            for folder, content in zip(pdf["folder"], pdf["content"], strict=True):
-                text = re.sub(r'("(?:[^"\\]|\\.)*")|//[^\n]*|/\*.*?\*/', lambda m: m[1] or "", bytes(content).decode("utf-8-sig", "replace"), flags=re.S)
-                try:
-                    o = json.loads(re.sub(r",(\s*[}\]])", r"\1", text)).get("compilerOptions", {})
-                except (ValueError, AttributeError):
-                    o = {}
-                strict = bool(o.get("strict", False))
-                rows.append((folder, json.dumps({k: o.get(k) for k in _TARGETS}, sort_keys=True), bool(o.get("strictNullChecks", strict)), bool(o.get("noUncheckedIndexedAccess", False))))
-            yield pd.DataFrame(rows, columns=["folder", "options_key", "strict_null_checks", "no_unchecked_indexed_access"])
-
-    return _named(spark, root, name).select("folder", "content").mapInPandas(parse, CONFIGS)
+    listed = _named(spark, root, "tsconfig*.json")
+    paths = [r["path"] for r in listed.toLocalIterator()]
+    if not paths:
+        return spark.createDataFrame([], CONFIGS)
+    read = spark.read.format("binaryFile").load(paths).select(F.regexp_replace("path", "^file:", "").alias("file"), "content")
+    configs = {r["file"]: parse_config(bytes(r["content"]).decode("utf-8-sig", "replace")) for r in read.toLocalIterator()}
+    rows = []
+    for file in sorted(configs):
+        if posixpath.basename(file) == name:
+            o = extended(file, configs)
+            strict = bool(o.get("strict", False))
+            rows.append((posixpath.dirname(file), json.dumps({k: o.get(k) for k in _TARGETS}, sort_keys=True), bool(o.get("strictNullChecks", strict)), bool(o.get("noUncheckedIndexedAccess", False))))
+    return spark.createDataFrame(rows, CONFIGS)
 
 
 def place(sources: DataFrame, configs: DataFrame, packages: DataFrame) -> DataFrame:

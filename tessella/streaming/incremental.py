@@ -59,6 +59,8 @@ def refresh(spark: SparkSession, files: DataFrame, path: str, key: str, needs: l
     to = f"{path}/{key}-{(versions[-1] if versions else 0) + 1}"
     new.write.mode("overwrite").parquet(f"{to}/facts")
     fingerprints(files).write.mode("overwrite").parquet(f"{to}/prints")
+    for v in versions[:-1]:  # the one before stays, for readers that have it open
+        fs.delete(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/{key}-{v}"), True)
     return spark.read.parquet(f"{to}/facts"), n
 
 
