@@ -26,7 +26,7 @@ _RAW = {
     "literal_props": "line int, key string, value string, is_as_const boolean, scope_id int",
     "return_shapes": "fn_line int, fn_name string, props array<string>",
     "ident_counts": "ident string, n int",
-    "expr_facts": "node_id string, parent_id string, kind string, op string, start int, `end` int, line int, col int, text string, operand_text string, flags map<string,boolean>, attrs map<string,string>",
+    "expr_facts": "node_id string, parent_id string, kind string, op string, start int, `end` int, line int, col int, text string, operand_text string, type_parts " + schema._PARTS + ", flags map<string,boolean>, attrs map<string,string>",
 }
 
 

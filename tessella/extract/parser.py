@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 from typing import Any
 
+from tessella.extract.local_types import LocalTypes
 from tessella.extract.lexer import IDENT, NUMBER, PUNCT, REGEX, STRING, TEMPLATE, Comment, Token, token_text, tokenize
 
 _OPEN, _CLOSE = {"(": ")", "[": "]", "{": "}"}, {")", "]", "}"}
@@ -31,6 +32,7 @@ class Facts:
         self.seq = 0
         self.bodies: dict[int, int] = {}  # opening brace of a function body -> index into functions
         self.scopes: list[tuple[int, int]] = []  # token ranges of function bodies
+        self.typed: list[tuple] = []  # parameters: name, token range of the type, optional, with a default, body
 
     # -- structure --------------------------------------------------------
 
@@ -237,6 +239,8 @@ class Facts:
         })
         self.seq += 1
         for p in params:
+            for word in re.findall(r"[\w$]+", p["name"]):
+                self.typed.append((word, p["_type"] if word == p["name"] and not p["_rest"] else None, p["optional"], p["has_default"], lo, hi))
             if p["_type"] and self.is_(p["_type"][0], "{") and self.match.get(p["_type"][0], -1) == p["_type"][1] - 1:
                 o = self.t[p["_type"][0]]
                 self.out["inline_param_types"].append({"line": o.line, "col": o.col, "members": self.members(p["_type"][0]), "type_text": self.text(*p["_type"]), "seq": self.seq})
@@ -359,6 +363,7 @@ class Facts:
                     if j > i + 1 and j < len(self.t) and not self.is_(j, "(", ")", ",", ">") and self.is_(i + 1, "{"):
                         self.expr("TypeAssertion", i, j + 1, flags={"target_has_literal": True}, attrs={"target_kind": "object"})
         self.literals()
+        LocalTypes(self).run()
         counts: dict[str, int] = {}
         for t in self.t:
             if t.kind == IDENT and t.text not in _KEYWORDS:

@@ -25,6 +25,19 @@ CASES = {
     "no-dynamic-import": "const m = await import('./x'); // @expect no-dynamic-import\nimport y from './y';\n",
 }
 
+#: Types that a file tells by itself.
+TYPED = {
+    "no-non-null-assertion": "function f(a: string | null, b?: number, c: string) {\n  use(a!.length); // @expect no-non-null-assertion\n  use(c!.length);\n  if (b) { use(b!); }\n}\nfunction g(a: Other | null) { use(a!); }\n",
+    "no-nullish-coalescing": "function f(a: string, b: string | undefined, c: Other, d: any) {\n  const x = a ?? 'x'; // @expect no-nullish-coalescing\n  const y = b ?? 'y';\n  const z = c ?? 'z';\n  return d ?? x;\n}\nconst size = 5;\nuse(size ?? 6); // @expect no-nullish-coalescing\nfunction g(size) { return size ?? 6; }\n",
+    "no-optional-property-access": "interface Box { v: number }\nfunction f(a: Box, b: Box | null, c: string[]) {\n  use(a?.v); // @expect no-optional-property-access\n  use(b?.v);\n  use(c?.length); // @expect no-optional-property-access\n}\n",
+    "no-optional-element-access": "function f(a: number[], b?: number[]) {\n  use(a?.[0]); // @expect no-optional-element-access\n  use(b?.[0]);\n}\n",
+    "no-useless-await": "async function f(a: number, b: Promise<number>, c: unknown) {\n  await a; // @expect no-useless-await\n  await b;\n  await c;\n  await a.then();\n}\n",
+    "no-double-negation-coercion": "function f(a: boolean, b: string) {\n  const x = !!a; // @expect no-double-negation-coercion\n  return [x, !!b];\n}\n",
+    "no-logical-or-fallback": "function f(a: number, b: string) {\n  const x = a || 10; // @expect no-logical-or-fallback\n  const y = a || 0;\n  return b || 'none';\n}\n",
+    "no-redundant-existence-guard": "class Box { v = 1 }\nfunction f(a: Box, b: Box | undefined) {\n  use(a && a.v); // @expect no-redundant-existence-guard\n  use(b && b.v);\n}\n",
+    "no-ts-expect-error": "// @ts-expect-error why // @expect no-ts-expect-error\nf();\n",
+}
+
 CROSS = {
     "duplicate-file": {"/p/a.ts": "export const first = go( 1 );\n", "/p/b.ts": "export  const first = go( 1 ); // @expect duplicate-file\n".replace(" // @expect duplicate-file", ""), "/p/c.ts": "export const other = go(2);\n"},
     "duplicate-type-declaration": {"/p/a.ts": "export interface Point { x: number; y: number }\n", "/p/b.ts": "type Place = { y: number; x: number }; // @expect duplicate-type-declaration\ntype Third = { y?: number; x: number };\n"},
@@ -51,6 +64,30 @@ def test_node_rules(spark, rule):
     assert got == expected(files) and got
 
 
+@pytest.mark.parametrize("rule", TYPED)
+def test_rules_on_local_types(spark, rule):
+    files = {"/p/case.ts": TYPED[rule]}
+    got = {(r["file"], r["line"], r["rule_id"]) for r in scan(spark, files, rule).diagnostics.collect()}
+    assert got == expected(files) and got
+
+
+def test_heritage_over_diamonds(spark):
+    from tessella.operators.rules_node import heritage
+
+    edges = [(f"n{i}", f"{side}{i}") for i in range(18) for side in "lr"] + [(f"{side}{i}", f"n{i + 1}") for i in range(18) for side in "lr"]
+    got = heritage(spark.createDataFrame(edges, "child string, parent string"))
+    assert got.where("child = 'n0'").count() == 18 * 3  # 2 ** 18 paths lead to the last
+
+
+def test_strict_gate_holds_for_joins(spark):
+    from tessella.plans.rule_tables import related_facts
+
+    facts = {"expr_facts": related_facts(spark, "/root/testdata/sf0.001")["expr_facts"]}
+    options = lambda on: spark.createDataFrame([("g", on, False)], "group_id string, strict_null_checks boolean, no_unchecked_indexed_access boolean")
+    run = all_rules()["return-type-widens-via-destructure"].run
+    assert run(facts | {"group_options": options(False)}).count() == 0 < run(facts | {"group_options": options(True)}).count() == run(facts).count()
+
+
 @pytest.mark.parametrize("rule", CROSS)
 def test_cross_file_rules(spark, rule):
     files = CROSS[rule]
