@@ -83,9 +83,17 @@ def merged_headers(stored: Column, revisit: Column) -> Column:
 
 
 def with_payloads(resolved: DataFrame, records: DataFrame) -> DataFrame:
-    """resolve_revisits() rows with the merged headers and the payload of their base."""
-    stored = records.where((F.col("record_type") == "response") & (F.col("status") == 200)).select(F.col("record_id").cast("bigint").alias("b_id"), F.col("headers").alias("b_headers"), F.col("payload").alias("b_payload")).dropDuplicates(["b_id"])
-    own = records.where(F.col("record_type") == "revisit").select(F.col("record_id").cast("bigint").alias("r_id"), F.col("ts").alias("r_ts"), F.col("headers").alias("r_headers")).dropDuplicates(["r_id", "r_ts"])
+    """resolve_revisits() rows with the merged headers and the payload of their base.
+
+    Of response rows that share a record_id the one with the least (payload,
+    headers) counts, nulls first; of revisit rows that share record_id and ts the
+    one with the least headers.
+    """
+    entries = F.array_sort(F.map_entries(F.col("headers")))
+    headers_of = lambda c: F.map_from_entries(F.filter(c, lambda e: e["key"].isNotNull()))
+    stored = records.where((F.col("record_type") == "response") & (F.col("status") == 200) & F.col("record_id").isNotNull()).groupBy(F.col("record_id").cast("bigint").alias("b_id")).agg(F.min(F.struct(F.col("payload").alias("p"), entries.alias("h"))).alias("least"))
+    stored = stored.select("b_id", headers_of(F.col("least.h")).alias("b_headers"), F.col("least.p").alias("b_payload"))
+    own = records.where(F.col("record_type") == "revisit").groupBy(F.col("record_id").cast("bigint").alias("r_id"), F.col("ts").alias("r_ts")).agg(F.min(F.struct(entries.alias("h"))).alias("least")).select("r_id", "r_ts", headers_of(F.col("least.h")).alias("r_headers"))
     wanted = F.when(F.col("outcome") == "resolved", F.col("base_record_id"))
     joined = resolved.join(own, F.col("record_id").eqNullSafe(F.col("r_id")) & F.col("ts").eqNullSafe(F.col("r_ts")), "left").join(stored, wanted == F.col("b_id"), "left")
     headers = F.when(F.col("outcome") == "resolved", merged_headers(F.col("b_headers"), F.col("r_headers")))

@@ -89,3 +89,12 @@ def test_very_long_url_and_payload(spark):
     df = spark.createDataFrame([(1, "response", long, 1, 200, '"a"', None, None, "y" * 1_000_000), (2, "revisit", long + "/", 2, 304, '"a"', None, None, None)], SCHEMA)
     r = warc.with_payloads(warc.resolve_revisits(df), df).first()
     assert r["outcome"] == "resolved" and len(r["payload"]) == 1_000_000 and r["headers"] == ""
+
+
+def test_of_responses_with_one_id_the_least_payload_counts(spark):
+    schema = "record_id bigint, record_type string, target_uri string, ts bigint, status int, etag string, last_modified string, headers map<string,string>, payload string"
+    rows = [(1, "response", "http://a/x", 1, 200, "t", None, {"A": "1"}, p) for p in ("z", "b", "m")] + [(1, "response", "http://a/x", 1, 200, "t", None, {"A": "0"}, "b")] + [(2, "revisit", "http://a/x", 5, 304, "t", None, h, None) for h in ({"Date": "2"}, {"Date": "1"})]
+    for n in (1, 5):
+        records = spark.createDataFrame(rows, schema).repartition(n)
+        got = warc.with_payloads(warc.resolve_revisits(records), records).collect()
+        assert [(r["payload"], r["headers"]) for r in got] == [("b", "a: 0\ndate: 1")] * 2
