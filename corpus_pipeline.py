@@ -13,27 +13,47 @@ from tessella.llm.storage import write_table
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents in no language that the bitmask filters know."""
+    """Drops documents in no language that the bitmask filters know.
+
+    So rows with null or empty text go. Labels may be null; repeated rows go or
+    stay together; an empty table gives an empty one, here and in every stage.
+    """
     return langid.keep_identified(docs, langid.train(docs))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes repeated lines out, and documents of which nothing else remains."""
+    """Takes repeated lines out, and documents of which nothing else remains.
+
+    The first occurrence by (doc_id, text hash, position) stays, null ids first.
+    Fully repeated rows count as one document and stay; null text stays.
+    """
     return linededup.dedup_lines(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near-duplicates."""
+    """Keeps one document of each group of near-duplicates.
+
+    That is the one with the least (doc_id, text hash), null ids last; of fully
+    repeated rows one. Texts without words are alone and stay.
+    """
     return neardup.keep_representatives(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold a benchmark item within its error budget."""
+    """Drops documents that hold a benchmark item within its error budget.
+
+    Null and empty texts hold none, and null items are in none; repeated rows of
+    either table play no part.
+    """
     return decontam.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeats documents by a Poisson draw toward their source's target weight, in random order; adds copy and shuffle_key."""
+    """Repeats documents by a Poisson draw toward their source's target weight, in random order; adds copy and shuffle_key.
+
+    A null source is a source of its own, null text has no mass; fully repeated
+    rows are drawn alike.
+    """
     return mixing.mix(docs)
 
 
