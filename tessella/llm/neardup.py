@@ -5,7 +5,8 @@
 2. Distinct fingerprints are spread over shards; each shard builds a small-world
    graph over Hamming distance and unites its own texts into local classes along
    verified edges of the graph. Every fingerprint is sent to every shard and
-   searched there with expanding beams; candidates are verified on the spot by
+   searched there with expanding beams, which enter at the codes whose MinHashes
+   agree in four places of 32 fours; candidates are verified on the spot by
    the MinHash estimate of the Jaccard similarity, and one verified link to each
    local class that has any is returned. A beam grows while it is full and finds
    new classes, so a group of many copies costs each member a few steps and not
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 
 from tessella.llm import textvec as tv
 from tessella.llm.components import components, roots
-from tessella.llm.smallworld import BYTES, SmallWorld, hamming
+from tessella.llm.smallworld import BYTES, SmallWorld, hamming, words
 from tessella.llm.storage import BROADCAST_BYTES, join_hot, join_measured, write_table
 
 PLACES = 128
@@ -36,8 +37,10 @@ MARK = PLACES // 2
 #: Bits of 256 by which near-duplicates may differ: 95 % of pairs at the threshold of 0.5 lie within (68.5 bits on average, 7.1 standard deviation).
 RADIUS = 80
 HORIZON = 96
-#: (beam, width) of the searches tried in turn before the exact one.
-LADDER = ((16, 4), (32, 8), (64, 16), (128, 32), (256, 64), (512, 128))
+#: (beam, width, most) of the searches tried in turn before the exact one.
+LADDER = ((16, 0, 32), (32, 4, 64), (64, 16, 128), (128, 32, 256), (256, 64, 512), (512, 128, 1024))
+#: Places that a bucket's texts agree in; the buckets of each text.
+AGREE, BANDS = 4, PLACES // 4
 #: Planted codes of the audit have up to so many partners.
 FEW = 8
 FINGERPRINTS = "code binary, sketch binary"
@@ -156,6 +159,61 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return rows.select("doc_id", "text_hash", F.monotonically_increasing_id().alias("row"), F.col("f.code").alias("code"), F.col("f.sketch").alias("sketch"), F.when(F.col("f.code").isNotNull(), F.xxhash64("f.code", "f.sketch")).alias("node"))
 
 
+def _nibbles(marks: np.ndarray) -> np.ndarray:
+    """(n, PLACES) values of sketches, 0 where a class is empty."""
+    return np.stack([marks >> 4, marks & 15], axis=2).reshape(len(marks), PLACES)
+
+
+def buckets(marks: np.ndarray) -> np.ndarray:
+    """(n, BANDS) numbers under 65,536: the values of AGREE places each, every place used once.
+
+    An empty place takes the value of the next one that isn't, turned by how far
+    that is, so that short texts too agree in a place as often as they are similar.
+    """
+    v = _nibbles(marks)
+    at = np.where(v > 0, np.arange(PLACES, dtype=np.int16), np.int16(2 * PLACES))
+    follows = np.minimum.accumulate(at[:, ::-1], axis=1)[:, ::-1]
+    follows = np.where(follows < PLACES, follows, follows[:, :1] + PLACES)
+    away = follows - np.arange(PLACES, dtype=np.int16)
+    full = (np.take_along_axis(v, follows % PLACES, axis=1) + 7 * away) % 15
+    four = full[:, np.random.default_rng(6).permutation(PLACES)].reshape(len(v), BANDS, AGREE).astype(np.int32)
+    return four[:, :, 0] << 12 | four[:, :, 1] << 8 | four[:, :, 2] << 4 | four[:, :, 3]
+
+
+class Buckets:
+    """The codes of texts by the buckets of their sketches."""
+
+    def __init__(self, marks: np.ndarray, point: np.ndarray):
+        n = len(marks)
+        self.first, self.points = np.zeros((BANDS, 65_537), np.int32), np.empty((BANDS, n), np.int32)
+        keys = np.concatenate([np.zeros((0, BANDS), np.uint16), *(buckets(marks[lo : lo + 65_536]).astype(np.uint16) for lo in range(0, n, 65_536))])
+        for b in range(BANDS):
+            k = np.ascontiguousarray(keys[:, b])
+            self.points[b] = point[np.argsort(k, kind="stable")]
+            self.first[b, 1:] = np.cumsum(np.bincount(k, minlength=65_536))
+
+    def entries(self, marks: np.ndarray, qw: np.ndarray, words: np.ndarray, most: int, horizon: int, wide: int) -> np.ndarray:
+        """(queries, up to wide): the nearest codes within the horizon of up to `most` texts a bucket, evenly chosen of more; -1 where there are fewer."""
+        keys, band = buckets(marks), np.arange(BANDS)
+        lo = self.first[band, keys].ravel()
+        have = self.first[band, keys + 1].ravel() - lo
+        size = np.minimum(have, most)
+        end = np.cumsum(size)
+        cell = np.repeat(np.arange(len(size)), size)
+        step = np.arange(len(cell)) - (end - size)[cell]
+        step = np.where(have[cell] > most, step * have[cell] // most, step)
+        q, at = cell // BANDS, self.points[cell % BANDS, lo[cell] + step]
+        dist = np.concatenate([np.zeros(0, np.int32), *(hamming(qw[q[i : i + 65_536]], words[at[i : i + 65_536]]) for i in range(0, len(q), 65_536))])
+        near = np.flatnonzero(dist <= horizon)
+        key = np.unique((q[near].astype(np.int64) << 41) | (dist[near].astype(np.int64) << 32) | at[near])
+        q, at = key >> 41, (key & 0xFFFFFFFF).astype(np.int32)
+        rank = np.arange(len(q)) - np.searchsorted(q, q, "left")
+        keep = rank < wide
+        out = np.full((len(marks), int(rank[keep].max(initial=-1)) + 1), -1, np.int32)
+        out[q[keep], rank[keep]] = at[keep]
+        return out
+
+
 class Shard:
     """Texts by (node, code, sketch): a graph over the distinct codes, and local classes of texts that verified edges connect."""
 
@@ -166,6 +224,7 @@ class Shard:
         self.nodes, self.marks, self.point = nodes[order], marks[order], where[order]
         self.first = np.searchsorted(self.point, np.arange(len(points) + 1))
         self.graph = SmallWorld(points.view(np.uint8).reshape(-1, BYTES))
+        self.buckets = Buckets(self.marks, self.point)
         by = np.argsort(self.nodes, kind="stable")
         self._sorted, self._by = self.nodes[by], by
         a, b = self._edges()
@@ -265,9 +324,12 @@ class Shard:
         mine = np.flatnonzero(own >= 0)
         return mine * len(self.label) + self.label[own[mine]]
 
-    def links(self, codes: np.ndarray, marks: np.ndarray, own: np.ndarray, search: tuple[int, int] | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """verify() of what the search (beam, width) finds, or of every code within the radius if it is None; own: each query's place here or -1.
+    def links(self, codes: np.ndarray, marks: np.ndarray, own: np.ndarray, search: tuple[int, ...] | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """verify() of what the search (beam, width, most) finds, or of every code within the radius if it is None; own: each query's place here or -1.
 
+        A search enters at `width` codes on either side in each order of the graph
+        and at those of up to `most` texts of each of a query's buckets (none if
+        left out). Texts beyond that are reached over edges, as the audit measures.
         A query's own class needs no link. The beam doubles for a query whose beam
         lies wholly within the radius, as long as doubling it finds new classes.
         """
@@ -278,14 +340,15 @@ class Shard:
                 q, point, dist = self.graph.exact(codes[lo : lo + step], self.radius)
                 out.append(np.stack(self.verify(marks, own, q + lo, point, dist, known)))
             return tuple(np.concatenate(out, axis=1))
-        beam, width = search
-        todo, grew, out = np.arange(len(codes)), np.ones(len(codes), bool), [np.zeros((3, 0), np.int64)]
+        beam, width, most = (*search, 0)[:3]
+        todo, out = np.arange(len(codes)), [np.zeros((3, 0), np.int64)]
         while len(todo):
             wide, found = [], []
-            block = max(16, 2048 * 16 // max(beam, 16))
+            block = max(16, (512 if most else 2048) * 16 // max(beam, 16))
             for lo in range(0, len(todo), block):
                 mine = todo[lo : lo + block]
-                ids, dist = self.graph.search(codes[mine], beam, width, self.horizon, beyond=False)
+                more = self.buckets.entries(marks[mine], words(codes[mine]), self.graph.words, most, self.horizon, 2 * beam) if most else None
+                ids, dist = self.graph.search(codes[mine], beam, width, self.horizon, beyond=False, more=more)
                 r, c = np.nonzero((ids >= 0) & (dist <= self.radius))
                 found.append((mine[r], ids[r, c].astype(np.int64), dist[r, c]))
                 wide.append(mine[(dist <= self.radius).all(axis=1)])
@@ -298,58 +361,54 @@ class Shard:
             beam *= 2
         return tuple(np.concatenate(out, axis=1))
 
-    def settle(self, codes: np.ndarray, marks: np.ndarray, own: np.ndarray, truth: tuple, target: float, enough: int = 300) -> tuple[int, int] | None:
-        """The first (beam, width) whose recall reaches the target, None: search exactly.
+    def settle(self, codes: np.ndarray, marks: np.ndarray, own: np.ndarray, truth: tuple, target: float, enough: int = 300) -> tuple[int, ...] | None:
+        """The first (beam, width, most) whose recall reaches the target, None: search exactly.
 
         truth is what links() gives exactly for the audit sample. Recall is the
         mean share, over the sample's texts that have any, of their links that the
         search finds, and is measured apart for links to local classes of up to
         FEW texts and to larger ones, which are easier to find. Where under
-        `enough` texts have links to small classes, planted codes with few
+        `enough` texts have links to small classes, planted texts with few
         partners make up the number.
         """
-        n, size = len(self.label), np.bincount(self.label, minlength=len(self.label))
+        size = np.bincount(self.label, minlength=len(self.label))
+        some, at = np.unique(truth[0], return_inverse=True)
         small = size[truth[1]] <= FEW
         asked = len(np.unique(truth[0][small]))
-        plain, partners = planted(self.graph, enough, self.radius, self.threshold) if asked < enough else (codes[:0], np.zeros(0, np.int64))
-        plain, partners = plain[: enough - asked], partners[: enough - asked]
-        some = np.unique(truth[0])
-        for beam, width in LADDER:
-            if 2 * width * BYTES >= len(self.graph.codes):  # the exact search compares no more
+        more, more_marks = planted(self, enough - asked, self.threshold) if asked < enough else (codes[:0], marks[:0])
+        codes, marks, own = np.concatenate([codes[some], more]), np.concatenate([marks[some], more_marks]), np.concatenate([own[some], np.full(len(more), -1)])
+        q, label, _ = self.links(more, more_marks, own[len(some) :], None)
+        few = size[label] <= FEW
+        who, label, small = np.concatenate([at, q[few] + len(some)]), np.concatenate([truth[1], label[few]]), np.concatenate([small, np.ones(few.sum(), bool)])
+        for search in LADDER:
+            if max(256, 2 * search[1] * BYTES) >= len(self.graph.codes):  # the exact search compares no more
                 break
-            q, label, _ = self.links(codes[some], marks[some], own[some], (beam, width))
-            hit = np.isin(truth[0] * n + truth[1], some[q] * n + label)
-            mean = [np.bincount(truth[0][k & hit], minlength=len(codes))[u] / np.bincount(truth[0][k], minlength=len(codes))[u] for k in (small, ~small) for u in [np.unique(truth[0][k])]]
-            few = mean[0].sum() + _recall(self.graph, plain, partners, (self.radius, beam, width, self.horizon)) * len(plain)
-            if few >= target * max(asked + len(plain), 1) and mean[1].sum() >= target * len(mean[1]):
-                return beam, width
+            q, found, _ = self.links(codes, marks, own, search)
+            hit = np.isin(who * len(size) + label, q * len(size) + found)
+            mean = [np.bincount(who[k & hit], minlength=len(codes))[u] / np.bincount(who[k], minlength=len(codes))[u] for k in (small, ~small) for u in [np.unique(who[k])]]
+            if all(m.sum() >= target * len(m) for m in mean):
+                return search
         return None
 
 
-def _recall(graph: SmallWorld, codes: np.ndarray, truth: np.ndarray, search: tuple) -> float:
-    """Mean share of its truth, the number of codes within the radius, that a code's search finds."""
-    found = np.zeros(len(codes), np.int64)
-    for lo in range(0, len(codes), 256):
-        found[lo : lo + 256] = np.bincount(graph.within(codes[lo : lo + 256], *search)[0], minlength=len(codes[lo : lo + 256]))
-    return float((found / truth).mean()) if len(codes) else 1.0
-
-
-def planted(graph: SmallWorld, n: int, radius: int, threshold: float, seed: int = 2) -> tuple[np.ndarray, np.ndarray]:
-    """Up to n codes with few partners, and the numbers of their partners.
+def planted(shard: Shard, n: int, threshold: float, seed: int = 2) -> tuple[np.ndarray, np.ndarray]:
+    """Codes and sketches of n texts with few partners.
 
-    They differ from a node that has few itself as the codes of texts do whose
-    similarity lies anywhere between the threshold and 1. A node with at most FEW
-    partners has an edge beyond the radius in place FEW: no such node is left out.
+    They differ from a text that has few itself as texts do whose similarity
+    lies anywhere between the threshold and 1: each place of the sketch agrees as
+    often. A code with at most FEW partners has an edge beyond the radius in place
+    FEW: no such code is left out.
     """
-    rng, edge = np.random.default_rng(seed), graph.edges[:, FEW]
-    pool = np.flatnonzero((edge < 0) | (hamming(graph.words, graph.words[np.maximum(edge, 0)]) > radius))
+    rng, graph = np.random.default_rng(seed), shard.graph
+    edge = graph.edges[:, FEW]
+    pool = np.flatnonzero((edge < 0) | (hamming(graph.words, graph.words[np.maximum(edge, 0)]) > shard.radius))
     if len(pool) == 0:
-        return np.zeros((0, BYTES), np.uint8), np.zeros(0, np.int64)
-    at, alike = rng.choice(pool, n), rng.uniform(threshold, 1, n)
-    codes = graph.codes[at] ^ np.packbits(rng.random((n, 256)) < np.arccos(2 * alike / (1 + alike))[:, None] / np.pi, axis=1)
-    truth = np.bincount(graph.exact(codes, radius)[0], minlength=n)
-    good = (truth > 0) & (truth <= FEW)
-    return codes[good], truth[good]
+        return np.zeros((0, BYTES), np.uint8), np.zeros((0, MARK), np.uint8)
+    at, alike = rng.choice(pool, n), rng.uniform(threshold, 1, (n, 1))
+    codes = graph.codes[at] ^ np.packbits(rng.random((n, 256)) < np.arccos(2 * alike / (1 + alike)) / np.pi, axis=1)
+    v = _nibbles(shard.marks[shard.first[at]])
+    v = np.where((v > 0) & (rng.random(v.shape) >= alike), rng.integers(1, 16, v.shape, dtype=np.uint8), v)
+    return codes, v[:, 0::2] << 4 | v[:, 1::2]
 
 
 def _searcher(radius: int, threshold: float, horizon: int, target: float):
@@ -378,6 +437,8 @@ def _searcher(radius: int, threshold: float, horizon: int, target: float):
             truth = shard.links(codes, marks, own, None)
             yield answer(nodes, codes, marks, own, truth)
             settings = shard.settle(codes, marks, own, truth, target)
+            if settings and not settings[1]:
+                shard.graph.orders = []  # nothing enters by them any more
 
         for batch in batches:
             role, node, code, mark = np.asarray(batch.column(0)), np.asarray(batch.column(1)), _bytes(batch.column(2), BYTES), _bytes(batch.column(3), MARK)

@@ -25,9 +25,9 @@ def hamming(q: np.ndarray, x: np.ndarray) -> np.ndarray:
 
 
 def _keys(codes: np.ndarray, order: int) -> np.ndarray:
-    """The 8 bytes from byte `order` on (wrapping) as a big-endian integer."""
-    at = (np.arange(8) + order) % BYTES
-    return np.ascontiguousarray(codes[:, at]).view(">u8").ravel().astype(np.uint64)
+    """The 4 bytes from byte `order` on (wrapping) as a big-endian integer."""
+    at = (np.arange(4) + order) % BYTES
+    return np.ascontiguousarray(codes[:, at]).view(">u4").ravel().astype(np.uint32)
 
 
 class SmallWorld:
@@ -114,11 +114,12 @@ class SmallWorld:
         empty = dist > FAR
         return np.where(empty, -1, ids), np.where(empty, FAR, dist), empty | ((part & 1) == 0)
 
-    def search(self, q: np.ndarray, beam: int, width: int, horizon: int, expand: int = 4, beyond: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    def search(self, q: np.ndarray, beam: int, width: int, horizon: int, expand: int = 4, beyond: bool = True, more: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(ids, distances) of the beam nearest nodes found; ids are -1 where there are fewer.
 
         Only nodes within the horizon are expanded: beyond it random codes lie,
         whose neighbours are as far. beyond: whether such nodes are returned too.
+        more: further nodes to enter at for each query, -1 for none.
         """
         n_q, n = len(q), len(self.codes)
         if n == 0 or n_q == 0:
@@ -126,6 +127,8 @@ class SmallWorld:
         qw = words(q)
         ids = self.entries(q, width)
         dist = self.distances(qw, ids)
+        if more is not None:
+            ids, dist = np.concatenate([ids, more], axis=1), np.concatenate([dist, np.where(more < 0, FAR, self.distances(qw, np.maximum(more, 0)))], axis=1)
         if not beyond:  # most queries have nothing near: no more is done for them
             near = dist <= horizon
             some = np.flatnonzero(near.any(axis=1))

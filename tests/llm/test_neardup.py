@@ -210,3 +210,59 @@ def test_audit_sees_small_groups_beside_a_hot_one():
     assert settings != (16, 4) and recall(settings) >= 0.93 * most
     nothing = tuple(np.zeros(0, np.int64) for _ in range(3))
     assert shard.settle(codes[:0], marks[:0], none[:0], nothing, 0.95) != (16, 4)  # no links in the sample prove nothing
+
+
+def test_a_larger_shard_needs_no_wider_search():
+    """Pairs of any similarity among many lone texts: by orders of the codes alone their recall falls as the shard grows, and each query then compares thousands."""
+    rng = np.random.default_rng(8)
+    n = 60_000
+    lone, marks = rng.integers(0, 256, (n, BYTES), dtype=np.uint8), rng.integers(1, 16, (n, 2 * neardup.MARK), dtype=np.uint8)
+    alike = rng.uniform(0.5, 1, (400, 1))
+    pairs = lone[:400] ^ np.packbits(rng.random((400, 256)) < np.arccos(2 * alike / (1 + alike)) / np.pi, axis=1)
+    near = np.where(rng.random((400, 2 * neardup.MARK)) < alike, marks[:400], rng.integers(1, 16, (400, 2 * neardup.MARK), dtype=np.uint8))
+    marks, near = (x[:, 0::2] << 4 | x[:, 1::2] for x in (marks, near))
+    shard = neardup.Shard(np.arange(n), lone, marks)
+    none = np.full(400, -1)
+    most = len(shard.links(pairs, near, none, None)[0])
+    nothing = tuple(np.zeros(0, np.int64) for _ in range(3))
+    settings = shard.settle(pairs[:0], near[:0], none[:0], nothing, 0.95)
+    assert most > 250 and len(shard.links(pairs, near, none, settings)[0]) >= 0.95 * most
+    assert 2 * settings[1] * BYTES <= 256
+
+
+def _packed(values: np.ndarray) -> np.ndarray:
+    return values[:, 0::2] << 4 | values[:, 1::2]
+
+
+def test_short_texts_agree_in_buckets_as_often_as_they_are_similar():
+    rng = np.random.default_rng(1)
+    h, rows = [], []
+    for pair in range(300):  # two of 9 words in 12 differ: a similarity of 9 / 15
+        common = rng.integers(0, 1 << 62, 9)
+        for k in range(2):
+            h += [*common, *rng.integers(0, 1 << 62, 3)]
+            rows += [2 * pair + k] * 12
+    marks = neardup.sketches(np.array(h, np.uint64), np.array(rows), 600)
+    got = neardup.buckets(marks)
+    assert 0 <= got.min() and got.max() < 65_536
+    same = got[0::2] == got[1::2]
+    assert same.any(axis=1).mean() > 0.92 and 0.07 < same.mean() < 0.25  # 0.6 ** 4 = 0.13
+    other = got[0::2] == np.roll(got[1::2], 1, axis=0)
+    assert other.mean() < 0.002
+    assert (neardup.buckets(marks[:0]).shape, neardup.buckets(np.zeros((1, neardup.MARK), np.uint8)).shape) == ((0, neardup.BANDS), (1, neardup.BANDS))
+
+
+def test_entries_are_the_codes_of_equal_buckets_and_few_of_full_ones():
+    rng = np.random.default_rng(2)
+    values = rng.integers(1, 16, (500, 2 * neardup.MARK), dtype=np.uint8)
+    values[:, 30:] = values[0, 30:]  # most buckets hold all texts
+    marks, codes = _packed(values), rng.integers(0, 256, (500, BYTES), dtype=np.uint8)
+    x = neardup.words(codes)
+    index = neardup.Buckets(marks, np.arange(500))
+    got = index.entries(marks[:20], x[:20], x, 500, 110, 500)
+    d = np.bitwise_count(x[:20, None] ^ x[None]).sum(axis=2)
+    for q in range(20):
+        assert sorted(got[q][got[q] >= 0].tolist()) == np.flatnonzero(d[q] <= 110).tolist()
+    few = index.entries(marks[:20], x[:20], x, 2, 256, 40)
+    assert few.shape[1] <= 40 and all(len(set(r[r >= 0].tolist())) == (r >= 0).sum() for r in few)
+    assert index.entries(marks[:20], x[:20], x, 500, -1, 40).shape == (20, 0)
