@@ -7,9 +7,10 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 
 import corpus_pipeline
-from tessella.llm import decontam, langid, mixing
+from tessella.llm import decontam, langid, mixing, neardup
 from tests.llm import data
 from tests.llm.test_decontam import slow
 
@@ -151,3 +152,20 @@ def test_queries_are_registered():
     q = entry.queries()
     assert {k.split("_")[0] for k in q if k.startswith("op")} == {f"op{i}" for i in range(1, 11)} and "pipeline" in q
     assert set(entry.oracle_sql()) <= set(q)
+
+
+def test_short_remains_of_texts_are_found_by_a_cheap_search():
+    """What line de-duplication leaves of copies is short, so most places of its sketch are empty; the search of stage 3 must not widen for that as the table grows."""
+    rng = np.random.default_rng(4)
+    words = rng.integers(0, 50_000, (40_000, 20))
+    edited = words[:400].copy()
+    edited[:, 7] = rng.integers(50_000, 60_000, 400)  # 17 of 21 word pairs stay the same
+    texts = neardup.tv.as_array(pa.array([" ".join(f"w{w}" for w in t) for t in np.concatenate([words, edited])]))
+    h, rows = neardup.shingles(texts)
+    codes, marks = neardup.simhashes(h, rows, len(texts)), neardup.sketches(h, rows, len(texts))
+    shard = neardup.Shard(np.arange(40_000), codes[:40_000], marks[:40_000])
+    none, nothing = np.full(400, -1), tuple(np.zeros(0, np.int64) for _ in range(3))
+    most = len(shard.links(codes[40_000:], marks[40_000:], none, None)[0])
+    settings = shard.settle(codes[:0], marks[:0], none[:0], nothing, 0.95)
+    assert most > 350 and 2 * settings[1] * neardup.BYTES <= 256
+    assert len(shard.links(codes[40_000:], marks[40_000:], none, settings)[0]) >= 0.95 * most
