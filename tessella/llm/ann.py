@@ -1,13 +1,13 @@
-"""Approximate nearest neighbours by robust-pruned directed graphs.
-
-Each shard holds one graph. Points are inserted in batches that double: a greedy
-beam search from the medoid proposes neighbours for every point of a batch, and
-robust pruning keeps those that no kept one covers (a kept p covers x if
-alpha * |p - x| <= |q - x|), so that short and long edges both stay. Reverse
-edges are added and pruned alike. Every query is then searched in every shard,
-all queries of a block at once, and the shards' nearest are merged. Each shard
-first answers an audit sample of the queries exactly, and doubles its beam until
-their recall is reached, in the end comparing with every vector.
+"""Nearest neighbours by inverted lists, with exact search where lists don't pay.
+
+Each shard puts its vectors into cells around centroids, which k-means finds over
+a sample of at most 32,768 of them; every vector is in a cell. A query's distances
+to the vectors of its nearest cells are matrix products, cell by cell for all
+queries of a block, and only what is nearer than a query's nearest so far is kept.
+Every query is searched in every shard, and the shards' nearest are merged. Each
+shard first answers an audit sample of the queries exactly, and doubles the number
+of cells until their recall is reached. Where that is over a third of the cells,
+as it is for vectors without clusters, every query is compared with every vector.
 """
 
 from __future__ import annotations
@@ -20,166 +20,141 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 RESULT = "query_id bigint, neighbor_id bigint, distance float"
-_NONE = np.float32(np.inf)
-
-
-class PrunedGraph:
-    def __init__(self, points: np.ndarray, degree: int = 32, beam: int = 64, alpha: float = 1.2):
-        """points: (n, d) float32, distinct rows."""
-        self.points = np.ascontiguousarray(points, np.float32)
-        self.norms = np.einsum("ij,ij->i", self.points, self.points)
-        n = len(points)
-        self.degree, self.alpha = degree, alpha
-        self.edges = np.full((n, degree), -1, np.int32)
-        self.medoid = int(((self.points - self.points.mean(axis=0)) ** 2).sum(axis=1).argmin()) if n else 0
-        order = np.random.default_rng(7).permutation(n)
-        order = np.concatenate([[self.medoid], order[order != self.medoid]]) if n else order
-        at, size = 1, 64
-        while at < n:
-            batch = order[at : at + size]
-            if at == 1:  # the first points see each other
-                self._insert(batch, np.tile(order[: len(batch) + 1].astype(np.int32), (len(batch), 1)))
-            else:
-                self._insert(batch, np.concatenate([self.search(self.points[batch[lo : lo + 1024]], beam)[0] for lo in range(0, len(batch), 1024)]))
-            at += len(batch)
-            size = min(2 * size, max(64, n // 8))
-        if n > 65:  # a second pass over the early points, whose first neighbours were few
-            early = order[: max(65, n // 4)]
-            found = np.concatenate([self.search(self.points[early[lo : lo + 1024]], beam)[0] for lo in range(0, len(early), 1024)])
-            self._insert(early, np.concatenate([found, self.edges[early]], axis=1))
-
-    def distances(self, q: np.ndarray, ids: np.ndarray) -> np.ndarray:
-        """Squared distances of q (m, d) to points[ids] (m, c); infinite where ids < 0."""
-        safe = np.maximum(ids, 0)
-        dots = np.matmul(self.points[safe], q[:, :, None])[:, :, 0]
-        out = self.norms[safe] - 2 * dots + np.einsum("ij,ij->i", q, q)[:, None]
-        out[ids < 0] = _NONE
-        return np.maximum(out, 0, out=out)
-
-    def _prune(self, nodes: np.ndarray, ids: np.ndarray) -> np.ndarray:
-        """Robust pruning of the candidates ids (m, c) of each node: (m, degree)."""
-        m, c = ids.shape
-        out = np.full((m, self.degree), -1, np.int32)
-        step = max(1, (1 << 21) // max(1, c * c))
-        for lo in range(0, m, step):
-            i = ids[lo : lo + step].copy()
-            own = nodes[lo : lo + step]
-            i[i == own[:, None]] = -1
-            i.sort(axis=1)
-            i[:, 1:][i[:, 1:] == i[:, :-1]] = -1
-            d = self.distances(self.points[own], i)
-            by = np.argsort(d, axis=1, kind="stable")
-            i, d = np.take_along_axis(i, by, 1), np.take_along_axis(d, by, 1)
-            p = self.points[np.maximum(i, 0)]
-            nn = self.norms[np.maximum(i, 0)]
-            between = np.maximum(nn[:, :, None] + nn[:, None, :] - 2 * np.matmul(p, p.transpose(0, 2, 1)), 0)
-            open_ = i >= 0
-            count = np.zeros(len(i), np.int64)
-            rows = np.arange(len(i))
-            for _ in range(self.degree):
-                live = open_.any(axis=1)
-                if not live.any():
-                    break
-                k = open_.argmax(axis=1)
-                r = rows[live]
-                out[lo + r, count[r]] = i[r, k[r]]
-                count[r] += 1
-                covered = (self.alpha**2) * between[r, k[r]] <= d[r]
-                covered[np.arange(len(r)), k[r]] = True
-                open_[r] &= ~covered
-        return out
-
-    def _insert(self, batch: np.ndarray, found: np.ndarray) -> None:
-        new = self._prune(batch, found)
-        self.edges[batch] = new
-        src = np.repeat(batch.astype(np.int32), self.degree)
-        dst = new.ravel()
-        ok = dst >= 0
-        src, dst = src[ok], dst[ok]
-        by = np.argsort(dst, kind="stable")
-        src, dst = src[by], dst[by]
-        target, first, count = np.unique(dst, return_index=True, return_counts=True)
-        # Targets by how many edges come in, so that a hub's long list widens no other's.
-        for lo, hi in ((1, self.degree), (self.degree + 1, 8 * self.degree), (8 * self.degree + 1, len(src))):
-            mine = np.flatnonzero((count >= lo) & (count <= hi))
-            if not len(mine):
-                continue
-            wide = np.full((len(mine), int(count[mine].max())), -1, np.int32)
-            for k in range(wide.shape[1]):
-                has = count[mine] > k
-                wide[has, k] = src[first[mine[has]] + k]
-            self.edges[target[mine]] = self._prune(target[mine], np.concatenate([self.edges[target[mine]], wide], axis=1))
-
-    @staticmethod
-    def _best(ids: np.ndarray, dist: np.ndarray, done: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        by = np.lexsort((~done, ids, dist), axis=1)
-        ids, dist, done = np.take_along_axis(ids, by, 1), np.take_along_axis(dist, by, 1), np.take_along_axis(done, by, 1)
-        again = np.zeros(ids.shape, bool)
-        again[:, 1:] = ids[:, 1:] == ids[:, :-1]
-        dist[again | (ids < 0)] = _NONE
-        by = np.argsort(dist, axis=1, kind="stable")[:, :beam]
-        ids, dist, done = np.take_along_axis(ids, by, 1), np.take_along_axis(dist, by, 1), np.take_along_axis(done, by, 1)
-        gone = np.isinf(dist)
-        ids[gone] = -1
-        return ids, dist, done | gone
-
-    def search(self, q: np.ndarray, beam: int, expand: int = 3) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, squared distances), nearest first, (m, beam); -1 where fewer are reached."""
-        m = len(q)
-        ids = np.full((m, beam), -1, np.int32)
-        ids[:, 0] = self.medoid
-        dist = self.distances(q, ids)
-        done = ids < 0
-        active = np.arange(m)
-        while len(active):
-            i, d, x = ids[active], dist[active], done[active]
-            pick = np.argsort(x, axis=1, kind="stable")[:, :expand]
-            fresh = ~np.take_along_axis(x, pick, 1)
-            node = np.take_along_axis(i, pick, 1)
-            np.put_along_axis(x, pick, True, 1)
-            near = np.where(fresh[:, :, None], self.edges[np.maximum(node, 0)], -1).reshape(len(active), -1)
-            near[(near[:, :, None] == i[:, None, :]).any(axis=2)] = -1
-            far = self.distances(q[active], near)
-            i, d, x = self._best(np.concatenate([i, near], 1), np.concatenate([d, far], 1), np.concatenate([x, np.zeros(near.shape, bool)], 1), beam)
-            ids[active], dist[active], done[active] = i, d, x
-            active = active[(~x).any(axis=1)]
-        return ids, dist
+#: Most cells of a shard, vectors a cell that k-means is fitted on, least vectors a cell.
+CELLS, FITTED, LEAST = 1024, 32, 8
+#: Under so many vectors a shard compares all: as many products of small matrices cost more.
+SMALL = 16_384
+
+
+def _roomy(x: np.ndarray) -> np.ndarray:
+    """x in the type in which its squares are finite."""
+    return x.astype(np.float64 if np.abs(x).max(initial=0) > 1e15 else np.float32)
+
+
+def _with(x: np.ndarray, last: np.ndarray | float) -> np.ndarray:
+    """x with one more column."""
+    out = np.empty((len(x), x.shape[1] + 1), x.dtype)
+    out[:, :-1], out[:, -1] = x, last
+    return out
+
+
+class Nearest:
+    """The k nearest places of each of m queries, of all that add() is given."""
+
+    def __init__(self, m: int, k: int):
+        self.ids, self.dist = np.full((m, k), -1, np.int32), np.full((m, k), np.inf)
+        self.far, self.held, self.size = np.full(m, np.inf), [], 0
+
+    def add(self, rows: np.ndarray, first: int, dist: np.ndarray) -> None:
+        """dist (rows, c) from the queries rows to the places from first on."""
+        k, far = self.ids.shape[1], self.far[rows]
+        if dist.shape[1] >= k and np.isinf(far).any():  # k of a row at most, however many tie
+            at = np.argpartition(dist, k - 1, axis=1)[:, :k]
+            dist = np.take_along_axis(dist, at, 1)
+            r, c = np.nonzero(dist < far[:, None])
+            self.far[rows] = np.minimum(far, dist[:, -1])
+            self.held.append((rows[r], (at[r, c] + first).astype(np.int32), dist[r, c]))
+        else:
+            r, c = np.nonzero(dist < far[:, None])
+            self.held.append((rows[r], (c + first).astype(np.int32), dist[r, c]))
+        self.size += len(r)
+        if self.size > 1 << 18:
+            self.merge()
+
+    def merge(self) -> None:
+        if not self.size:
+            return
+        m, k = self.ids.shape
+        rows, ids, dist = (np.concatenate(x) for x in zip((np.repeat(np.arange(m), k), self.ids.ravel(), self.dist.ravel()), *self.held, strict=True))
+        by = np.lexsort((ids, dist, rows))
+        rows, ids, dist = rows[by], ids[by], dist[by]
+        rank = np.arange(len(rows)) - np.searchsorted(rows, np.arange(m))[rows]
+        keep = rank < k
+        self.ids[rows[keep], rank[keep]], self.dist[rows[keep], rank[keep]] = ids[keep], dist[keep]
+        self.far, self.held, self.size = self.dist[:, -1].copy(), [], 0
 
 
 class Shard:
-    """A graph over the distinct vectors of one dimension, and the ids that have each."""
+    """Distinct vectors of one dimension by cells, and the ids that have each."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray):
-        self.points, where = np.unique(vectors, axis=0, return_inverse=True)
-        where = where.ravel()
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, seed: int = 7):
+        points, where = np.unique(vectors, axis=0, return_inverse=True)
+        points, n = _roomy(points), len(points)
+        self.centre = points.mean(axis=0, dtype=np.float64).astype(points.dtype)
+        points -= self.centre
+        cells = max(1, min(CELLS, n // LEAST))
+        sample = points[np.random.default_rng(seed).permutation(n)[: FITTED * cells]]
+        self.cells = sample[:cells].copy()
+        for _ in range(4):
+            label = self._cell(sample)
+            by = np.argsort(label, kind="stable")
+            have, first = np.unique(label[by], return_index=True)
+            self.cells[have] = np.add.reduceat(sample[by], first, axis=0) / np.diff(np.append(first, len(by)))[:, None]
+        label = self._cell(points)
+        by = np.argsort(label, kind="stable")
+        self.start = np.searchsorted(label[by], np.arange(cells + 1))
+        points = points[by]
+        self.table = _with(points, np.einsum("ij,ij->i", points, points))
+        place = np.empty(n, np.int64)
+        place[by] = np.arange(n)
+        where = place[where.ravel()]
         order = np.lexsort((ids, where))
-        self.ids, self.first = ids[order], np.searchsorted(where[order], np.arange(len(self.points) + 1))
-        self.graph = PrunedGraph(self.points)
+        self.ids, self.first = ids[order], np.searchsorted(where[order], np.arange(n + 1))
 
-    def exact(self, vectors: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """The k + 1 nearest points, like graph.search, by comparing with every one."""
-        k = min(k + 1, len(self.points))
-        ids, dist = np.zeros((len(vectors), 0), np.int32), np.zeros((len(vectors), 0), np.float32)
-        for lo in range(0, len(self.points), 16_384):
-            x = self.points[lo : lo + 16_384]
-            d = np.maximum(self.graph.norms[lo : lo + 16_384][None] - 2 * vectors @ x.T + np.einsum("ij,ij->i", vectors, vectors)[:, None], 0)
-            ids = np.concatenate([ids, np.broadcast_to(np.arange(lo, lo + len(x), dtype=np.int32), d.shape)], axis=1)
-            dist = np.concatenate([dist, d], axis=1)
-            by = np.argpartition(dist, k - 1, axis=1)[:, :k] if dist.shape[1] > k else np.argsort(dist, axis=1)
-            ids, dist = np.take_along_axis(ids, by, 1), np.take_along_axis(dist, by, 1)
+    @property
+    def points(self) -> np.ndarray:
+        return self.table[:, :-1] + self.centre
+
+    def _cell(self, x: np.ndarray) -> np.ndarray:
+        half = np.einsum("ij,ij->i", self.cells, self.cells) / 2
+        return np.concatenate([(half - x[lo : lo + 4096] @ self.cells.T).argmin(axis=1) for lo in range(0, len(x), 4096)])
+
+    def _exactly(self, q: np.ndarray, near: Nearest) -> tuple[np.ndarray, np.ndarray]:
+        """Places and squared distances of what near has, nearest first; the distances are of differences, without the products' rounding."""
+        near.merge()
+        dist = ((q[:, None] - self.table[np.maximum(near.ids, 0), :-1]) ** 2).sum(axis=2)
+        dist[near.ids < 0] = np.inf
         by = np.argsort(dist, axis=1, kind="stable")
-        return np.take_along_axis(ids, by, 1), np.take_along_axis(dist, by, 1)
+        return np.take_along_axis(near.ids, by, 1), np.take_along_axis(dist, by, 1)
+
+    def exact(self, vectors: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """(places, squared distances) of the k + 1 nearest points, nearest first, by comparing with every one."""
+        q = _roomy(vectors) - self.centre
+        near, asked, rows = Nearest(len(q), min(k + 1, len(self.table))), _with(-2 * q, 1), np.arange(len(q))
+        for lo in range(0, len(self.table), 4096):
+            near.add(rows, lo, asked @ self.table[lo : lo + 4096].T)
+        return self._exactly(q, near)
+
+    def search(self, vectors: np.ndarray, k: int, beam: int) -> tuple[np.ndarray, np.ndarray]:
+        """exact(), but only in the beam nearest cells of each query; -1 where they hold fewer points."""
+        q = _roomy(vectors) - self.centre
+        beam = min(beam, len(self.cells))
+        near, asked = Nearest(len(q), min(k + 1, len(self.table))), _with(-2 * q, 1)
+        far = asked @ _with(self.cells, np.einsum("ij,ij->i", self.cells, self.cells)).T
+        mine = np.argpartition(far, beam - 1, axis=1)[:, :beam]
+        mine = np.take_along_axis(mine, np.argsort(np.take_along_axis(far, mine, 1), axis=1), 1)
+        first = max(1, -(-4 * (k + 1) * len(self.cells) // len(self.table)))  # cells whose points bound the rest
+        for some in (mine[:, :first], mine[:, first:]):
+            cell, rows = some.ravel(), np.repeat(np.arange(len(q)), some.shape[1])
+            by = np.argsort(cell, kind="stable")
+            cell, rows = cell[by], rows[by]
+            have, at = np.unique(cell, return_index=True)
+            for c, lo, hi in zip(have, at, [*at[1:], len(cell)], strict=True):
+                if self.start[c] < self.start[c + 1]:
+                    near.add(rows[lo:hi], self.start[c], asked[rows[lo:hi]] @ self.table[self.start[c] : self.start[c + 1]].T)
+            near.merge()
+        return self._exactly(q, near)
 
     def settle(self, vectors: np.ndarray, k: int, beam: int, target: float) -> int | None:
-        """The first of beam, 2 * beam, ... whose recall of the sample's k + 1 nearest points reaches the target, counted by distance so that ties count alike; None: search exactly."""
+        """The first of beam, 2 * beam, ... cells whose recall of the sample's k + 1 nearest points reaches the target, counted by distance so that ties count alike; None: search exactly, as without a sample."""
         if len(vectors) == 0:
-            return beam
+            return None
         far = np.concatenate([self.exact(vectors[lo : lo + 256], k)[1][:, -1] for lo in range(0, len(vectors), 256)])
-        wanted = min(k + 1, len(self.points))
-        while beam < len(self.points):
+        wanted = min(k + 1, len(self.table))
+        while beam < len(self.cells):
             hits = 0
             for lo in range(0, len(vectors), 1024):
-                dist = self.graph.search(vectors[lo : lo + 1024], max(beam, k + 1))[1][:, : k + 1]
+                dist = self.search(vectors[lo : lo + 1024], k, beam)[1]
                 hits += int((dist <= far[lo : lo + 1024, None] * (1 + 1e-5) + 1e-6).sum())
             if hits >= target * wanted * len(vectors):
                 return beam
@@ -187,11 +162,11 @@ class Shard:
         return None
 
     def nearest(self, query_ids: np.ndarray, vectors: np.ndarray, k: int, beam: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(query, id, squared distance): at least the k nearest other ids found of each query; of one vector's ids the least. Without a beam every point is compared."""
-        out, step = [], 1024 if beam else 256
+        """(query, id, squared distance): at least the k nearest other ids found of each query; of one vector's ids the least. Every point is compared without a beam, with one of over a third of the cells, and in small shards."""
+        out, step = [], max(1, min(1024, (1 << 22) // (k + 1) // self.table.shape[1]))
+        listed = beam is not None and 3 * beam <= len(self.cells) and len(self.table) > SMALL
         for lo in range(0, len(query_ids), step):
-            ids, dist = self.graph.search(vectors[lo : lo + step], max(beam, k + 1)) if beam else self.exact(vectors[lo : lo + step], k)
-            ids, dist = ids[:, : k + 1], dist[:, : k + 1]
+            ids, dist = self.search(vectors[lo : lo + step], k, beam) if listed else self.exact(vectors[lo : lo + step], k)
             r, c = np.nonzero(ids >= 0)
             node = ids[r, c]
             size = np.minimum(self.first[node + 1] - self.first[node], k + 1)
@@ -267,8 +242,9 @@ def nearest_neighbors(vectors: DataFrame, k: int = 10, beam: int = 64, shards: i
     are compared only with those of the same dimension. Fewer than k others give
     fewer rows. Other columns are ignored. There are at least six shards, and one
     more for each further shard_rows vectors; every query is sent to each. About
-    audit queries are answered exactly in each shard; a beam starts at `beam` and
-    doubles until their recall is target.
+    audit queries are answered exactly in each shard; a query is searched in `beam`
+    cells, doubled until their recall is target, and beyond a third of the cells in
+    all of them.
     """
     asking = F.coalesce(asks, F.lit(False)) if asks is not None else F.lit(True)
     usable = vectors.select(F.col(id_col).cast("bigint").alias("id"), F.col(vector_col).cast("array<float>").alias("v"), asking.alias("asks")).where("id is not null and v is not null")

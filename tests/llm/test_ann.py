@@ -82,3 +82,62 @@ def test_the_beam_doubles_until_the_recall_is_reached():
     ids, dist = shard.exact(asks, 10)
     d = ((asks[:, None] - shard.points[None]) ** 2).sum(axis=2)
     assert (ids == np.argsort(d, axis=1)[:, :11]).mean() > 0.99 and np.allclose(dist, np.sort(d, axis=1)[:, :11], atol=1e-2)
+
+
+def _asked(shard, asks, k=10):
+    """What nearest() gives after settle(), as sets of ids by query, and how many distances it computes."""
+    beam = shard.settle(asks[:200], k, 64, 0.95)
+    seen, real = [0], ann.Nearest.add
+    ann.Nearest.add = lambda self, rows, first, dist: (seen.__setitem__(0, seen[0] + dist.size), real(self, rows, first, dist))[1]
+    try:
+        q, ids, _ = shard.nearest(np.arange(len(asks)) + 1_000_000, asks, k, beam)
+    finally:
+        ann.Nearest.add = real
+    return [set(ids[q == i + 1_000_000][:k].tolist()) for i in range(len(asks))], seen[0]
+
+
+def _truth(v, asks, k=10):
+    return [set(np.argsort(((v.astype(np.float64) - a) ** 2).sum(axis=1))[:k].tolist()) for a in asks.astype(np.float64)]
+
+
+def test_vectors_without_clusters_are_compared_in_products():
+    """A graph of these takes a widened beam for each query and an insertion for each vector; comparing with all costs less and misses nothing."""
+    rng = np.random.default_rng(11)
+    v, asks = rng.normal(size=(20_000, 64)).astype(np.float32), rng.normal(size=(300, 64)).astype(np.float32)
+    got, seen = _asked(ann.Shard(np.arange(20_000), v), asks)
+    assert got == _truth(v, asks) and seen == 20_000 * 300
+
+
+def test_clustered_vectors_are_compared_in_few_cells():
+    rng = np.random.default_rng(12)
+    centres = rng.normal(size=(200, 32))
+    draw = lambda n: (centres[rng.integers(0, 200, n)] + 0.3 * rng.normal(size=(n, 32))).astype(np.float32)
+    v, asks = draw(20_000), draw(300)
+    got, seen = _asked(ann.Shard(np.arange(20_000), v), asks)
+    assert sum(len(a & b) for a, b in zip(got, _truth(v, asks), strict=True)) >= 0.95 * 10 * 300
+    assert seen < 0.34 * 20_000 * 300
+
+
+@pytest.mark.parametrize(("shift", "scale"), [(1000, 1), (0, 1e25)])
+def test_vectors_far_from_the_origin_and_very_long_ones(shift, scale):
+    rng = np.random.default_rng(13)
+    v = ((rng.normal(size=(3000, 16)) * 0.5 + shift) * scale).astype(np.float32)
+    shard = ann.Shard(np.arange(3000), v)
+    for beam in (None, len(shard.cells)):
+        q, ids, dist = shard.nearest(np.arange(50), v[:50], 5, beam)
+        want = [set(np.argsort(((v.astype(np.float64) - a) ** 2).sum(axis=1))[1:6].tolist()) for a in v[:50].astype(np.float64)]
+        assert sum(len(set(ids[q == i][:5].tolist()) & want[i]) for i in range(50)) >= 0.98 * 250 and np.isfinite(dist).all()
+
+
+def test_more_ties_than_neighbours():
+    v = np.eye(200, dtype=np.float32)
+    shard = ann.Shard(np.arange(200), v)
+    for found in (shard.exact(v, 7), shard.search(v, 7, len(shard.cells))):
+        assert found[0].shape == (200, 8) and (found[0] >= 0).all()
+        assert (found[1][:, 0] == 0).all() and np.allclose(found[1][:, 1:], 2)
+        assert all(len(set(r.tolist())) == 8 for r in found[0])
+
+
+def test_without_a_sample_all_are_compared():
+    shard = ann.Shard(np.arange(100), np.random.default_rng(1).normal(size=(100, 8)).astype(np.float32))
+    assert shard.settle(np.zeros((0, 8), np.float32), 10, 64, 0.95) is None
