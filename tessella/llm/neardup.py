@@ -41,6 +41,8 @@ HORIZON = 96
 LADDER = ((16, 0, 32), (32, 4, 64), (64, 16, 128), (128, 32, 256), (256, 64, 512), (512, 128, 1024))
 #: Places that a bucket's texts agree in; the buckets of each text.
 AGREE, BANDS = 4, PLACES // 4
+#: Texts that use at most so many places are compared with all that may be similar to them.
+TINY = 8
 #: Planted codes of the audit have up to so many partners.
 FEW = 8
 FINGERPRINTS = "code binary, sketch binary"
@@ -124,6 +126,11 @@ def similarity(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum(0, (same / np.maximum(used, 1) - 1 / 15) / (1 - 1 / 15))
 
 
+def _used(marks: np.ndarray) -> np.ndarray:
+    """The number of places that each sketch uses."""
+    return np.concatenate([np.zeros(0, np.int32), *(_NIBBLE_USED[marks[lo : lo + 65_536]].sum(axis=1, dtype=np.int32) for lo in range(0, len(marks), 65_536))])
+
+
 def _fixed(rows: np.ndarray) -> pa.Array:
     """Rows of bytes as a binary array."""
     n, w = rows.shape
@@ -225,6 +232,8 @@ class Shard:
         self.first = np.searchsorted(self.point, np.arange(len(points) + 1))
         self.graph = SmallWorld(points.view(np.uint8).reshape(-1, BYTES))
         self.buckets = Buckets(self.marks, self.point)
+        # Similar sketches agree in this share of all places that either uses, so neither uses more than the other by its inverse.
+        self.tiny = np.unique(self.point[_used(self.marks) <= int(TINY / (threshold * 14 / 15 + 1 / 15) + 1e-9)])
         by = np.argsort(self.nodes, kind="stable")
         self._sorted, self._by = self.nodes[by], by
         a, b = self._edges()
@@ -330,16 +339,20 @@ class Shard:
         A search enters at `width` codes on either side in each order of the graph
         and at those of up to `most` texts of each of a query's buckets (none if
         left out). Texts beyond that are reached over edges, as the audit measures.
+        Whatever the search, queries that use at most TINY places are compared with
+        all texts that may be similar to them: these share few buckets with such.
         A query's own class needs no link. The beam doubles for a query whose beam
         lies wholly within the radius, as long as doubling it finds new classes.
         """
-        known = self._own_class(own)
         if search is None:
-            step, out = max(1, min(256, (1 << 23) // max(1, len(self.graph.codes)))), [np.zeros((3, 0), np.int64)]  # every code may be a candidate
-            for lo in range(0, len(codes), step):
-                q, point, dist = self.graph.exact(codes[lo : lo + step], self.radius)
-                out.append(np.stack(self.verify(marks, own, q + lo, point, dist, known)))
+            return self._compare(codes, marks, own, None)
+        tiny = _used(marks) <= TINY
+        if tiny.any():
+            out = []
+            for part, found in ((np.flatnonzero(tiny), self._compare(codes[tiny], marks[tiny], own[tiny], self.tiny)), (np.flatnonzero(~tiny), self.links(codes[~tiny], marks[~tiny], own[~tiny], search))):
+                out.append(np.stack([part[found[0]], *found[1:]]))
             return tuple(np.concatenate(out, axis=1))
+        known = self._own_class(own)
         beam, width, most = (*search, 0)[:3]
         todo, out = np.arange(len(codes)), [np.zeros((3, 0), np.int64)]
         while len(todo):
@@ -361,6 +374,15 @@ class Shard:
             beam *= 2
         return tuple(np.concatenate(out, axis=1))
 
+    def _compare(self, codes: np.ndarray, marks: np.ndarray, own: np.ndarray, only: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """verify() of every code within the radius, or of those among the points `only`."""
+        known, n = self._own_class(own), len(self.graph.codes) if only is None else len(only)
+        step, out = max(1, min(256, (1 << 23) // max(1, n))), [np.zeros((3, 0), np.int64)]  # every code may be a candidate
+        for lo in range(0, len(codes), step):
+            q, point, dist = self.graph.exact(codes[lo : lo + step], self.radius, only)
+            out.append(np.stack(self.verify(marks, own, q + lo, point, dist, known)))
+        return tuple(np.concatenate(out, axis=1))
+
     def settle(self, codes: np.ndarray, marks: np.ndarray, own: np.ndarray, truth: tuple, target: float, enough: int = 300) -> tuple[int, ...] | None:
         """The first (beam, width, most) whose recall reaches the target, None: search exactly.
 
@@ -369,8 +391,10 @@ class Shard:
         search finds, and is measured apart for links to local classes of up to
         FEW texts and to larger ones, which are easier to find. Where under
         `enough` texts have links to small classes, planted texts with few
-        partners make up the number.
+        partners make up the number. Texts of up to TINY places don't count: they
+        are never searched for.
         """
+        truth = tuple(x[_used(marks)[truth[0]] > TINY] for x in truth)
         size = np.bincount(self.label, minlength=len(self.label))
         some, at = np.unique(truth[0], return_inverse=True)
         small = size[truth[1]] <= FEW
@@ -378,7 +402,7 @@ class Shard:
         more, more_marks = planted(self, enough - asked, self.threshold) if asked < enough else (codes[:0], marks[:0])
         codes, marks, own = np.concatenate([codes[some], more]), np.concatenate([marks[some], more_marks]), np.concatenate([own[some], np.full(len(more), -1)])
         q, label, _ = self.links(more, more_marks, own[len(some) :], None)
-        few = size[label] <= FEW
+        few = (size[label] <= FEW) & (_used(more_marks)[q] > TINY)
         who, label, small = np.concatenate([at, q[few] + len(some)]), np.concatenate([truth[1], label[few]]), np.concatenate([small, np.ones(few.sum(), bool)])
         for search in LADDER:
             if max(256, 2 * search[1] * BYTES) >= len(self.graph.codes):  # the exact search compares no more

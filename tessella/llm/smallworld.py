@@ -183,14 +183,14 @@ class SmallWorld:
             beam *= 2
         return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
 
-    def exact(self, q: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """within(), by comparing with every node."""
-        qw, x, out = words(q), self.columns, []
+    def exact(self, q: np.ndarray, radius: int, only: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """within(), by comparing with every node, or with the nodes `only`."""
+        qw, x, out = words(q), self.columns if only is None else np.ascontiguousarray(self.columns[:, only]), []
         for lo in range(0, len(q), 64):
-            for at in range(0, len(self.codes), 2048):
+            for at in range(0, x.shape[1], 2048):
                 d = np.zeros((len(qw[lo : lo + 64]), len(x[0, at : at + 2048])), np.uint16)
                 for k in range(len(x)):
                     d += np.bitwise_count(qw[lo : lo + 64, k, None] ^ x[k, at : at + 2048])
                 r, c = np.nonzero(d <= radius)
-                out.append((r + lo, c + at, d[r, c].astype(np.int32)))
+                out.append((r + lo, c + at if only is None else only[c + at], d[r, c].astype(np.int32)))
         return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 3

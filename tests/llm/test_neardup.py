@@ -266,3 +266,22 @@ def test_entries_are_the_codes_of_equal_buckets_and_few_of_full_ones():
     few = index.entries(marks[:20], x[:20], x, 2, 256, 40)
     assert few.shape[1] <= 40 and all(len(set(r[r >= 0].tolist())) == (r >= 0).sum() for r in few)
     assert index.entries(marks[:20], x[:20], x, 500, -1, 40).shape == (20, 0)
+
+
+def test_texts_of_few_pairs_find_all_their_partners_in_the_cheapest_search():
+    """Remains of line de-duplication may be a few words long; such texts share few buckets, so no search may be needed to find their partners."""
+    rng = np.random.default_rng(8)
+    words = rng.integers(0, 5_000, (30_000, 5))
+    edited = words[:1_500].copy()
+    edited[:, 4] = rng.integers(5_000, 9_000, 1_500)  # 3 of 5 word pairs stay the same
+    long = rng.integers(0, 5_000, (3_000, 40))
+    texts = neardup.tv.as_array(pa.array([" ".join(f"w{w}" for w in t) for part in (words, long, edited) for t in part]))
+    h, rows = neardup.shingles(texts)
+    codes, marks = neardup.simhashes(h, rows, len(texts)), neardup.sketches(h, rows, len(texts))
+    shard = neardup.Shard(np.arange(33_000), codes[:33_000], marks[:33_000])
+    asked, none = slice(32_500, None), np.full(2_000, -1)  # some long ones among them
+    exact = shard.links(codes[asked], marks[asked], none, None)
+    found = shard.links(codes[asked], marks[asked], none, neardup.LADDER[0])
+    small = exact[0] >= 500
+    assert small.sum() > 1_200
+    assert {*zip(*(x[small].tolist() for x in exact[:2]), strict=True)} <= {*zip(*(x.tolist() for x in found[:2]), strict=True)}
