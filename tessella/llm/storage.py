@@ -1,41 +1,11 @@
-"""Where intermediate tables go: always the shared checkpoint folder of the session."""
+"""Intermediate tables (see tessella.storage) and joins by their measured sizes."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir. Where that is unset, a session in one process (tests) gets a new one; a cluster's session is an error."""
-    context = spark.sparkContext
-    have = context._jsc.sc().getCheckpointDir()
-    if have.isDefined():
-        return have.get()
-    named = context.getConf().get("spark.checkpoint.dir")
-    if named is None and context.master.split("[")[0] == "local":
-        named = tempfile.mkdtemp(prefix="tessella-")
-    if named is None:
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    context.setCheckpointDir(named)
-    return context._jsc.sc().getCheckpointDir().get()
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """df with its lineage cut by a reliable checkpoint in the shared folder."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def write_table(df: DataFrame, name: str) -> DataFrame:
-    """df written as Parquet in the shared folder and read again."""
-    path = f"{checkpoint_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
+from tessella.storage import checkpoint_dir, cut, write_table  # noqa: F401
 
 #: Up to so many bytes the small side of a join is broadcast.
 BROADCAST_BYTES = 32 << 20

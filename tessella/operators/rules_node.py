@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from tessella.operators.catalogue import rule
 from tessella.operators.groups import diagnostics
 from tessella.schema import FIX
+from tessella.storage import write_table
 
 Facts = dict[str, DataFrame]
 ANYTHING = ("any", "unknown")
@@ -186,17 +187,23 @@ node_rule(
 node_rule("no-dynamic-import", "warning", "imports", "safety", lambda: kind("CallExpression") & (attr("callee_kind") == "import"), "Import at run time", confidence="heuristic")
 
 
-def heritage(edges: DataFrame, depth: int = 50) -> DataFrame:
-    """(child, ancestor) over extends edges (child, parent), up to a depth: a recursive query.
+def heritage(edges: DataFrame, depth: int | None = 50) -> DataFrame:
+    """(child, ancestor) over extends edges (child, parent), up to a depth or, where that is None, all of them.
 
-    Pairs are made distinct at every level, so that diamonds don't multiply paths.
+    Paths double: pairs whose shortest path has k edges are joined with all pairs of
+    at most k, which gives those of at most 2k. Only pairs that are new are written,
+    so neither diamonds nor cycles multiply paths; it ends when there are none.
     """
-    e = edges.select("child", "parent").where("child is not null and parent is not null").distinct()
-    return edges.sparkSession.sql(
-        f"WITH RECURSIVE up(child, ancestor, depth) AS (SELECT child, parent, 1 FROM {{e}} UNION ALL SELECT DISTINCT up.child, e.parent, up.depth + 1 FROM up JOIN {{e}} e ON up.ancestor = e.child WHERE up.depth < {int(depth)}) "
-        "SELECT DISTINCT child, ancestor FROM up",
-        e=e,
-    )
+    found = write_table(edges.select("child", "parent").where("child is not null and parent is not null").distinct().select("child", F.col("parent").alias("ancestor"), F.lit(1).alias("dist")), "heritage")
+    k = 1
+    while depth is None or k < depth:
+        mid, rest = found.where(F.col("dist") == k).select("child", F.col("ancestor").alias("mid")), found.select(F.col("child").alias("mid"), "ancestor", F.col("dist").alias("d"))
+        new = mid.join(rest, "mid").groupBy("child", "ancestor").agg((F.min("d") + k).alias("dist")).join(found, ["child", "ancestor"], "left_anti")
+        new = write_table(new if depth is None else new.where(F.col("dist") <= depth), "heritage")
+        if new.isEmpty():
+            break
+        found, k = found.unionAll(new), 2 * k
+    return found.select("child", "ancestor")
 
 
 def with_heritage(expr_facts: DataFrame, edges: DataFrame) -> DataFrame:

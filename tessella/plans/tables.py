@@ -167,7 +167,7 @@ def overload_heritage(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessella.operators.rules_node import heritage
 
     before = F.lag("o_orderkey").over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
-    return heritage(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("child"), before.alias("parent")))
+    return heritage(table(spark, sf_dir, "orders").where("o_custkey is not null").select(F.col("o_orderkey").alias("child"), before.alias("parent")), depth=None)
 
 
 _POLICY = [(0, "*", "warning"), (1, "category:view", "off"), (2, "c*", "error"), (3, "purchase", "info"), (4, "tag:s", "error")]
