@@ -26,11 +26,11 @@ NULLISH = ("null", "undefined", "void")
 
 
 def flag(name: str) -> Column:
-    return F.coalesce(F.element_at("flags", name), F.lit(False))
+    return F.coalesce(F.col("flags")[name], F.lit(False))  # unlike element_at, of a map made in the plan only this entry is computed
 
 
 def attr(name: str) -> Column:
-    return F.element_at("attrs", name)
+    return F.col("attrs")[name]
 
 
 def has(parts: str, *kinds: str) -> Column:
@@ -94,7 +94,7 @@ def fused(expr_facts: DataFrame, rule_ids: list[str] | None = None, group_option
     rows = expr_facts
     if group_options is not None:
         o = group_options.select(F.col("group_id").alias("o_group"), "strict_null_checks", "no_unchecked_indexed_access")
-        rows = rows.join(o, F.col("group_id") == F.col("o_group"), "left")
+        rows = rows.join(F.broadcast(o), F.col("group_id") == F.col("o_group"), "left")  # else all rows of a group go to one task
     else:
         rows = rows.withColumns({"strict_null_checks": F.lit(True), "no_unchecked_indexed_access": F.lit(False)})
     hits = []
@@ -104,7 +104,8 @@ def fused(expr_facts: DataFrame, rule_ids: list[str] | None = None, group_option
         test = r.when() & F.coalesce("strict_null_checks", F.lit(True)) if r.strict_null else r.when()
         fix = r.fix() if r.fix else F.lit(None).cast(FIX)
         hits.append(F.when(F.coalesce(test, F.lit(False)), F.struct(F.lit(r.rule_id).alias("rule_id"), F.lit(r.severity).alias("severity"), r.message().alias("message"), fix.alias("fix"))))
-    found = rows.select("file", "line", "col", F.explode(F.array_compact(F.array(*hits))).alias("h"))
+    # The array is a column of its own: within array_compact, or explode, its expressions would be interpreted.
+    found = rows.select("file", "line", "col", F.array(*hits).alias("hits")).select("file", "line", "col", F.explode(F.array_compact("hits")).alias("h"))
     return found.select("h.rule_id", "h.severity", "h.message", "file", F.col("line").cast("int").alias("line"), F.col("col").cast("int").alias("col"), F.lit(None).cast("string").alias("annotation"), "h.fix")
 
 
@@ -131,7 +132,7 @@ _QDOT = lambda text: (lambda: edit(attr("qdot_start"), attr("qdot_end"), text))
 node_rule("no-optional-property-access", "warning", "defensive-code", "type-aware", lambda: _OPTIONAL("PropertyAccess"), "The receiver is never null or undefined", _QDOT("."), strict_null=True)
 node_rule("no-optional-element-access", "warning", "defensive-code", "type-aware", lambda: _OPTIONAL("ElementAccess"), "The receiver is never null or undefined", _QDOT(""), strict_null=True)
 node_rule("no-optional-call", "warning", "defensive-code", "type-aware", lambda: _OPTIONAL("CallExpression"), "The callee is never null or undefined", _QDOT(""), strict_null=True)
-node_rule("no-nullish-coalescing", "warning", "defensive-code", "type-aware", lambda: kind("Binary") & (F.col("op") == "??") & ~nullable() & ~unchecked() & F.coalesce(F.element_at("flags", "tuple_slot_present"), F.lit(True)), "The left side is never null or undefined", replace_by_operand, strict_null=True)
+node_rule("no-nullish-coalescing", "warning", "defensive-code", "type-aware", lambda: kind("Binary") & (F.col("op") == "??") & ~nullable() & ~unchecked() & F.coalesce(F.col("flags")["tuple_slot_present"], F.lit(True)), "The left side is never null or undefined", replace_by_operand, strict_null=True)
 node_rule(
     "no-logical-or-fallback", "warning", "defensive-code", "type-aware",
     lambda: kind("Binary") & (F.col("op") == "||") & flag("rhs_literal") & ~flag("numeric_coercion") & ~(only("type_parts", "string", "string-literal")) & ((has("type_parts", "number", "number-literal") & (F.coalesce(attr("rhs_text"), F.lit("")) != "0")) | (flag("lookup_shaped") & nullable())),
@@ -242,7 +243,7 @@ def _strict(rows: DataFrame, facts: Facts) -> DataFrame:
     if "group_options" not in facts:
         return rows
     loose = facts["group_options"].where(~F.coalesce("strict_null_checks", F.lit(True))).select("group_id")
-    return rows.join(loose, "group_id", "left_anti")
+    return rows.join(F.broadcast(loose), "group_id", "left_anti")
 
 
 _BLOCK, _POS = lambda: attr("block"), lambda: attr("pos").cast("int")

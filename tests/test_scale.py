@@ -45,3 +45,14 @@ def test_heritage_of_cycles_and_a_depth(spark):
     chain = spark.createDataFrame([(i, i + 1) for i in range(90)], "child int, parent int")
     assert sorted(map(tuple, heritage(chain).collect())) == sorted((a, b) for a in range(91) for b in range(a + 1, min(a + 50, 90) + 1))
     assert heritage(ring.where("child > 90")).count() == 0
+
+
+def test_rows_do_not_meet_by_their_group(spark):
+    """A table of three groups must not be shuffled by group: three tasks would read it all."""
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" not in plan(entry.queries()["node_rules"](spark, "/root/testdata/sf0.001"))
+    from tessella.operators.catalogue import all_rules
+    from tessella.plans.rule_tables import node_facts, related_facts
+
+    facts = related_facts(spark, "/root/testdata/sf0.001") | {"group_options": node_facts(spark, "/root/testdata/sf0.001")[1]}
+    assert "hashpartitioning(group_id#" not in "\n".join(x for x in plan(all_rules()["return-type-widens-via-destructure"].run(facts)).split("\n") if "file" not in x)
