@@ -147,13 +147,21 @@ def explicit_null_arg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").where(F.get_json_object("props", "$.k") == "0").select("event_id", "event_type")
 
 
+def _pieces(df: DataFrame, mb: int = 4) -> int:
+    """A number of partitions by the size of the files that df reads, at least the session's, so that a task's rows don't grow with them."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // (mb << 20)))
+
+
 def name_collision_unlinked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(customer, priority) groups of orders no two of which share a part."""
-    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
-    g = o.groupBy("o_custkey", "o_orderpriority").agg(F.count(F.lit(1)).alias("n")).where("n >= 2")
-    parts = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_partkey").distinct()
-    linked = o.join(parts, "o_orderkey").groupBy("o_custkey", "o_orderpriority", "l_partkey").agg(F.count_distinct("o_orderkey").alias("c")).where("c > 1").select("o_custkey", "o_orderpriority")
-    return g.join(linked, ["o_custkey", "o_orderpriority"], "left_anti")
+    lines = table(spark, sf_dir, "lineitem")
+    n, group = _pieces(lines), ["o_custkey", "o_orderpriority"]
+    o = table(spark, sf_dir, "orders").select("o_orderkey", *group)
+    g = o.repartition(n, *group).groupBy(*group).agg(F.count(F.lit(1)).alias("n")).where("n >= 2")
+    parts = lines.select(F.col("l_orderkey").alias("o_orderkey"), "l_partkey").repartition(n, "o_orderkey").join(o.repartition(n, "o_orderkey"), "o_orderkey")
+    linked = parts.repartition(n, *group, "l_partkey").groupBy(*group, "l_partkey").agg(F.min("o_orderkey").alias("lo"), F.max("o_orderkey").alias("hi")).where("lo < hi").select(*group)
+    return g.join(linked, group, "left_anti")
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -56,3 +56,17 @@ def test_rows_do_not_meet_by_their_group(spark):
 
     facts = related_facts(spark, "/root/testdata/sf0.001") | {"group_options": node_facts(spark, "/root/testdata/sf0.001")[1]}
     assert "hashpartitioning(group_id#" not in "\n".join(x for x in plan(all_rules()["return-type-widens-via-destructure"].run(facts)).split("\n") if "file" not in x)
+
+
+def test_unlinked_collisions_and_their_partitions(spark, tmp_path):
+    """Shared parts, a part twice in one order, no customer; partitions follow the files' size and nothing is counted distinct."""
+    orders = spark.createDataFrame([(1, 7, "a"), (2, 7, "a"), (3, 8, "a"), (4, 8, "a"), (5, 8, "b"), (6, None, "a"), (7, None, "a"), (8, 9, "a")], "o_orderkey long, o_custkey long, o_orderpriority string")
+    lines = spark.createDataFrame([(1, 70), (2, 70), (3, 71), (3, 71), (4, 72), (5, 71), (6, 73), (7, 73), (8, 1), (8, 1)], "l_orderkey long, l_partkey long")
+    at = written(spark, tmp_path, orders=orders, lineitem=lines)
+    df = entry.queries()["name_collision_unlinked"](spark, str(tmp_path))
+    assert spark_rows(df) == sql_rows(at, "name_collision_unlinked")
+    assert "distinct" not in df._jdf.queryExecution().executedPlan().toString().lower()
+    from tessella.plans import tables
+
+    big = spark.read.parquet("/root/testdata/sf0.1/lineitem.parquet")
+    assert tables._pieces(big, 1) > 8 > tables._pieces(big, 1024) == 4
