@@ -70,3 +70,12 @@ def test_unlinked_collisions_and_their_partitions(spark, tmp_path):
 
     big = spark.read.parquet("/root/testdata/sf0.1/lineitem.parquet")
     assert tables._pieces(big, 1) > 8 > tables._pieces(big, 1024) == 4
+
+
+def test_long_runs_are_not_hashed_statement_by_statement(spark):
+    from tessella.operators.runs import maximal_runs
+
+    df = spark.range(600).selectExpr("'g' AS group_id", "cast(id div 300 as int) AS block_id", "cast(id % 300 as int) AS pos", "concat('s', id % 300) AS hash", "cast(9 as int) AS norm_len")
+    found = maximal_runs(df)
+    assert "slice(" not in found._jdf.queryExecution().executedPlan().toString()
+    assert [(r["length"], [tuple(p) for p in r["participants"]]) for r in found.collect()] == [(300, [(0, 0), (1, 0)])]
